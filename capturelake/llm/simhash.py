@@ -65,6 +65,19 @@ def _wildcards(fp: Column, segments: tuple[tuple[int, int], ...]) -> Column:
     return F.array(*entries)
 
 
+def _first(key: Column) -> Column:
+    """Whether ``key`` is the first entry that u and v share: no segment before
+    its own has under two differences, and it is the wildcard of the only one,
+    or the segment's first if there is none."""
+    bit, out = F.shiftright(key, 24), F.lit(False)
+    apart = F.lit(True)
+    for low, width in SEGMENTS:
+        here = F.bit_count(F.col("u").bitwiseXOR(F.col("v")).bitwiseAND(F.lit(((1 << width) - 1) << low).cast("long") if low + width < 64 else F.lit(-(1 << low))))
+        out = out | (apart & (bit >= low) & (bit < low + width) & ((here == 1) | (bit == low)))
+        apart = apart & (here > 1)
+    return out
+
+
 def _near(a: str, b: str, most: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
 
@@ -75,14 +88,15 @@ def _pairs(index: DataFrame, keys: list[str], more: Column | None = None) -> Dat
     on = (F.col("u") < F.col("v")) & _near("u", "v", DISTANCE)
     for k in keys:
         on = on & (left[k] == right[k])
-    return left.join(right, on if more is None else on & more).select("u", "v")
+    return left.join(right, on & (_first(left["key"]) if more is None else more)).select("u", "v")
 
 
 def links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Edges (u, v) between distinct fingerprints ``fp`` that connect exactly
     those that a chain of links of at most four bits connects.
 
-    An entry with up to ``heavy`` fingerprints is joined with itself.  In a
+    An entry with up to ``heavy`` fingerprints is joined with itself, and a
+    pair is emitted by the first entry that it shares.  In a
     larger one, the fingerprints within two bits of its smallest are pairwise
     within four: they get an edge to it and are not compared with each other.
     The others are compared within finer entries: the 43 bits outside the
