@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from capturelake.llm import html, kneser_ney, language, mixing, quality, simhash, toxicity, warc
+from capturelake.llm import html, kneser_ney, language, mixing, quality, simhash, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -48,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_topk_search": op2_topk_search,
     "op3_warc_bundles": op3_warc_bundles,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_topk_search": topk.ORACLE,
     "op3_warc_bundles": warc.ORACLE,
     "op9_source_mix": mixing.ORACLE,
     "op10_quality_rules": quality.ORACLE,
