@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.llm import html, kneser_ney, language, mixing, quality, simhash, topk, toxicity, warc
+from capturelake.llm import html, kneser_ney, language, mixing, quality, sentencepiece, simhash, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepiece.encode(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "ids_digest", "round_trip")
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.evaluate(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_bundles": op3_warc_bundles,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_html_extraction": op8_html_extraction,
     "op9_source_mix": op9_source_mix,
