@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from capturelake.llm.common import bucket, map_batches, mix, pieces, shared_path, text_column, written
 
 ORDER = 2
+#: Bytes of text whose n-grams are counted before they are shuffled.
+RUN_BYTES = 16 << 20
 END, START = xxhash.xxh3_64_intdigest(b"", 1), xxhash.xxh3_64_intdigest(b"", 2)
 _SEED = 42
 
@@ -75,10 +77,13 @@ def count_grams(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
     names = [f"w{i + 1}" for i in range(order)]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, texts in pieces(batch.column(0)):
+        for _, texts in pieces(batch.column(0), RUN_BYTES):
             hashes, ends = tokens(texts)
             parts = [*contexts(hashes, ends, order), hashes]
             _, at, n = np.unique(gram(parts), return_index=True, return_counts=True)
+            # rows with the same first token together: they take less room in the shuffle
+            by = np.argsort(parts[0][at])
+            at, n = at[by], n[by]
             yield pa.RecordBatch.from_arrays([*(pa.array(p[at].view(np.int64)) for p in parts), pa.array(n.astype(np.int64))], [*names, "c"])
 
     return map_batches(docs.select(text_column(text).alias("text")), run, ", ".join(f"{w} long" for w in names) + ", c long")
