@@ -116,11 +116,10 @@ def join_warnings(*warnings: Column) -> Column:
     return F.concat_ws("; ", *warnings)
 
 
-def output_name(path: Column, n: Column | int = 1) -> Column:
+def output_name(where: Column, stem: Column, ext: Column, n: Column | int = 1) -> Column:
     """``dir/stem-cut.ext``, or ``-cut-n`` from the second on; ``flac`` without
     an extension, ``.`` without a directory."""
     n = F.lit(n) if isinstance(n, int) else n
-    where = path_dir(path)
     where = F.when(where == "", F.lit("./")).when(where == "/", where).otherwise(F.concat(where, F.lit("/")))
     suffix = F.when(n > 1, F.concat(F.lit("-cut-"), n.cast("string"))).otherwise(F.lit("-cut"))
-    return F.concat(where, path_stem(path), suffix, F.lit("."), F.coalesce(path_ext(path), F.lit("flac")))
+    return F.concat(where, stem, suffix, F.lit("."), F.coalesce(ext, F.lit("flac")))

@@ -6,9 +6,11 @@ integer divisions in the order of the definitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capturelake.functions.staged import staged
+
 MOD = 1 << 36
 MOST_WRAPS = 4096
 
@@ -62,11 +64,21 @@ def fallback_wraps(declared: Column, audio_bytes: Column, channels: Column, bps:
     return F.when((width > 0) & (k <= MOST_WRAPS), k)
 
 
-def corrected(declared: Column, audio_bytes: Column, min_block: Column, max_block: Column, min_frame: Column, max_frame: Column, channels: Column, bps: Column) -> tuple[Column, Column, Column, Column]:
-    """(total, wraps, estimated, out of range) of a declared count."""
-    fine = trusted(declared, audio_bytes, min_block, max_frame, channels, bps)
-    precise = precise_wraps(declared, audio_bytes, min_block, max_block, min_frame, max_frame)
-    rough = fallback_wraps(declared, audio_bytes, channels, bps)
-    wraps = F.when(fine, 0).otherwise(F.coalesce(precise, rough, F.lit(0)))
-    estimated = ~fine & precise.isNull() & rough.isNotNull()
-    return declared + wraps * F.lit(MOD), wraps.cast("int"), estimated, ~fine & precise.isNull() & rough.isNull()
+def with_corrected(
+    rows: DataFrame, total: str = "total", declared: str = "declared", audio_bytes: str = "audio_bytes", min_block: str = "min_block", max_block: str = "max_block", min_frame: str = "min_frame", max_frame: str = "max_frame", channels: str = "channels", bps: str = "bps"
+) -> DataFrame:
+    """``rows`` with ``total``, trusted, wraps, estimated and beyond (no number
+    of wraps fits) of their declared counts.
+
+    The parts are staged, so that none is computed twice.
+    """
+    c = F.col
+    rows = staged(
+        rows,
+        trusted=trusted(c(declared), c(audio_bytes), c(min_block), c(max_frame), c(channels), c(bps)),
+        _precise=precise_wraps(c(declared), c(audio_bytes), c(min_block), c(max_block), c(min_frame), c(max_frame)),
+        _rough=fallback_wraps(c(declared), c(audio_bytes), c(channels), c(bps)),
+    )
+    rows = rows.withColumn("wraps", F.when(c("trusted"), 0).otherwise(F.coalesce("_precise", "_rough", F.lit(0))).cast("int"))
+    rows = rows.withColumn("estimated", ~c("trusted") & c("_precise").isNull() & c("_rough").isNotNull()).withColumn("beyond", ~c("trusted") & c("_precise").isNull() & c("_rough").isNull())
+    return rows.withColumn(total, c(declared) + c("wraps") * F.lit(MOD)).drop("_precise", "_rough")

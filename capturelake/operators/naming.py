@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.functions.text import output_name
+from capturelake.functions.staged import staged
+from capturelake.functions.text import output_name, path_dir, path_ext, path_stem
 
 MOST = 10_000
 
@@ -18,15 +19,17 @@ def free_names(inputs: DataFrame, existing: DataFrame, path: str = "path", most:
     The existing numbers of each input are few: they are matched by the input
     that they would belong to, and the least number missing is taken.
     """
-    wanted = inputs.select(path).distinct().withColumn("_first", output_name(F.col(path)))
-    head = F.regexp_replace("_first", r"(?s)\.[^./]*$", "")
-    tail = F.regexp_extract("_first", r"(?s)(\.[^./]*)$", 1)
-    wanted = wanted.withColumn("_head", head).withColumn("_tail", tail)
-    there = existing.select(F.when(~F.col(path).contains("/"), F.concat(F.lit("./"), F.col(path))).otherwise(F.col(path)).alias("_p"))
-    parts = there.select(F.regexp_extract("_p", r"(?s)^(.*-cut)(?:-[1-9][0-9]*)?\.[^./]*$", 1).alias("_h"), F.regexp_extract("_p", r"(?s)(\.[^./]*)$", 1).alias("_t"), F.regexp_extract("_p", r"(?s)-cut-([1-9][0-9]*)\.[^./]*$", 1).try_cast("bigint").alias("_k"))
+    p = F.col(path)
+    p = F.col(path)
+    wanted = staged(inputs.select(path).distinct(), _dir=path_dir(p), _stem=path_stem(p), _ext=path_ext(p))
+    wanted = staged(wanted, _first=output_name(F.col("_dir"), F.col("_stem"), F.col("_ext")))
+    wanted = staged(wanted, _head=F.regexp_replace("_first", r"(?s)\.[^./]*$", ""), _tail=F.regexp_extract("_first", r"(?s)(\.[^./]*)$", 1)).drop("_first")
+    there = staged(existing.select(path), _p=F.when(~p.contains("/"), F.concat(F.lit("./"), p)).otherwise(p))
+    parts = staged(there, _h=F.regexp_extract("_p", r"(?s)^(.*-cut)(?:-[1-9][0-9]*)?\.[^./]*$", 1), _t=F.regexp_extract("_p", r"(?s)(\.[^./]*)$", 1), _k=F.regexp_extract("_p", r"(?s)-cut-([1-9][0-9]*)\.[^./]*$", 1).try_cast("bigint"))
     parts = parts.where("_h <> '' and (_k is null or _k >= 2)").select("_h", "_t", F.coalesce("_k", F.lit(1)).alias("_n")).distinct()
     taken = wanted.join(parts, (F.col("_head") == F.col("_h")) & (F.col("_tail") == F.col("_t")), "left")
     # the least free number is one more than a taken one, or one
-    rows = taken.groupBy(path, "_head", "_tail").agg(F.array_sort(F.collect_set("_n")).alias("_all"))
+    rows = taken.groupBy(path, "_dir", "_stem", "_ext").agg(F.array_sort(F.collect_set("_n")).alias("_all"))
     run = F.aggregate("_all", F.lit(1).cast("bigint"), lambda n, x: F.when(x == n, n + 1).otherwise(n))
-    return rows.select(path, F.when(run < most, output_name(F.col(path), run)).alias("output"))
+    rows = staged(rows, _k=run)
+    return rows.select(path, F.when(F.col("_k") < most, output_name(F.col("_dir"), F.col("_stem"), F.col("_ext"), F.col("_k"))).alias("output"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.functions import rate, text, unwrap
+from capturelake.functions.staged import staged
 from capturelake.functions.text import MOST_U64
 
 _WIDE = "decimal(38,0)"
@@ -25,12 +26,16 @@ def tag_total(total: Column, tag_rate: Column) -> Column:
     return F.when(total > 0, F.least(scaled, F.lit(str(MOST_U64)).cast(_WIDE)))
 
 
+def _ms(seconds: Column) -> Column:
+    return F.floor(seconds * 1000.0).cast("string")
+
+
 def tag_mismatch(total: Column, tag_rate: Column, duration: Column) -> Column:
     """A warning if the tags' total over rate is over a second from their duration."""
     implied = total.cast("double") / F.when(tag_rate > 0, tag_rate.cast("double"))
     apart = F.abs(implied - duration)
     wrong = (total > 0) & ~F.isnan(apart) & (apart > 1.0)
-    return F.when(wrong, F.concat(F.lit("tags disagree: total over rate is "), F.format_string("%.3f", implied), F.lit("s, duration "), F.format_string("%.3f", duration), F.lit("s")))
+    return F.when(wrong, F.concat(F.lit("tags disagree: total over rate is "), _ms(implied), F.lit(" ms, duration "), _ms(duration), F.lit(" ms")))
 
 
 def sane_tag_total(total: Column, audio_bytes: Column, channels: Column, bps: Column) -> tuple[Column, Column]:
@@ -77,21 +82,22 @@ def resolve_cheap(captures: DataFrame) -> DataFrame:
     c = F.col
     rows = captures.withColumn("audio_bytes", unwrap.payload(c("file_size"), c("audio_offset")))
     scaled = tag_total(c("tag_total"), c("tag_rate"))
-    rows = rows.withColumn("_tag", scaled).withColumn("_w1", tag_mismatch(c("tag_total"), c("tag_rate"), c("tag_duration")))
+    rows = staged(rows, _tag=scaled, _w1=tag_mismatch(c("tag_total"), c("tag_rate"), c("tag_duration")))
     kept, warning = sane_tag_total(c("_tag"), c("audio_bytes"), c("channels"), c("bits_per_sample"))
-    rows = rows.withColumn("_kept", kept).withColumn("_w2", warning)
+    rows = staged(rows, _kept=kept, _w2=warning)
     body = (c("audio_offset") > 0) & (c("file_size") > c("audio_offset"))
-    total, wraps, estimated, beyond = unwrap.corrected(c("declared_total_samples"), c("audio_bytes"), c("min_block"), c("max_block"), c("min_frame"), c("max_frame"), c("channels"), c("bits_per_sample"))
+    rows = unwrap.with_corrected(rows, "_total", "declared_total_samples", bps="bits_per_sample")
     own, tagged = c("_kept").isNull() & c("total_samples_known"), c("_kept").isNotNull()
-    rows = rows.withColumn("_body", body)
-    return (
-        rows.withColumn("total_samples", F.when(tagged, c("_kept")).when(own & c("_body"), total.cast(_WIDE)).when(own, c("declared_total_samples").cast(_WIDE)))
-        .withColumn("total_samples_wraps", F.when(own & c("_body"), wraps).otherwise(0))
-        .withColumn("total_samples_estimated", F.when(own & c("_body"), estimated).otherwise(F.lit(False)))
-        .withColumn("total_samples_from_vorbis", tagged)
-        .withColumn("warnings", F.array_compact(F.array("_w1", "_w2", F.when(own & c("_body") & beyond, F.lit("the header's total does not fit the payload with any number of wraps")))))
-        .drop("_tag", "_w1", "_w2", "_kept", "_body")
-    )
+    rows = rows.withColumn("_body", F.coalesce(body, F.lit(False)))
+    beyond = F.when(own & c("_body") & c("beyond"), F.lit("the header's total does not fit the payload with any number of wraps"))
+    return staged(
+        rows,
+        total_samples=F.when(tagged, c("_kept")).when(own & c("_body"), c("_total").cast(_WIDE)).when(own, c("declared_total_samples").cast(_WIDE)),
+        total_samples_wraps=F.when(own & c("_body"), c("wraps")).otherwise(0),
+        total_samples_estimated=F.when(own & c("_body"), c("estimated")).otherwise(F.lit(False)),
+        total_samples_from_vorbis=tagged,
+        warnings=F.array_compact(F.array("_w1", "_w2", beyond)),
+    ).drop("_tag", "_w1", "_w2", "_kept", "_body", "_total", "trusted", "wraps", "estimated", "beyond")
 
 
 def resolve_total(captures: DataFrame, companions: Callable[[DataFrame], DataFrame], scan: Callable[[DataFrame], DataFrame], key: str = "path") -> DataFrame:

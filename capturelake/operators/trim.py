@@ -31,5 +31,5 @@ def trim_blocks(blocks: DataFrame, plans: DataFrame, key: str = "capture_id") ->
     rows = blocks.join(plans.select(key, "start_samples", "length_samples"), key).where((F.col("first_sample") < end) & (F.col("first_sample") + F.col("n") > F.col("start_samples")))
     skip = F.greatest(F.col("start_samples") - F.col("first_sample"), F.lit(0))
     keep = F.least(end - F.col("first_sample"), F.col("n")) - skip
-    cut = F.slice("samples", (skip + 1).cast("int"), keep.cast("int"))
+    cut = F.slice("samples", (skip + 1).cast("int"), F.greatest(keep, F.lit(0)).cast("int"))
     return rows.select(key, (F.col("first_sample") + skip - F.col("start_samples")).alias("first_sample"), keep.alias("n"), cut.alias("samples"))

@@ -281,3 +281,53 @@ def read_tags(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     tags = F.coalesce("tags", F.array().cast("array<struct<k:string,v:string>>"))
     return read_headers(spark, paths).select("path", parse_u64(tag(tags, "RF_TOTAL_SAMPLES")).alias("total_samples"), parse_u64(tag(tags, "RF_SAMPLE_RATE")).alias("sample_rate"), parse_f64(tag(tags, "DURATION_SECONDS")).alias("duration_seconds"))
+
+
+class Memory:
+    """Bytes with the reading method of a file: headers that are in a column."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+
+    def read_at(self, n: int, at: int) -> bytes:
+        return self.data[at : at + n]
+
+
+PARSED = "ok boolean, error string, rate bigint, total bigint, bps int, channels int, min_block int, max_block int, min_frame int, max_frame int, audio_offset bigint, tags array<struct<k:string,v:string>>"
+
+
+def parse_headers(rows: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key and PARSED) of FLAC headers in a binary column; a null column has an error."""
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pandas as pd
+
+        names = [key, *(c.split(" ")[0] for c in PARSED.split(", "))]
+        for batch in batches:
+            out = []
+            for k, data in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
+                try:
+                    h, audio = read_header(Memory(bytes(data or b"")))
+                    tags = [{"k": a, "v": b} for a, b in h["tags"] or []]
+                    out.append((k, True, None, h["rate"], h["total"], h["bps"], h["channels"], h["min_block"], h["max_block"], h["min_frame"], h["max_frame"], audio, tags))
+                except ValueError as e:
+                    out.append((k, False, str(e), *[None] * 10))
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, content).mapInPandas(run, f"{key} {kind}, {PARSED}")
+
+
+def scan_frames(rows: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, off, block_size, hlen, number, variable): the valid frame headers
+    in a binary column of audio bytes."""
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pandas as pd
+
+        for batch in batches:
+            out = [(k, *c) for k, data in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) if data is not None for c in candidates(bytes(data), 0, len(data))]
+            yield pd.DataFrame(out, columns=[key, "off", "block_size", "hlen", "number", "variable"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, content).mapInPandas(run, f"{key} {kind}, off bigint, block_size int, hlen int, number bigint, variable boolean")
