@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,15 +100,15 @@ def pieces(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, list[b
     Bounds the memory of array work over a batch; a single longer text is a
     run of its own and stays whole.
     """
-    first, run, size = 0, [], 0
-    for i, text in enumerate(column.to_pylist()):
-        if run and size + len(text) > limit:
-            yield first, run
-            first, run, size = i, [], 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield first, run
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    first = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and size + n > limit:
+            yield first, column.slice(first, i - first).to_pylist()
+            first, size = i, 0
+        size += n
+    if len(sizes) > first:
+        yield first, column.slice(first).to_pylist()
 
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))

@@ -33,6 +33,8 @@ from capturelake.llm.common import map_batches, mix, pieces
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a text, and the factor of the scores.
 K, THETA = 2, 2e-4
+#: Bytes of text whose lattice is built at once.
+RUN_BYTES = 2 << 20
 SPACE = "▁"
 
 
@@ -113,24 +115,27 @@ class Lattice:
             if not len(at):
                 break
             hit = v.end[node] >= 0
-            begin.append(at[hit])
-            to.append(at[hit] + length)
-            piece.append(v.end[node[hit]])
+            begin.append(at[hit].astype(np.int32))
+            to.append((at[hit] + length).astype(np.int32))
+            piece.append(v.end[node[hit]].astype(np.int32))
             inside = at + length < stop[at]
             at, node = at[inside], node[inside]
             node = v.step(node, codes[at + length].astype(np.int64))
             length += 1
-        begin, to, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, to, piece))
+        begin, to, piece = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (begin, to, piece))
         alone = np.ones(n, bool)
         alone[begin[to == begin + 1]] = False
-        alone = np.flatnonzero(alone)
+        alone = np.flatnonzero(alone).astype(np.int32)
         self.chars = chars
         # a character that is no piece is written as its bytes, an edge of their scores
         wide = np.where(chars[alone] < 0x80, 1, np.where(chars[alone] < 0x800, 2, np.where(chars[alone] < 0x10000, 3, 4)))
         score = np.concatenate([v.score[piece], v.score[v.byte[0]] * wide])
-        begin, to, piece = np.concatenate([begin, alone]), np.concatenate([to, alone + 1]), np.concatenate([piece, np.where(chars[alone] < 0x80, v.byte[chars[alone] & 0x7F], -1)])
-        order = np.lexsort((to, begin))
+        own = np.where(chars[alone] < 0x80, v.byte[chars[alone] & 0x7F], -1).astype(np.int32)
+        begin, to, piece = np.concatenate([begin, alone]), np.concatenate([to, alone + 1]), np.concatenate([piece, own])
+        # by first node; edges were found in order of length
+        order = np.argsort(begin, kind="stable")
         begin, self.to, self.piece, score = begin[order], to[order], piece[order], score[order]
+        del order, to, piece
         self.start = np.searchsorted(begin, np.arange(n + 1))
         # log of the sum over all paths from each node to its part's end, from the back
         back = np.zeros(n + 1)
@@ -150,8 +155,8 @@ class Lattice:
             most = np.maximum.reduceat(value[edges], first)
             back[own] = most + np.log(np.add.reduceat(np.exp(value[edges] - np.repeat(most, count)), first))
         self.log = np.minimum(value - back[begin], 0.0)
-        p = np.exp(self.log)
-        total = np.cumsum(p)
+        del value, score
+        total = np.cumsum(np.exp(self.log))
         before = np.concatenate([[0.0], total])[self.start[begin]]
         self.sum = begin + np.minimum(total - before, 1.0)
         # the last edge of a node is also that for what rounding leaves
@@ -392,7 +397,7 @@ def encode(docs: DataFrame, model: str = MODEL, k: int = K, doc_id: str = "doc_i
         if not open_:
             open_.append(Encoder(shared.value, k))
         e = open_[0]
-        for first, raw in pieces(batch.column(1), 4 << 20):
+        for first, raw in pieces(batch.column(1), RUN_BYTES):
             ids = batch.column(0).slice(first, len(raw)).to_pylist()
             texts = [t.decode("utf-8", "replace") for t in raw]
             seeds = [xxhash.xxh3_64_intdigest(f"{i}".encode() if i is not None else t, seed) for i, t in zip(ids, raw, strict=True)]
