@@ -26,14 +26,19 @@ def parse(text: Column) -> Column:
 
 def format(seconds: Column) -> Column:  # noqa: A001
     """HH:MM:SS.mmm; negative is zero, milliseconds carry."""
-    s = F.greatest(seconds, F.lit(0.0))
-    ms = (F.floor(s) * 1000 + F.round((s - F.floor(s)) * 1000.0).cast("bigint")).cast("bigint")
 
     def div(x: Column, y: int) -> Column:
-        return ((x - x % y) / y).cast("bigint")
+        return F.call_function("div", x, F.lit(y).cast("bigint"))
 
-    whole = div(ms, 1000)
-    return F.printf(F.lit("%02d:%02d:%02d.%03d"), div(whole, 3600), div(whole % 3600, 60), whole % 60, ms % 1000)
+    def whole_ms(s: Column) -> Column:
+        return (F.floor(s) * 1000 + F.round((s - F.floor(s)) * 1000.0).cast("bigint")).cast("bigint")
+
+    def text(ms: Column) -> Column:
+        return F.printf(F.lit("%02d:%02d:%02d.%03d"), div(ms, 3600000), div(ms, 60000) % 60, div(ms, 1000) % 60, ms % 1000)
+
+    # as functions of an array's element, so that each step is computed once
+    steps = F.transform(F.transform(F.array(F.greatest(seconds, F.lit(0.0))), whole_ms), text)
+    return F.when(seconds.isNotNull(), F.get(steps, F.lit(0)))
 
 
 def deciseconds(seconds: Column) -> Column:

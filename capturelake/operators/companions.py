@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capturelake.functions.staged import staged
 from capturelake.functions.text import capture_base
 
 # Companions by rank, logs before audio.
@@ -28,8 +29,9 @@ def join_companions(captures: DataFrame, companions: DataFrame, key: str = "path
     ``how`` 'left' captures without a companion have nulls; duplicates give a
     row each.
     """
-    own = captures.select(F.col(key), F.col("dir").alias("_dir"), F.col("stem").alias("_stem"), capture_base(F.col("stem")).alias("_base"))
-    other = companions.where(F.lower("ext").isin(*RANKS)).select("dir", F.col("stem").alias("c_stem"), F.lower("ext").alias("kind"), "name", "duration_s", capture_base(F.col("stem")).alias("_cbase"))
+    own = staged(captures.select(F.col(key), F.col("dir").alias("_dir"), F.col("stem").alias("_stem")), _base=capture_base(F.col("_stem")))
+    other = companions.where(F.lower("ext").isin(*RANKS)).select("dir", F.col("stem").alias("c_stem"), F.lower("ext").alias("kind"), "name", "duration_s")
+    other = staged(other, _cbase=capture_base(F.col("c_stem")))
     stamped, plain = own.where(_stamped("_base")), own.where(~_stamped("_base"))
     found = stamped.join(other, (F.col("_dir") == F.col("dir")) & (F.col("_base") == F.col("_cbase")))
     # a directory is the join's key, the start its condition
