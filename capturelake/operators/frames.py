@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 RELEASE = (8 << 20) - 17 + 1
 
 
-def _columns(frames: DataFrame, release: Column | None) -> Column:
+def _candidate() -> Column:
     return F.struct(F.col("off").cast("bigint").alias("off"), F.col("block_size").cast("bigint").alias("bs"), F.col("hlen").cast("bigint").alias("hlen"), F.col("number").cast("bigint").alias("number"), F.col("variable").alias("variable"))
 
 
@@ -29,7 +29,7 @@ def chain(frames: DataFrame, keys: list[str], min_frame: Column | None = None, r
     limit.  ``min_frame``, per file, is how far the next frame is at least.
     """
     skip = F.coalesce(F.first(min_frame, ignorenulls=True), F.lit(0)).cast("bigint") if min_frame is not None else F.lit(0).cast("bigint")
-    rows = frames.where("off is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(_columns(frames, None))).alias("x"), skip.alias("skip"))
+    rows = frames.where("off is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(_candidate())).alias("x"), skip.alias("skip"))
     zero = F.lit(0).cast("bigint")
     start = F.struct(zero.alias("running"), zero.alias("n"), zero.alias("next"), F.lit(False).alias("begun"))
 

@@ -123,9 +123,8 @@ def test_streaming_count_equals_batch(spark, tmp_path):
     from capturelake.streaming.frames import count_frames
 
     rows = [("p", 10 * i, 100, 6, i, False) for i in range(20)] + [("q", 5, 7, 6, 3, False), ("q", 50, 9, 6, 0, False)]
-    for k, part in enumerate((rows[:8], rows[8:])):
+    for part in (rows[:8], rows[8:]):
         spark.createDataFrame(part, FRAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        del k
     stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     q = count_frames(stream).writeStream.outputMode("update").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
