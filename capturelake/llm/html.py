@@ -5,7 +5,7 @@ by path and content.  Over the pages of a host, tokens with the same
 occurrence vector (how often on each page) form an equivalence class.  Classes
 that are large and frequent enough are valid: nested by path they are the
 host's template.  What the template does not hold are the slots; those of the
-article are the main text.
+article, where there is one, are the main text.
 
 An occurrence vector is known by the pages and occurrences in it and by the
 exclusive or of a hash of each (page, count), so that Spark adds it up in
@@ -32,6 +32,9 @@ from capturelake.llm.common import map_batches, written
 #: host's pages.  The share bounds a template: tokens on half of the pages are
 #: at most twice as many as a page has on average.
 LEAST_TOKENS, LEAST_PAGES, SHARE = 2, 3, 0.5
+#: An article is a hint for content: a text among its other ones is the
+#: template's only from so many pages.
+ARTICLE_PAGES = 10
 #: A slot with a larger share of characters in links is navigation.
 LINKS = 0.5
 #: Templates up to so many bytes are broadcast.
@@ -155,6 +158,13 @@ def boilerplate(path: str) -> bool:
     return False
 
 
+def within(path: str) -> Iterator[str]:
+    """The path of an element and those around it, nearest first."""
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+
+
 def _long(s: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace"))).view(np.int64))
 
@@ -177,13 +187,18 @@ def _occurrences(pages: DataFrame) -> DataFrame:
             where, key = host(url), _long(page or "")
             found, paths = blocks(page or "")
             rows.append((where, "page", "", 0, key, 1, 0, 0))
-            rows += [(where, "path", p, _long(p), key, n, 0, 0) for p, n in paths.items()]
-            size, link = Counter(), Counter()
+            size, link, number, around, around_link = Counter(), Counter(), Counter(), Counter(), Counter()
             for p, t, k in found:
                 size[p] += len(t)
                 link[p] += k
-            rows += [(where, "text", p, text_token(p, t), key, n, 0, 0) for (p, t), n in Counter((p, t) for p, t, _ in found).items()]
-            rows += [(where, "slot", p, _long(p), key, 1, n, link[p]) for p, n in size.items()]
+                number[p] += 1
+            for p, n in size.items():
+                for e in within(p):
+                    around[e] += n
+                    around_link[e] += link[p]
+            rows += [(where, "path", p, _long(p), key, n, around[p], around_link[p]) for p, n in paths.items()]
+            rows += [(where, "text", p, text_token(p, t), key, n, n * len(t), 0) for (p, t), n in Counter((p, t) for p, t, _ in found).items()]
+            rows += [(where, "slot", p, _long(p), key, number[p], n, link[p]) for p, n in size.items()]
         columns = zip(*rows, strict=True)
         types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "kind", "path", "token", "page", "n", "chars", "links"])
@@ -194,36 +209,43 @@ def _occurrences(pages: DataFrame) -> DataFrame:
 def template(rows: list[dict], pages: int) -> dict:
     """A host's template from its frequent tokens and slots.
 
-    ``rows`` have kind, path, token, class (an equivalence class), chars and
-    links.  Classes that are not valid are left out; the others nest by path:
-    a class is within the nearest class that has an element around all of it.
+    ``rows`` have kind, path, token, class (an equivalence class), pages,
+    total, chars and links.  Classes that are not valid are left out; the
+    elements of the others nest by path.
+
+    ``fixed`` are the texts that the template holds.  Within an article a path
+    with other texts too is a slot, where pages may have equal texts: there
+    they are the template's only on ARTICLE_PAGES pages.  ``places`` are the
+    slots and the elements, each with whether it is mostly links.  ``husks``
+    are the elements of articles that have no other text than the template's.
     """
     classes: dict[int, list[dict]] = {}
     for r in rows:
         if r["kind"] != "slot":
             classes.setdefault(r["class"], []).append(r)
-    valid = [v for v in classes.values() if len(v) >= LEAST_TOKENS]
-    roots = [min((r["path"] for r in v), key=lambda p: (p.count("/"), p)) for v in valid]
-    owners = {r["path"]: i for i, v in enumerate(valid) for r in v if r["kind"] == "path"}
-    tree = []
-    for i, (v, root) in enumerate(zip(valid, roots, strict=True)):
-        around, path = -1, root.rpartition("/")[0]
-        while path and around < 0:
-            k = owners.get(path, -1)
-            around = k if k != i else -1
-            path = path.rpartition("/")[0]
-        tree.append({"root": root, "within": around, "tokens": len(v)})
-    elements = set(owners)
+    valid = [r for v in classes.values() if len(v) >= LEAST_TOKENS for r in v]
+    held: Counter = Counter()
+    for r in valid:
+        if r["kind"] == "text":
+            held[r["path"]] += r["total"]
+    slots = {r["path"]: r for r in rows if r["kind"] == "slot"}
+    open_ = {p for p, r in slots.items() if held[p] < r["total"]}
+    elements = [r for r in valid if r["kind"] == "path"]
+    places = [r for r in elements if r["chars"]] + list(slots.values())
+    fixed = [r for r in valid if r["kind"] == "text" and (r["pages"] >= ARTICLE_PAGES or r["path"] not in open_ or not in_article(r["path"]))]
+    own: Counter = Counter()
+    for r in fixed:
+        for e in within(r["path"]):
+            own[e] += r["chars"]
     return {
         "pages": pages,
-        "tree": tree,
-        "article": any(in_article(p) and not boilerplate(p) for p in elements),
-        "fixed": sorted(r["token"] for v in valid for r in v if r["kind"] == "text"),
-        "links": sorted(r["path"] for r in rows if r["kind"] == "slot" and r["links"] > LINKS * r["chars"]),
+        "fixed": sorted(r["token"] for r in fixed),
+        "husks": sorted(r["path"] for r in elements if in_article(r["path"]) and own[r["path"]] >= r["chars"]),
+        "places": {r["path"]: int(r["links"] > LINKS * r["chars"]) for r in places},
     }
 
 
-EMPTY = {"pages": 0, "tree": [], "article": False, "fixed": [], "links": []}
+EMPTY = {"pages": 0, "fixed": [], "husks": [], "places": {}}
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -236,7 +258,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     sizes = sums.where("kind = 'page'").select("host", F.col("pages").alias("of")).where(F.col("of") >= LEAST_PAGES)
     # a share of the host's pages: few rows for each host
     often = sums.where("kind <> 'page'").join(sizes, "host").where(F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("of") * SHARE))
-    row = F.struct("kind", "path", "token", F.xxhash64("pages", "total", "sign").alias("class"), "chars", "links")
+    row = F.struct("kind", "path", "token", F.xxhash64("pages", "total", "sign").alias("class"), "pages", "total", "chars", "links")
     grouped = often.groupBy("host").agg(F.first("of").alias("of"), F.to_json(F.collect_list(row)).alias("rows"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -246,23 +268,25 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     return map_batches(grouped, run, "host string, template string")
 
 
-def main_text(page: str | None, t: dict, fixed: frozenset[int], links: frozenset[str]) -> str:
-    """The blocks in slots of the article, one a line.
+def main_text(page: str | None, t: dict, fixed: frozenset[int]) -> str:
+    """The blocks in slots of the main text, one a line.
 
-    Where the host's template has an article, or the page itself, these are
-    the slots within it; else all that are neither boilerplate, nor mostly
-    links on the host's pages or the page, nor part of the template.
+    No text that the template holds is in a slot, and none in a place that is
+    mostly links on the host's pages; a slot that the template does not know
+    is judged by its nearest element that it does.  Of the rest the slots
+    within an article are chosen where the page has one that is more than a
+    husk, else all that are not mostly links on
+    the page.  Elements that are boilerplate by name have no slots.
     """
     found, paths = blocks(page or "")
-    article = any(in_article(p) and not boilerplate(p) for p in paths)
+    article = any(in_article(p) and not boilerplate(p) and p not in t["husks"] for p in paths)
     kept = []
     for path, text, linked in found:
-        if boilerplate(path):
+        if boilerplate(path) or not (in_article(path) if article else 2 * linked <= len(text)):
+            continue
+        if next((t["places"][p] for p in within(path) if p in t["places"]), 0):
             continue
-        if article:
-            if in_article(path):
-                kept.append(text)
-        elif path not in links and 2 * linked <= len(text) and (not fixed or text_token(path, text) not in fixed):
+        if not fixed or text_token(path, text) not in fixed:
             kept.append(text)
     return "\n".join(kept)
 
@@ -282,7 +306,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     joined = rows.withColumn("host", name).join(F.broadcast(made) if size <= BROADCAST_BYTES else made, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, tuple] = {None: (EMPTY, frozenset(), frozenset())}
+        known: dict[str | None, tuple] = {None: (EMPTY, frozenset())}
         for batch in batches:
             ids, urls, pages_, made_ = batch.columns
             texts = []
@@ -291,7 +315,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                     if len(known) > 256:
                         del known[next(k for k in known if k is not None)]
                     d = json.loads(t)
-                    known[t] = d, frozenset(d["fixed"]), frozenset(d["links"])
+                    known[t] = d, frozenset(d["fixed"])
                 texts.append(main_text(page, *known[t]))
             if len(ids):
                 yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

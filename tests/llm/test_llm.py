@@ -352,6 +352,16 @@ def test_html_template_without_article(spark):
     assert '"fixed": []' not in t
 
 
+def test_html_template_within_article(spark):
+    """Fixed blocks go from articles too, by what the pages share: an element's own text, a line
+    among paragraphs, a list of links; an article without texts of its own is not the main text."""
+    page = "<html><body><article><h1>Title %d</h1><p>Story %d.</p><p>Write to us for more</p><div class='box'>Buy our book</div><ul><li><a href='/%d'>See %d</a></li></ul></article></body></html>"
+    husk = "<html><body><main><p>Loved by all</p></main><div><p>Story %d.</p></div></body></html>"
+    rows = [(i, f"http://a.example/{i}", page % (i, i, i, i)) for i in range(12)] + [(20 + i, f"http://b.example/{i}", husk % i) for i in range(5)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found == {**{i: f"Title {i}\nStory {i}." for i in range(12)}, **{20 + i: f"Story {i}." for i in range(5)}}
+
+
 def test_html_survives_bad_markup():
     for bad in ("<p", "<a href=\"x", "<!-- open", "<script>no end", "<" * 5000, "<div " + "a='" * 3000, "</p></p>", "<li><li><p><li>"):
         html.blocks(bad)
