@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from capturelake.llm.common import bucket, map_batches, mix, pieces, shared_path, text_column, written
 
-ORDER = 2
+ORDER = 3
 #: Bytes of text whose n-grams are counted before they are shuffled.
 RUN_BYTES = 16 << 20
 END, START = xxhash.xxh3_64_intdigest(b"", 1), xxhash.xxh3_64_intdigest(b"", 2)

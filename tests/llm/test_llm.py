@@ -326,6 +326,13 @@ def test_kneser_ney_large_counts(spark):
     assert all(r.score == pytest.approx(want[r.doc_id][4]) for r in kneser_ney.evaluate(docs, order=2).collect())
 
 
+def test_kneser_ney_query_sees_two_tokens_back(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d", "x b e f", "a b c g", "x b e d", "a b e c"] * 3)], "doc_id bigint, text string")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = kn_brute(rows, 3)
+    assert all(r.score == pytest.approx(want[r.doc_id][4]) for r in kneser_ney.evaluate(docs).collect())
+
+
 PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Menu</a></li></ul></nav><div class='cookie-notice'>We use cookies</div><div class=\"ad\">Buy now</div>%s<aside>More</aside><form><input> Search</form><div id='comments'><p>First!</p></div><footer>&copy; me</footer></body></html>"
 
 
