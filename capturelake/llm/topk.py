@@ -28,8 +28,8 @@ K, SCALE = 20, 64
 BLOCK, QUERIES = 16384, 2048
 #: Queries of a block multiplied at once (bounds the memory of a pair of blocks).
 STRIP = 64
-#: Components of this magnitude or more take no part: their products do not fit.
-LARGEST = 1 << 27
+#: The range of a long.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: The share of the squared lengths that the partial sums have.
 ENERGY = 0.5
 #: Blocks of the longest vectors that give each query its first k-th best.
@@ -39,15 +39,20 @@ SEED_BLOCKS = 1
 def vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(vec_id, dim, v, norm): floor(scale * x) of each component as int64
     bytes, for the vectors that take part: not null, not empty, every
-    component finite (and below LARGEST when scaled) and the id not null."""
+    component finite and the id not null.  A scaled component that does not
+    fit a long is an error."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, dims, packed, norms = [], [], [], []
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if i is None or not v or None in v:
                 continue
-            x = np.floor(scale * np.array(v, np.float64))
-            if np.isfinite(x).all() and np.abs(x).max() < LARGEST:
+            x = np.array(v, np.float64)
+            if np.isfinite(x).all():
+                with np.errstate(over="ignore"):
+                    x = np.floor(scale * x)
+                if x.min() < LEAST or x.max() > MOST:
+                    raise OverflowError(f"a component of vector {i}, scaled, does not fit a long")
                 ids.append(i)
                 dims.append(len(x))
                 packed.append(x.astype(np.int64).tobytes())
@@ -104,7 +109,7 @@ def _blocks(found: DataFrame, size: int, name: str) -> DataFrame:
                 for at in range(0, len(own), size):
                     some = own[at : at + size]
                     v = np.frombuffer(b"".join(packed[i] for i in some), np.int64)
-                    kind = next(t for t in (np.int8, np.int16, np.int32) if np.abs(v).max() <= np.iinfo(t).max)
+                    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= v.min() and v.max() <= np.iinfo(t).max)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(d)], pa.int32()), pa.array([ids[some].tolist()], pa.list_(pa.int64())), pa.array([v.astype(kind).tobytes()], pa.binary()), pa.array([float(norms[some].max())])],
                         ["dim", "ids", "vs", "most"],
@@ -120,18 +125,45 @@ class _Side:
 
     def __init__(self, ids: list[int], vs: bytes, dim: int, rotation: tuple[np.ndarray, int]) -> None:
         self.ids = np.array(ids, np.int64)
-        kind = {1: np.int8, 2: np.int16, 4: np.int32}[len(vs) // (len(ids) * dim)]
+        kind = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[len(vs) // (len(ids) * dim)]
         self.v = np.frombuffer(vs, kind).reshape(-1, dim).astype(np.float64)
         basis, head = rotation
         rotated = self.v @ basis
         self.head = rotated[:, :head]
         self.rest = np.sqrt((rotated[:, head:] ** 2).sum(axis=1))
         self.norm = np.sqrt((self.v**2).sum(axis=1))
+        self.top = np.abs(self.v).max(axis=1, initial=0)
 
 
-def _best(q: _Side, c: _Side, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best of the block that reach ``floor``: (row, ids, scores)."""
-    largest, width = float(np.abs(c.v).max(initial=0)), c.v.shape[1]
+def _products(q: np.ndarray, rows: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact products with the rows, and which of them are below a long's range
+    (and given as its least value).  ``reach`` bounds each one's partial sums.
+
+    A product above the range would be among the best: it is an error.
+    """
+    if (reach < 2**53).all():
+        # integers below 2**53 are exact as doubles
+        return (rows @ q).astype(np.int64), np.zeros(len(rows), bool)
+    score, low = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+    fits = reach < 2**62
+    score[fits] = rows[fits].astype(np.int64) @ q.astype(np.int64)
+    whole = [int(x) for x in q]
+    for j in np.flatnonzero(~fits):
+        exact = sum(a * int(b) for a, b in zip(whole, rows[j], strict=True))
+        if exact > MOST:
+            raise OverflowError("the product of two vectors does not fit a long")
+        score[j], low[j] = max(exact, LEAST), exact < LEAST
+    return score, low
+
+
+def _below(x: np.ndarray) -> np.ndarray:
+    """Doubles that are not above the integers they were made from."""
+    return np.where(np.abs(x) < 2**53, x, np.nextafter(x, -np.inf))
+
+
+def _best(q: _Side, c: _Side, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query its k best of the block that reach ``floor``: (row, ids, scores, low)."""
+    width = c.v.shape[1]
     for start in range(0, len(q.ids), STRIP):
         part = slice(start, start + STRIP)
         # a sum's rounding errors are far below this slack
@@ -142,22 +174,18 @@ def _best(q: _Side, c: _Side, floor: np.ndarray, k: int) -> Iterator[tuple[int,
             if not len(some):
                 continue
             ids = c.ids[some]
-            # integers below 2**53 are exact as doubles; larger ones are multiplied as int64
-            if float(np.abs(q.v[i]).max(initial=0)) * largest * width < 2**53:
-                score = (c.v[some] @ q.v[i]).astype(np.int64)
-            else:
-                score = c.v[some].astype(np.int64) @ q.v[i].astype(np.int64)
+            score, low = _products(q.v[i], c.v[some], q.top[i] * c.top[some] * width)
             keep = score >= floor[i]
             if keep.sum() > k:
                 keep &= score >= np.partition(score[keep], int(keep.sum()) - k)[int(keep.sum()) - k]
-            ids, score = ids[keep], score[keep]
-            order = np.lexsort((ids, -score))[:k]
+            ids, score, low = ids[keep], score[keep], low[keep]
+            order = np.lexsort((ids, low, ~score))[:k]
             if len(order):
-                yield i, ids[order], score[order]
+                yield i, ids[order], score[order], low[order]
 
 
 def _scored(pairs: DataFrame, rotation: dict[int, tuple[np.ndarray, int]], k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best of each pair of blocks.  A task
+    """(query_id, vec_id, score, low): the best of each pair of blocks.  A task
     raises a query's floor to the k-th best that it has itself found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,25 +205,26 @@ def _scored(pairs: DataFrame, rotation: dict[int, tuple[np.ndarray, int]], k: in
                 row = {name: batch.column(i)[j].as_py() for i, name in enumerate(batch.schema.names)}
                 q, c = side("q", row), side("c", row)
                 if row["qblock"] not in own:
-                    start = np.array(row["floor"], float) if row["floor"] is not None else np.full(len(q.ids), -np.inf)
+                    start = _below(np.array(row["floor"], float)) if row["floor"] is not None else np.full(len(q.ids), -np.inf)
                     own[row["qblock"]] = start, [np.zeros(0, np.int64)] * len(q.ids)
                 floor, kept = own[row["qblock"]]
-                query, ids, scores = [], [], []
-                for i, vec, score in _best(q, c, floor, k):
+                query, ids, scores, lows = [], [], [], []
+                for i, vec, score, low in _best(q, c, floor, k):
                     query.append(np.full(len(vec), q.ids[i]))
                     ids.append(vec)
                     scores.append(score)
+                    lows.append(low)
                     kept[i] = np.sort(np.concatenate([kept[i], score]))[-k:]
                     if len(kept[i]) == k:
-                        floor[i] = max(floor[i], kept[i][0])
+                        floor[i] = max(floor[i], _below(np.float64(kept[i][0])))
                 if query:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores)), pa.array(np.concatenate(lows))], ["query_id", "vec_id", "score", "low"])
 
-    return pairs.select("dim", "qblock", "qids", "qvs", "cblock", "cids", "cvs", "floor").mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.select("dim", "qblock", "qids", "qvs", "cblock", "cids", "cvs", "floor").mapInArrow(run, "query_id long, vec_id long, score long, low boolean")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "low", "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
@@ -208,7 +237,8 @@ def search(rows: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id"
     without an id.  Rows that repeat an id are candidates each, but for a
     query of the same id; queries that repeat an id are searched once, with
     the vector that comes first in order.  Fewer than k candidates give fewer
-    rows.
+    rows.  Products are exact; one of the k best, or a scaled component, that
+    does not fit a long is an error.
     """
     found = written(vectors(rows, vec_id, embedding, scale), "vectors")
     rotation = rotations(found)
@@ -230,7 +260,8 @@ def search(rows: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id"
     able = _floors(q, kth).join(F.broadcast(reach), "dim").where(F.col("qmost") * F.col("cmost") * (1 + 1e-9) >= F.col("least"))
     more = _scored(able.drop("cmost").join(rest.drop("cmost"), ["cblock", "dim"]), rotation, k)
     best = _ranked(first.drop("rank").unionByName(more), k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.col("low"), F.raise_error(F.lit("the product of two vectors does not fit a long")).cast("long")).otherwise(F.col("score"))
+    return best.select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def _floors(q: DataFrame, kth: DataFrame) -> DataFrame:

@@ -132,6 +132,29 @@ def test_topk_matches_brute_force(spark, block, queries_):
     assert topk.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("block", "queries_"), [(7, 2), (16384, 2048)])
+def test_topk_keeps_long_vectors(spark, block, queries_):
+    """Components of 2**27 and more, scaled: doubles, longs and wider sums; floors above 2**53."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(rng.integers(1, 4096)), *(rng.integers(-4096, 4096, 3) * 1.0).tolist()]) for i in range(30)]
+    rows += [(30 + i, [(1 << 24) + float(i % 3), 3e6, -2.5e6, 0.0]) for i in range(15)]
+    rows += [(60, [0.0, 0.0, 0.0, 2.0**37]), (61, [2.0**25, -(2.0**25), 0.0, 2.0]), (62, [-(2.0**52), 0.0, 0.0, 0.0]), (63, [0.0, 0.0, 1.0, 0.0])]
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = set()
+    for i, q in whole:
+        if i in (0, 20, 40, 61):
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i)[:5]
+            want |= {(i, n + 1, j, -x) for n, (x, j) in enumerate(best)}
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = topk.search(frame, F.col("vec_id").isin(0, 20, 40, 61), 5, block=block, queries=queries_)
+    assert {tuple(r) for r in found.collect()} == want
+    # a best that does not fit a long is an error, at either end
+    for other in (2.0**40, -(2.0**40)):
+        pair = spark.createDataFrame([(0, [2.0**40]), (1, [other])], "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.search(pair, F.col("vec_id") == 0, 5).collect()
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (9, None, None), (8, "http://a b/\r\nX: y", ""), (None, "u", "é" * 300000), (7, "u", "é" * 300000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload", F.lit(1)).withColumn("sha", F.lit(1))
