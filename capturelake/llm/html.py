@@ -26,19 +26,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import map_batches, written
-
-#: A class is valid from so many tokens and pages and so large a share of the
-#: host's pages.  The share bounds a template: tokens on half of the pages are
-#: at most twice as many as a page has on average.
-LEAST_TOKENS, LEAST_PAGES, SHARE = 2, 3, 0.5
-#: An article is a hint for content: a text among its other ones is the
+from capturelake.llm.common import map_batches, shared_path, written
+from capturelake.llm.kneser_ney import Arrays, _flat
+
+#: A class is valid from so many tokens and pages, however many the host has.
+LEAST_TOKENS, LEAST_PAGES = 2, 3
+#: A text is a slot's fixed part on this share of the slot's pages, and one of
+#: a few that sections of the host have on this one, if nearly all are such.
+SHARE, SECTION, FULL = 0.5, 0.05, 0.9
+#: Where other texts are around it (and in an article always) a text is the
 #: template's only from so many pages.
-ARTICLE_PAGES = 10
+SURE_PAGES = 10
 #: A slot with a larger share of characters in links is navigation.
 LINKS = 0.5
-#: Templates up to so many bytes are broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Rows of a host's template that are put in one part of it.
+PART_ROWS = 20_000
+#: Pages whose texts are looked up at once.
+PAGES = 256
 
 # Kinds of elements.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -186,7 +190,6 @@ def _occurrences(pages: DataFrame) -> DataFrame:
         for url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             where, key = host(url), _long(page or "")
             found, paths = blocks(page or "")
-            rows.append((where, "page", "", 0, key, 1, 0, 0))
             size, link, number, around, around_link = Counter(), Counter(), Counter(), Counter(), Counter()
             for p, t, k in found:
                 size[p] += len(t)
@@ -199,6 +202,8 @@ def _occurrences(pages: DataFrame) -> DataFrame:
             rows += [(where, "path", p, _long(p), key, n, around[p], around_link[p]) for p, n in paths.items()]
             rows += [(where, "text", p, text_token(p, t), key, n, n * len(t), 0) for (p, t), n in Counter((p, t) for p, t, _ in found).items()]
             rows += [(where, "slot", p, _long(p), key, number[p], n, link[p]) for p, n in size.items()]
+        if not rows:
+            return
         columns = zip(*rows, strict=True)
         types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "kind", "path", "token", "page", "n", "chars", "links"])
@@ -206,89 +211,120 @@ def _occurrences(pages: DataFrame) -> DataFrame:
     return map_batches(pages, run, "host string, kind string, path string, token long, page long, n long, chars long, links long")
 
 
-def template(rows: list[dict], pages: int) -> dict:
-    """A host's template from its frequent tokens and slots.
-
-    ``rows`` have kind, path, token, class (an equivalence class), pages,
-    total, chars and links.  Classes that are not valid are left out; the
-    elements of the others nest by path.
-
-    ``fixed`` are the texts that the template holds.  Within an article a path
-    with other texts too is a slot, where pages may have equal texts: there
-    they are the template's only on ARTICLE_PAGES pages.  ``places`` are the
-    slots and the elements, each with whether it is mostly links.  ``husks``
-    are the elements of articles that have no other text than the template's.
-    """
-    classes: dict[int, list[dict]] = {}
-    for r in rows:
-        if r["kind"] != "slot":
-            classes.setdefault(r["class"], []).append(r)
-    valid = [r for v in classes.values() if len(v) >= LEAST_TOKENS for r in v]
-    held: Counter = Counter()
-    for r in valid:
-        if r["kind"] == "text":
-            held[r["path"]] += r["total"]
-    slots = {r["path"]: r for r in rows if r["kind"] == "slot"}
-    open_ = {p for p, r in slots.items() if held[p] < r["total"]}
-    elements = [r for r in valid if r["kind"] == "path"]
-    places = [r for r in elements if r["chars"]] + list(slots.values())
-    fixed = [r for r in valid if r["kind"] == "text" and (r["pages"] >= ARTICLE_PAGES or r["path"] not in open_ or not in_article(r["path"]))]
-    own: Counter = Counter()
-    for r in fixed:
-        for e in within(r["path"]):
-            own[e] += r["chars"]
-    return {
-        "pages": pages,
-        "fixed": sorted(r["token"] for r in fixed),
-        "husks": sorted(r["path"] for r in elements if in_article(r["path"]) and own[r["path"]] >= r["chars"]),
-        "places": {r["path"]: int(r["links"] > LINKS * r["chars"]) for r in places},
-    }
-
-
-EMPTY = {"pages": 0, "fixed": [], "husks": [], "places": {}}
-
-
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, template as JSON) of every host with enough pages."""
+    """(host, part, template as JSON): what the pages of each host share, in
+    parts of about PART_ROWS rows by path.
+
+    Classes that are not valid are left out, but no share of the host's pages
+    is asked: a layout or section has its own classes.  ``fixed`` are the
+    texts that the template holds.  A text of a valid class is such if half
+    of the pages with its path have it; or its class has an element of the
+    page, so that it belongs to a layout; or the path has few texts but of
+    that kind.  Where a path has other texts, pages may have equal ones by
+    chance: in an article the text must be on SURE_PAGES pages and half of the
+    path's, elsewhere a class without elements must be on SURE_PAGES too.
+    ``places`` are slots and elements, each with whether it is mostly links;
+    ``husks`` the elements of articles without other text than the template's.
+    """
     found = _occurrences(pages.select(F.col(url).cast("string"), F.col(html).cast("string")))
     # a page that repeats another counts once
     once = found.distinct()
     sums = once.groupBy("host", "kind", "path", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("page", "n")).alias("sign"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    sums = written(sums.where("pages > 1 or kind = 'page'"), "tokens")
-    sizes = sums.where("kind = 'page'").select("host", F.col("pages").alias("of")).where(F.col("of") >= LEAST_PAGES)
-    # a share of the host's pages: few rows for each host
-    often = sums.where("kind <> 'page'").join(sizes, "host").where(F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("of") * SHARE))
-    row = F.struct("kind", "path", "token", F.xxhash64("pages", "total", "sign").alias("class"), "pages", "total", "chars", "links")
-    grouped = often.groupBy("host").agg(F.first("of").alias("of"), F.to_json(F.collect_list(row)).alias("rows"))
+    sums = written(sums.where(F.col("pages") >= LEAST_PAGES), "tokens")
+    tokens = sums.where("kind <> 'slot'").withColumn("class", F.xxhash64("pages", "total", "sign"))
+    classes = tokens.groupBy("host", "class").agg(F.count("*").alias("size"), F.count_if(F.col("kind") == "path").alias("elements")).where(F.col("size") >= LEAST_TOKENS)
+    valid = tokens.join(classes, ["host", "class"])
+    slots = sums.where("kind = 'slot'")
+    of = slots.select("host", "path", F.col("pages").alias("of"), F.col("total").alias("all"))
+    texts = valid.where("kind = 'text'").join(of, ["host", "path"])
+    part = F.col("pages") >= F.col("of") * SECTION
+    held = texts.where(part).groupBy("host", "path").agg(F.sum("total").alias("held"))
+    texts = texts.join(held, ["host", "path"], "left")
+    closed = part & (F.col("held") >= F.col("all") * FULL)
+    half, sure, layout = F.col("pages") >= F.col("of") * SHARE, F.col("pages") >= SURE_PAGES, F.col("elements") > 0
+    article = F.col("path").rlike(r"(?i)/(article|main)(?![a-z0-9:_-])")
+    fixed = written(texts.where(closed | F.when(article, half & sure).otherwise(half | layout | (part & sure))).select("host", "path", "token", "chars"), "fixed")
+    elements = valid.where("kind = 'path'").select("host", "path", "chars", "links")
+    places = slots.select("host", "path", "chars", "links").union(elements.where("chars > 0").join(of, ["host", "path"], "left_anti"))
+    steps = F.split("path", "/")
+    around = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    own = fixed.where(article).select("host", "chars", F.explode(around).alias("path")).groupBy("host", "path").agg(F.sum("chars").alias("own"))
+    husks = elements.where(article).join(own, ["host", "path"], "left").where("coalesce(own, 0) >= chars")
+    none = F.lit(None).cast("long")
+    rows = fixed.select("host", F.lit("fixed").alias("kind"), "path", "token").union(places.select("host", F.lit("places"), "path", F.when(F.col("links") > F.col("chars") * LINKS, 1).otherwise(0).cast("long"))).union(husks.select("host", F.lit("husks"), "path", none))
+    rows = written(rows, "rows")
+    parts = rows.groupBy("host").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    dealt = rows.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")))
+    grouped = dealt.groupBy("host", "part").agg(F.to_json(F.collect_list(F.struct("kind", "path", "token"))).alias("rows"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [json.dumps(template(json.loads(r), n)) for n, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["host", "template"])
+        made = []
+        for packed in batch.column(2).to_pylist():
+            t: dict = {"fixed": [], "husks": [], "places": {}}
+            for r in json.loads(packed):
+                if r["kind"] == "places":
+                    t["places"][r["path"]] = r["token"]
+                else:
+                    t[r["kind"]].append(r["token"] if r["kind"] == "fixed" else r["path"])
+            made.append(json.dumps(t))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], ["host", "part", "template"])
+
+    return map_batches(grouped, run, "host string, part long, template string")
+
 
-    return map_batches(grouped, run, "host string, template string")
+def _mark(kind: str, where: str, what: str | int) -> int:
+    return _long(f"{kind}\0{where}\0{what}")
 
 
-def main_text(page: str | None, t: dict, fixed: frozenset[int]) -> str:
-    """The blocks in slots of the main text, one a line.
+def _marks(made: DataFrame) -> DataFrame:
+    """(h, v): the rows of all templates, by hash: 1, or for a place 2 if it is mostly links."""
 
-    No text that the template holds is in a slot, and none in a place that is
-    mostly links on the host's pages; a slot that the template does not know
-    is judged by its nearest element that it does.  Of the rest the slots
-    within an article are chosen where the page has one that is more than a
-    husk, else all that are not mostly links on
-    the page.  Elements that are boilerplate by name have no slots.
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for where, _, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            t = json.loads(packed)
+            rows = [(_mark("fixed", where, x), 1) for x in t["fixed"]] + [(_mark("husk", where, x), 1) for x in t["husks"]] + [(_mark("place", where, x), 1 + k) for x, k in t["places"].items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["h", "v"])
+
+    return map_batches(made, run, "h long, v long")
+
+
+def main_texts(pages: list[tuple[str | None, str | None]], arrays: Arrays) -> list[str]:
+    """For each page (url, html) the blocks in slots of the main text, one a line.
+
+    No text that the host's template holds is in a slot, and none in a place
+    that is mostly links on the host's pages; a slot that the template does
+    not know is judged by its nearest element that it does.  Of the rest the
+    slots within an article are chosen where the page has one that is more
+    than a husk, else all that are not mostly links on the page.  Elements
+    that are boilerplate by name have no slots.
     """
-    found, paths = blocks(page or "")
-    article = any(in_article(p) and not boilerplate(p) and p not in t["husks"] for p in paths)
-    kept = []
-    for path, text, linked in found:
-        if boilerplate(path) or not (in_article(path) if article else 2 * linked <= len(text)):
-            continue
-        if next((t["places"][p] for p in within(path) if p in t["places"]), 0):
-            continue
-        if not fixed or text_token(path, text) not in fixed:
-            kept.append(text)
-    return "\n".join(kept)
+    parsed = [(host(url), *blocks(page or "")) for url, page in pages]
+    asked: dict[tuple, int] = {}
+    for where, found, paths in parsed:
+        for p in {p for p, _, _ in found}:
+            for e in within(p):
+                asked.setdefault(("place", where, e), 0)
+        for p, t, _ in found:
+            asked.setdefault(("fixed", where, text_token(p, t)), 0)
+        for p in paths:
+            if in_article(p):
+                asked.setdefault(("husk", where, p), 0)
+    h = np.array([_mark(*k) for k in asked], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    marks = np.zeros(len(h), np.int64)
+    marks[order] = arrays.find(h[order])[0].astype(np.int64)
+    asked = dict(zip(asked, marks.tolist(), strict=True))
+    out = []
+    for where, found, paths in parsed:
+        article = any(in_article(p) and not boilerplate(p) and not asked["husk", where, p] for p in paths)
+        kept = []
+        for path, text, linked in found:
+            if boilerplate(path) or not (in_article(path) if article else 2 * linked <= len(text)):
+                continue
+            if next((v for p in within(path) if (v := asked["place", where, p])), 1) == 1 and not asked["fixed", where, text_token(path, text)]:
+                kept.append(text)
+        out.append("\n".join(kept))
+    return out
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -298,26 +334,23 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     repeated rows each give a row; other columns are not read; an empty table
     gives an empty result.  A host with fewer than LEAST_PAGES distinct pages
     has no template: its pages are judged by their own elements.
+
+    The templates' rows are arrays sorted by hash in the shared folder, which
+    workers map into memory: no host's template has to fit in one of them.
     """
-    made = written(templates(pages, url, html), "templates")
-    size = made.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host")), F.lit(0))).first()[0]
+    spark = pages.sparkSession
+    path, shards = shared_path(spark, "templates"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [""] * shards
+    for shard, name in _flat(_marks(templates(pages, url, html)), "template", path, ["v"], shards).collect():
+        names[shard] = name.partition("/")[2]
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s]*)", 1))
-    joined = rows.withColumn("host", name).join(F.broadcast(made) if size <= BROADCAST_BYTES else made, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, tuple] = {None: (EMPTY, frozenset())}
+        arrays = Arrays(path, names, 1)
         for batch in batches:
-            ids, urls, pages_, made_ = batch.columns
-            texts = []
-            for page, t in zip(pages_.to_pylist(), made_.to_pylist(), strict=True):
-                if t not in known:
-                    if len(known) > 256:
-                        del known[next(k for k in known if k is not None)]
-                    d = json.loads(t)
-                    known[t] = d, frozenset(d["fixed"])
-                texts.append(main_text(page, *known[t]))
-            if len(ids):
+            for at in range(0, batch.num_rows, PAGES):
+                ids, urls, pages_ = batch.slice(at, PAGES).columns
+                texts = main_texts(list(zip(urls.to_pylist(), pages_.to_pylist(), strict=True)), arrays)
                 yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -392,6 +392,21 @@ def test_html_template_within_article(spark):
     assert found == {**{i: f"Title {i}\nStory {i}." for i in range(12)}, **{20 + i: f"Story {i}." for i in range(5)}}
 
 
+def test_html_template_of_layouts(spark, monkeypatch):
+    """Layouts on a third of a host's pages each have classes of their own, also in parts."""
+    page = "<html><body><div class='%s'><p>Fine %s offers</p><section><p>Story %d.</p></section><p>Made with care, %s</p></div></body></html>"
+    rows = [(i, f"http://l.example/{i}", page % (k, k, i, k)) for i in range(24) for k in ["abc"[i % 3]]]
+    # one page in four has the line of its section among paragraphs
+    flat = "<html><body><p>Story %d.</p><p>From the desk of %s</p><p>Sent by %s</p></body></html>"
+    rows += [(100 + i, f"http://m.example/{i}", flat % (i, k, k)) for i in range(48) for k in ["wxyz"[i % 4]]]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {i: f"Story {i % 100}." for i, _, _ in rows}
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+    monkeypatch.setattr(html, "PART_ROWS", 3)
+    assert html.templates(pages).count() > 2
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+
+
 def test_html_survives_bad_markup():
     for bad in ("<p", "<a href=\"x", "<!-- open", "<script>no end", "<" * 5000, "<div " + "a='" * 3000, "</p></p>", "<li><li><p><li>"):
         html.blocks(bad)
