@@ -35,7 +35,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentencepiece.encode(_read(spark, sf_dir, "documents"))
+    rows = sentencepiece.encode(_read(spark, sf_dir, "documents"), k=4)
     return rows.select("doc_id", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "ids_digest", "round_trip")
 
 

@@ -282,6 +282,16 @@ def test_sentencepiece_round_trip(spark, docs, odd, none):
     assert sentencepiece.encode(none).count() == 0
 
 
+def test_sentencepiece_query_draws_four(spark):
+    rows = queries.QUERIES["op6_sentencepiece"](spark, DATA).collect()
+    taken = defaultdict(list)
+    for r in rows:
+        taken[r.doc_id].append(r.ids_digest)
+    assert all(r.round_trip for r in rows) and max(map(len, taken.values())) == 4
+    long = {r.doc_id for r in rows if r.n_tokens > 50}
+    assert long and all(len(set(taken[i])) == 4 for i in long)
+
+
 def kn_brute(rows, order):
     train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     words = lambda t: [*(t or "").encode().lower().split(), None]
