@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,11 +24,14 @@ SPACES = " \t\n\x0b\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    made and set, so that ``checkpoint()`` works as well.
+    Where the session names none and runs in one process (tests) a temporary
+    folder is made and set, so that ``checkpoint()`` works as well; elsewhere
+    that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("capturelake.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="capturelake-")
         spark.conf.set("capturelake.shared.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -61,7 +66,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Remove what :func:`written` wrote, once nothing reads it any more."""
+    _remove(table.sparkSession, table._written_to)
+
+
+def release() -> None:
+    """Give the memory that a worker no longer uses back to the system: the
+    worker lives on, and the next task's is not to come on top of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def text_column(name: str = "text") -> Column:
@@ -90,10 +112,45 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
                     yield out
                 elif out is not None:
                     yield from out
+                out = batch = None
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+#: Bits of a Bloom filter for each key, and the most of all (32 MB): with more
+#: keys more rows pass for one of them, and are told apart by what follows.
+BLOOM_BITS, BLOOM_MOST = 16, 1 << 28
+
+
+def bloom(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A condition on a column of longs that holds for every long in ``keys``,
+    for null, and for few others.  The filter is added up in Spark; the driver
+    gets its bits, BLOOM_MOST of them at most."""
+    spark = keys.sparkSession
+    n = keys.count()
+    bits = 1 << min(BLOOM_MOST.bit_length() - 1, max(10, (BLOOM_BITS * n).bit_length()))
+    h = F.xxhash64(F.col(key).cast("long"))
+    low, step = h.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    at = F.explode(F.array(*((low + step * i).bitwiseAND(F.lit(bits - 1)) for i in range(4))))
+    words = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    def hit(v: pa.Array) -> pa.Array:
+        h = mix(pc.fill_null(v, 0).to_numpy(zero_copy_only=False).view(np.uint64), 42)
+        low, step = h & np.uint64((1 << 32) - 1), (h >> np.uint64(32)) | np.uint64(1)
+        all_ = np.ones(len(h), bool)
+        for i in range(4):
+            at = (low + step * np.uint64(i)) & np.uint64(bits - 1)
+            all_ &= (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return pa.array(all_ | pc.is_null(v).to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(hit, "boolean")
+
+
 def pieces(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Cut a batch's texts into runs of about ``limit`` bytes: (first row, texts).
 

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capturelake.llm.arrays import Arrays, write_arrays
 from capturelake.llm.common import map_batches, shared_path, written
-from capturelake.llm.kneser_ney import Arrays, _flat
 
 #: A class is valid from so many tokens and pages, however many the host has.
 LEAST_TOKENS, LEAST_PAGES = 2, 3
@@ -341,8 +341,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     spark = pages.sparkSession
     path, shards = shared_path(spark, "templates"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [""] * shards
-    for shard, name in _flat(_marks(templates(pages, url, html)), "template", path, ["v"], shards).collect():
-        names[shard] = name.partition("/")[2]
+    for shard, name in write_arrays(_marks(templates(pages, url, html)), "template", path, ["v"], shards).collect():
+        names[shard] = name
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,36 +1,44 @@
 """Language model scoring: interpolated modified Kneser-Ney.
 
-The n-grams are counted in Spark.  Each order's probabilities and each
-context's remaining weight become arrays sorted by hash, in shards that tasks
-write to the shared folder; workers map the shards into memory and look up
-whole batches at once.
-
-A token is known by the 64-bit hash of its bytes, an n-gram by the chained
-hash of its tokens.  With b distinct n-grams about b**2 / 2**65 pairs of them
-have the same hash: one among 6e9.
+Tokens are counted first and numbered by their places in files sorted by hash.
+The n-grams of the highest order are counted in runs of texts and dealt, packed,
+to shards by the token before their last one.  All shorter n-grams that end in
+the same two tokens meet there too, so one shuffle serves every order down to
+two.  A frequent token is cut into pieces by the token before it; only its
+bigrams meet once more.  Each shard's counts and contexts become arrays sorted
+by hash in a file of the shared folder; workers map the files into memory and
+look up whole batches at once.
+
+A token is known by the 64-bit hash of its bytes, an n-gram by its shard and 48
+bits of the chained hash of its tokens' numbers: of the n-grams that were never
+seen about one in 1e8 is taken for one that was.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import uuid
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import bucket, map_batches, mix, pieces, shared_path, text_column, written
+from capturelake.llm.arrays import Counts, Files, Packed, Words, pack, pack_counts, pack_words, scattered, scattered_column, shard_of, write_file
+from capturelake.llm.common import bucket, forget, map_batches, mix, pieces, release, shared_path, text_column, written
 
 ORDER = 3
 #: Bytes of text whose n-grams are counted before they are shuffled.
-RUN_BYTES = 16 << 20
-END, START = xxhash.xxh3_64_intdigest(b"", 1), xxhash.xxh3_64_intdigest(b"", 2)
+RUN_BYTES = 32 << 20
+#: About so many training tokens make a shard, and a quarter of it a piece of a frequent token.
+SHARD_TOKENS = 1 << 21
+#: Distinct tokens in a shard of tokens; the most tokens that are cut into pieces.
+SHARD_WORDS, MOST_CUT = 1 << 20, 1 << 20
+END = xxhash.xxh3_64_intdigest(b"", 1)
 _SEED = 42
 
 
@@ -49,16 +57,15 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), ends
 
 
-def contexts(hashes: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
-    """The n - 1 tokens before each token, nearest last; START before a text."""
+def contexts(hashes: np.ndarray, ends: np.ndarray, n: int, start: int) -> list[np.ndarray]:
+    """The n - 1 tokens before each token, nearest last; ``start`` before a text."""
     out = []
-    first = np.zeros(len(hashes), np.int64)
     starts = np.concatenate([[0], ends[:-1]])
     first = np.arange(len(hashes)) - np.repeat(starts, ends - starts)
     for back in range(n - 1, 0, -1):
         before = np.empty_like(hashes)
         before[back:] = hashes[:-back] if back < len(hashes) else hashes[:0]
-        before[first < back] = START
+        before[first < back] = start
         out.append(before)
     return out
 
@@ -71,35 +78,218 @@ def gram(parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def count_grams(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
-    """(w1, ..., wn, c): the n-grams of the highest order, counted within runs
-    of texts.  A count of the same n-gram may be in several rows."""
-    names = [f"w{i + 1}" for i in range(order)]
+def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, c): the count of every distinct token."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, texts in pieces(batch.column(0), RUN_BYTES):
-            hashes, ends = tokens(texts)
-            parts = [*contexts(hashes, ends, order), hashes]
-            _, at, n = np.unique(gram(parts), return_index=True, return_counts=True)
-            # rows with the same first token together: they take less room in the shuffle
-            by = np.argsort(parts[0][at])
-            at, n = at[by], n[by]
-            yield pa.RecordBatch.from_arrays([*(pa.array(p[at].view(np.int64)) for p in parts), pa.array(n.astype(np.int64))], [*names, "c"])
+            h, c = np.unique(tokens(texts)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    return map_batches(docs.select(text_column(text).alias("text")), run, ", ".join(f"{w} long" for w in names) + ", c long")
+    return map_batches(docs.select(text_column(text).alias("text")), run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Model:
-    """Where the arrays are, and the numbers that hold for all: tokens ``n``,
-    distinct tokens ``v``, discounts of each order, files of each kind by shard."""
+    """Where the files are, and the numbers that hold for all: tokens ``n``,
+    distinct tokens ``v``, discounts of each order, the counts of the empty
+    context and of the start of a text, the frequent tokens and in how many
+    pieces each is, the files of tokens and of what is known of them, of
+    n-grams, and of frequent tokens' bigrams, by shard.
+
+    A token's number is its shard, shifted by ``shift``, and its place in the
+    shard's file; the next two numbers are a text's start and any other token.
+    """
 
     path: str
     order: int
     n: int
     v: int
-    discounts: list[list[float]]
-    files: dict[str, list[str]]
+    shift: int = 0
+    tokens: list[str] = field(default_factory=list)
+    cut: list[int] = field(default_factory=list)
+    pieces: list[int] = field(default_factory=list)
+    shards: int = 1
+    grams: list[str] = field(default_factory=list)
+    bigrams: list[str] = field(default_factory=list)
+    follows: list[str] = field(default_factory=list)
+    discounts: list[list[float]] = field(default_factory=list)
+    empty: list[int] = field(default_factory=lambda: [0] * 4)
+    begin: list[int] = field(default_factory=lambda: [0] * 4)
+
+    @property
+    def start(self) -> int:
+        return len(self.tokens) << self.shift
+
+    @property
+    def bits(self) -> int:
+        return _bits(self.start + 2)
+
+    def in_pieces(self, token: np.ndarray) -> np.ndarray:
+        """In how many pieces the n-grams of each token are."""
+        if not self.cut:
+            return np.ones(len(token), np.int64)
+        cut, n = np.array(self.cut), np.array(self.pieces)
+        at = np.minimum(np.searchsorted(cut, token), len(cut) - 1)
+        return np.where(cut[at] == token, n[at], 1)
+
+    def shard(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The shard of n-grams with ``token`` before the last one: one of its
+        pieces, by the token before it."""
+        piece = mix(before, 7) % self.in_pieces(token).astype(np.uint64)
+        return shard_of(mix(piece, mix(token, 13)), self.shards).astype(np.int64)
+
+
+class Dictionary:
+    """A worker's view of the tokens: numbers and counts by hash."""
+
+    def __init__(self, model: Model) -> None:
+        self.m, self.files = model, Files(model.path, model.tokens)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers and counts of distinct hashes in order."""
+        ids, c = np.full(len(h), self.m.start + 1, np.int64), np.zeros(len(h), np.int64)
+        shard = scattered(h, max(1, len(self.m.tokens)))
+        for i, name in enumerate(self.m.tokens):
+            own = np.flatnonzero(shard == i) if name else ()
+            if len(own):
+                place, c[own] = Words(self.files.raw(i)).find(h[own])
+                ids[own] = np.where(place >= 0, (i << self.m.shift) + place, self.m.start + 1)
+        return ids, c
+
+
+#: What a task gives besides its file.  file: its number, the name, and how
+#: many tokens are in it.  stats: an order, and how many of its n-grams have
+#: the counts one to four.  token: a token, how many different tokens come
+#: before it, and of what follows it the numbers with counts one, two and more
+#: and their total.  cut: a frequent token's bigram and its count so far, or
+#: such a token and its count.
+_SIDE = "kind string, x long, y long, a long, b long, c long, d long, e long, name string"
+
+
+def _side(kind: str, x: np.ndarray, y: np.ndarray | None = None, sums: tuple = (), name: str | None = None) -> pa.RecordBatch:
+    n = len(x)
+    columns = [np.asarray(s, np.int64) for s in (x, y if y is not None else np.zeros(n), *sums)]
+    columns += [np.zeros(n, np.int64)] * (7 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), *map(pa.array, columns), pa.array([name] * n, pa.string())], ["kind", "x", "y", "a", "b", "c", "d", "e", "name"])
+
+
+def _stats(order: int, counts: np.ndarray) -> pa.RecordBatch:
+    found = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)
+    return _side("stats", np.array([order]), sums=tuple([k] for k in found[1:5]))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray] | None:
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return None
+    table = pa.Table.from_batches(got)
+    return [table.column(i).to_numpy() for i in range(columns)]
+
+
+def _number(counts: DataFrame, model: Model) -> None:
+    """Write the tokens' files, and say which tokens are cut."""
+    shards, most = max(1, -(-model.v // SHARD_WORDS)), max(SHARD_TOKENS // 4, model.n // MOST_CUT)
+    path = model.path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := _whole(batches, 2)) is not None:
+            h, c = got[0].view(np.uint64), got[1]
+            shard, order = int(scattered(h[:1], shards)[0]), np.argsort(h)
+            h, c = h[order], c[order]
+            yield _side("file", np.array([shard]), sums=([len(h)],), name=write_file(path, f"tokens-{shard}", pack_words(h, c)))
+            large = np.flatnonzero(c > most)
+            yield _side("cut", np.full(len(large), shard), large, (c[large],))
+
+    dealt = counts.select("h", "c", scattered_column(F.col("h"), shards).alias("_to")).repartitionById(shards, F.col("_to"))
+    found = dealt.select("h", "c").mapInArrow(run, _SIDE).collect()
+    model.tokens = [""] * shards
+    for r in found:
+        if r.kind == "file":
+            model.tokens[r.x] = r.name
+            model.shift = max(model.shift, _bits(r.a))
+    cut = sorted(((r.x << model.shift) + r.y, -(-r.a // most)) for r in found if r.kind == "cut")
+    model.cut, model.pieces = [x for x, _ in cut], [k for _, k in cut]
+    model.shards = max(1, -(-model.n // SHARD_TOKENS))
+
+
+def _bits(n: int) -> int:
+    return max(1, int(n - 1).bit_length())
+
+
+def _distinct(columns: list[np.ndarray], n: np.ndarray, bits: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of ``columns`` in order, with the sums of ``n``."""
+    if sum(bits) <= 64:
+        key = np.zeros(len(n), np.uint64)
+        for c, b in zip(columns, bits, strict=True):
+            key = (key << np.uint64(b)) | c.astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(columns[::-1])
+        new = np.zeros(len(n) - 1, bool)
+        for c in columns:
+            new |= c[order][1:] != c[order][:-1]
+    first = np.flatnonzero(np.concatenate([[True], new]))
+    return [c[order[first]] for c in columns], np.add.reduceat(n[order], first)
+
+
+def _encode(columns: list[np.ndarray], n: np.ndarray, size: int) -> bytes:
+    """Rows of tokens, in order, with their counts, byte by byte."""
+    whole = [np.diff(columns[0], prepend=0), *columns[1:]]
+    planes = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes() for c in whole]
+    large = n[n >= 255].astype(np.int64)
+    body = zstandard.ZstdCompressor(level=1).compress(b"".join([*planes, np.minimum(n, 255).astype(np.uint8).tobytes()]))
+    return b"".join([struct.pack("<II", len(n), len(large)), large.tobytes(), body])
+
+
+def _decode(data: bytes, width: int, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    n, large = struct.unpack_from("<II", data)
+    whole = np.frombuffer(data, np.int64, large, 8)
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8 + 8 * large :], n * (width * size + 1)), np.uint8)
+    columns = []
+    for i in range(width):
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :size] = body[i * size * n : (i + 1) * size * n].reshape(size, n).T
+        columns.append(full.view("<i8").ravel())
+    columns[0] = np.cumsum(columns[0])
+    counts = body[width * size * n :].astype(np.int64)
+    counts[counts == 255] = whole
+    return columns, counts
+
+
+def count_grams(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(shard, grams): the n-grams of the highest order, counted within runs of
+    texts and packed by shard.  The columns of a row are the token before the
+    last one, those before it, nearest first, and the last one."""
+    open_: list[Dictionary] = []
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not open_:
+            open_.append(Dictionary(model))
+        for _, texts in pieces(batch.column(0), RUN_BYTES):
+            hashes, ends = tokens(texts)
+            h, ids = np.unique(hashes, return_inverse=True)
+            del hashes
+            # numbered anew in the order of the tokens' numbers, the start last
+            number = open_[0].find(h)[0]
+            order = np.argsort(number)
+            rank = np.empty(len(h), np.int32)
+            rank[order] = np.arange(len(h), dtype=np.int32)
+            ids, number = rank[ids], np.concatenate([number[order], [model.start]])
+            columns = [*contexts(ids, ends, model.order, len(h))[::-1], ids]
+            columns, n = _distinct(columns, np.ones(len(ids), np.int64), [_bits(len(number))] * model.order)
+            del ids
+            columns = [number[c] for c in columns]
+            shard = model.shard(columns[0], columns[1])
+            by = np.argsort(shard.astype(np.uint16) if model.shards < 1 << 16 else shard, kind="stable")
+            edges = np.searchsorted(shard[by], np.arange(model.shards + 1))
+            full = np.flatnonzero(np.diff(edges))
+            made = [_encode([c[by[edges[i] : edges[i + 1]]] for c in columns], n[by[edges[i] : edges[i + 1]]], -(-model.bits // 8)) for i in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(made, pa.binary())], ["shard", "grams"])
+
+    return map_batches(docs.select(text_column(text).alias("text")), run, "shard int, grams binary")
 
 
 def _discounts(stats: dict[int, int]) -> list[float]:
@@ -113,197 +303,196 @@ def _discounts(stats: dict[int, int]) -> list[float]:
     return [min(max(x, 0.1), k + 0.9) for k, x in enumerate(d)]
 
 
-def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of a hash: its upper half, scaled."""
-    return ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+def _following(counts: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Of the counts of each context, which begin at ``first``: how many are one,
+    two and more, and their total."""
+    return [np.add.reduceat(x.astype(np.int64), first) for x in (counts == 1, counts == 2, counts > 2, counts)]
 
 
-def _shard_column(h: Column, shards: int) -> Column:
-    return F.shiftrightunsigned(F.shiftrightunsigned(h, 32) * F.lit(shards).cast("long"), 32).cast("int")
+def _first(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a new row begins in ``columns``, which are in order."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def _write(store: fs.FileSystem, folder: str, kind: str, h: np.ndarray, columns: list[np.ndarray], shards: int) -> Iterator[tuple[int, str, str]]:
-    """Write sorted arrays, one file a shard: the hashes, then each column.
+def _of_tokens(p: np.ndarray, w: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What bigrams in order of their first tokens tell of single tokens."""
+    if len(n):
+        first = _first([p])
+        yield _side("token", p[first], sums=(np.zeros(len(first)), *_following(n, first)))
+        last, before = np.unique(w, return_counts=True)
+        yield _side("token", last, sums=(before,))
 
-    A file gets its name, which has a token, when it is complete: a task that
-    is run again leaves files that no model names.
-    """
-    store.create_dir(folder, recursive=True)
-    order = np.argsort(h)
-    h = h[order]
-    of = _shard(h, shards)
-    edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(h) else [0]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        name = f"{kind}-{int(of[a])}-{uuid.uuid4().hex}"
-        with store.open_output_stream(f"{folder}/_{name}", compression=None) as f:
-            f.write(h[a:b].tobytes())
-            for c in columns:
-                f.write(c[order[a:b]].tobytes())
-        store.move(f"{folder}/_{name}", f"{folder}/{name}")
-        yield int(of[a]), kind, name
-
-
-_SIDE = "kind string, w array<long>, a long, b long, c long, total long, name string"
-
-
-def _side(kind: str, keys: list[np.ndarray], sums: list[np.ndarray], name: str | None = None) -> pa.RecordBatch:
-    n = len(sums[0])
-    flat = np.stack(keys, axis=1).ravel().view(np.int64) if keys else np.zeros(0, np.int64)
-    w = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(keys), pa.int32()), pa.array(flat))
-    sums = [*sums, *[np.zeros(n, np.int64)] * (4 - len(sums))]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n), w, *(pa.array(x.astype(np.int64)) for x in sums), pa.array([name] * n, pa.string())], ["kind", "w", "a", "b", "c", "total", "name"])
-
-
-def _level(grams: DataFrame, names: list[str], path: str, shards: int, top: bool) -> DataFrame:
-    """Add up the counts of one order, write its arrays, and return what the
-    rest of the model needs, already summed within each shard: the numbers of
-    n-grams with counts one, two and more and the total of each context, how
-    many distinct tokens come before each shorter n-gram, how many n-grams
-    have the counts one to four, and (highest order) the tokens' own counts.
-
-    One shuffle: an n-gram goes to the shard of its hash, where Spark adds its
-    counts, and the arrays are written by the same tasks.
-    """
-    k = len(names)
+
+def _shards(grams: DataFrame, model: Model) -> DataFrame:
+    """Add up each shard's n-grams of all orders but one, write its file, and
+    return the rest (see _SIDE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
+        got: list[tuple] = []
+        shard = 0
+        for b in batches:
+            for i, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                shard = i
+                got.append(_decode(data.as_py(), model.order, -(-model.bits // 8)))
         if not got:
             return
-        table = pa.Table.from_batches(got)
-        parts = [table.column(i).to_numpy().view(np.uint64) for i in range(k)]
-        c = table.column(k).to_numpy()
-        del got, table
-        store, folder = fs.FileSystem.from_uri(path)
-        h = gram(parts)
-        for shard, kind, name in _write(store, folder, f"gram{k}", h, [np.minimum(c, 255).astype(np.uint8)], shards):
-            yield _side("file", [np.array([shard], np.uint64)], [np.zeros(1)], f"{kind}/{name}")
-        large = np.flatnonzero(c >= 255)
-        if len(large):
-            for shard, kind, name in _write(store, folder, f"large{k}", h[large], [c[large].astype(np.float64)], shards):
-                yield _side("file", [np.array([shard], np.uint64)], [np.zeros(1)], f"{kind}/{name}")
-        del h
-        stats = np.bincount(np.minimum(c, 5), minlength=6)
-        yield _side("stats", [], [stats[1:2], stats[2:3], stats[3:4], stats[4:5]])
-
-        def sums(keys: list[np.ndarray], columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-            _, at, inverse = np.unique(gram(keys) if keys else np.zeros(len(c), np.uint64), return_index=True, return_inverse=True)
-            return [x[at] for x in keys], [np.bincount(inverse, x, len(at)).astype(np.int64) for x in columns]
-
-        yield _side("context", *sums(parts[:-1], [c == 1, c == 2, c > 2, c]))
-        if k > 1:
-            yield _side("lower", *sums(parts[1:], [np.ones(len(c))]))
-        if top:
-            yield _side("count", *sums(parts[-1:], [c]))
-
-    keyed = grams.withColumn("_shard", _shard_column(F.xxhash64(*names), shards))
-    summed = keyed.repartitionById(shards, F.col("_shard")).groupBy("_shard", *names).agg(F.sum("c").alias("c"))
-    return written(summed.select(*names, "c").mapInArrow(run, _SIDE), f"order{k}")
-
-
-def _flat(rows: DataFrame, kind: str, path: str, columns: list[str], shards: int) -> DataFrame:
-    """Write (h, columns) to sorted arrays; (w, name) of the files."""
+        columns, n = [np.concatenate([c[i] for c, _ in got]) for i in range(model.order)], np.concatenate([k for _, k in got])
+        del got
+        own, columns[0] = np.unique(columns[0], return_inverse=True)
+        bits = [_bits(len(own)), *[model.bits] * (model.order - 1)]
+        hashes, counts, keys, follow = [], [], [], []
+        for k in range(model.order, 1, -1):
+            columns, n = _distinct(columns, n, [*bits[: k - 1], model.bits])
+            before = [*columns[-2:0:-1], own[columns[0]]]
+            h = gram([*before, columns[-1]])
+            if k == 2:
+                cut = model.in_pieces(own)[columns[0]] > 1
+                whole = np.flatnonzero(~cut)
+                yield _side("cut", before[0][cut], columns[1][cut], (n[cut],))
+                yield from _of_tokens(before[0][whole], columns[1][whole], n[whole])
+                h, n = h[whole], n[whole]
+            else:
+                first = _first(columns[:-1])
+                keys.append(gram([b[first] for b in before]))
+                follow.append(_following(n, first))
+            hashes.append(h)
+            counts.append(n)
+            yield _stats(k, n)
+            columns, n = [*columns[: k - 2], columns[-1]], np.ones(len(columns[0]), np.int64)
+        parts = pack(np.concatenate(hashes), [np.concatenate(counts)])
+        parts += pack(np.concatenate([np.zeros(0, np.uint64), *keys]), [np.concatenate([np.zeros(0, np.int64), *(f[i] for f in follow)]) for i in range(4)])
+        yield _side("file", np.array([shard]), name=write_file(model.path, f"grams-{shard}", parts))
+        del hashes, counts, keys, follow, parts, columns, n
+        release()
+
+    return written(grams.repartitionById(model.shards, F.col("shard")).mapInArrow(run, _SIDE), "shards")
+
+
+def _bigrams(summed: DataFrame, model: Model) -> DataFrame:
+    """The frequent tokens' bigrams (x, y) and their counts: a file a shard of
+    the bigram, and the rest (see _SIDE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            table = pa.Table.from_batches(got)
-            store, folder = fs.FileSystem.from_uri(path)
-            values = [table.column(1 + i).to_numpy() for i in range(len(columns))]
-            for shard, k, name in _write(store, folder, kind, table.column(0).to_numpy().view(np.uint64), values, shards):
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([f"{k}/{name}"])], ["shard", "name"])
+        if (got := _whole(batches, 3)) is not None:
+            p, w, n = got
+            h = gram([p, w])
+            shard = int(scattered(h[:1], model.shards)[0])
+            yield _stats(2, n)
+            yield _side("file", np.array([shard]), name=write_file(model.path, f"bigrams-{shard}", pack(h, [n])))
+
+    # xxhash64 of two longs is their gram()
+    dealt = summed.withColumn("_to", scattered_column(F.xxhash64("x", "y"), model.shards)).repartitionById(model.shards, F.col("_to"))
+    return written(dealt.select("x", "y", "a").mapInArrow(run, _SIDE), "bigrams")
 
-    dealt = rows.select("h", *(F.col(c).cast("double") for c in columns)).repartitionById(shards, _shard_column(F.col("h"), shards))
-    return written(dealt.mapInArrow(run, "shard long, name string"), kind)
 
+def _follows(side: DataFrame, summed: DataFrame | None, model: Model) -> list:
+    """Write what is known of each token, by its place, a file a shard of
+    tokens; the rest (see _SIDE), with the counts of the empty context as
+    ``empty`` and those of a text's start as ``begin``."""
+    shards, shift = len(model.tokens), model.shift
 
-def train(docs: DataFrame, order: int = ORDER, text: str = "text", path: str | None = None, shards: int | None = None) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := _whole(batches, 6)) is None:
+            return
+        shard = int(got[0][0]) >> shift
+        if shard == shards:
+            yield _side("begin", np.zeros(1), sums=tuple(x[:1] for x in got[2:]))
+            return
+        place = got[0] & ((1 << shift) - 1)
+        columns = [np.zeros(int(place.max()) + 1, np.int64) for _ in range(5)]
+        for c, x in zip(columns, got[1:], strict=True):
+            c[place] = x
+        n = columns[0][columns[0] > 0]
+        yield _stats(1, n)
+        if len(n):
+            yield _side("empty", np.zeros(1), sums=tuple(_following(n, np.zeros(1, np.int64))))
+        yield _side("file", np.array([shard]), name=write_file(model.path, f"follows-{shard}", pack_counts(columns)))
+
+    rows = side.where("kind = 'token'").select("x", *"abcde")
+    if summed is not None:
+        none = F.lit(0).cast("long")
+        rows = rows.union(summed.select("y", F.lit(1).cast("long"), none, none, none, none))
+        rows = rows.union(summed.select("x", none, *(x.cast("long") for x in (F.col("a") == 1, F.col("a") == 2, F.col("a") > 2, F.col("a")))))
+    rows = rows.groupBy("x").agg(*(F.sum(c).alias(c) for c in "abcde"))
+    dealt = rows.repartitionById(shards + 1, F.shiftright("x", shift).cast("int"))
+    return dealt.mapInArrow(run, _SIDE).collect()
+
+
+def train(docs: DataFrame, order: int = ORDER, text: str = "text", path: str | None = None) -> Model:
     """Count and write the model of ``docs``; see the module's description.
 
     With counts c (raw at the highest order and, below, numbers of distinct
     tokens before) the probability of a token in a context is
     max(c - D(c), 0) / total, plus the context's remaining weight times the
     next lower order's probability; order one is interpolated with 1 / (V + 1),
-    the share of any unseen token.  There are as many shards as the session
-    has shuffle partitions.
+    the share of any unseen token.  The number of shards follows the number of
+    tokens; the driver gets a file name and some numbers of each, and the
+    tokens that are more frequent than a quarter of a shard (MOST_CUT at most).
     """
-    spark = docs.sparkSession
-    path = path or shared_path(spark, "model")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"w{i + 1}" for i in range(order)]
-    files: dict[str, list[str]] = {}
-    discounts: list[list[float]] = []
-
-    def note(found: list[tuple[int, str]]) -> None:
-        for shard, name in found:
-            kind, _, name = name.partition("/")
-            files.setdefault(kind, [""] * shards)[shard] = name
-
-    grams = count_grams(docs, order, text)
-    for k in range(order, 0, -1):
-        own = names[order - k :]
-        side = _level(grams, own, path, shards, k == order)
-        note([(r[0], r[1]) for r in side.where("kind = 'file'").select(F.get("w", F.lit(0)), "name").collect()])
-        n1, n2, n3, n4 = side.where("kind = 'stats'").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("a", "b", "c", "total"))).first()
-        d = _discounts({1: n1, 2: n2, 3: n3, 4: n4})
-        discounts.insert(0, d)
-        if k == order:
-            counts = side.where("kind = 'count'").groupBy(F.get("w", F.lit(0)).alias("w")).agg(F.sum("a").alias("c"))
-            counts = written(counts.select(F.xxhash64("w").alias("h"), "c"), "counts")
-            n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-            note(_flat(counts, "count", path, ["c"], shards).collect())
-        by = [F.get("w", F.lit(i)).alias(own[i]) for i in range(k - 1)]
-        of = side.where("kind = 'context'").groupBy(*by).agg(*(F.sum(x).alias(x) for x in ("a", "b", "c", "total"))).where("total > 0")
-        gamma = (F.col("a") * d[0] + F.col("b") * d[1] + F.col("c") * d[2]) / F.col("total")
-        h = F.xxhash64(*own[:-1]) if k > 1 else F.lit(_SEED).cast("long")
-        note(_flat(of.select(h.alias("h"), gamma.alias("gamma"), "total"), f"context{k}", path, ["gamma", "total"], shards).collect())
-        if k > 1:
-            grams = side.where("kind = 'lower'").select(*(F.get("w", F.lit(i)).alias(own[i + 1]) for i in range(k - 1)), F.col("a").alias("c"))
-    return Model(path, order, int(n), int(v), discounts, files)
-
-
-class Arrays:
-    """A worker's view of one kind of array: its shards, mapped into memory.
-
-    A store that cannot be mapped is read instead, shard by shard as used.
-    """
-
-    def __init__(self, path: str, names: list[str], columns: int, dtype: type = np.float64) -> None:
-        self.store, self.folder = fs.FileSystem.from_uri(path)
-        self.local = re.match(r"file:|/", path) is not None
-        self.names, self.columns, self.dtype, self.open = names, columns, np.dtype(dtype), {}
-
-    def shard(self, i: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        if i not in self.open:
-            if not self.names[i]:
-                raw = np.zeros(0, np.uint8)
-            elif self.local:
-                raw = np.memmap(f"{self.folder}/{self.names[i]}", np.uint8, "r")
-            else:
-                with self.store.open_input_file(f"{self.folder}/{self.names[i]}") as f:
-                    raw = np.frombuffer(f.read_buffer(), np.uint8)
-            width = self.dtype.itemsize
-            n = len(raw) // (8 + width * self.columns)
-            h = raw[: 8 * n].view(np.uint64)
-            self.open[i] = h, [raw[8 * n + width * n * c : 8 * n + width * n * (c + 1)].view(self.dtype) for c in range(self.columns)]
-        return self.open[i]
-
-    def find(self, h: np.ndarray) -> list[np.ndarray]:
-        """The columns for each of the hashes, zero where there is none.  ``h``
-        is sorted, so that the arrays are read in order."""
-        out = [np.zeros(len(h), np.float64) for _ in range(self.columns)]
-        if not len(self.names):
-            return out
-        edges = np.searchsorted(_shard(h, len(self.names)), np.arange(len(self.names) + 1, dtype=np.uint64))
-        for i in range(len(self.names)):
-            own = h[edges[i] : edges[i + 1]]
-            if len(own):
-                keys, columns = self.shard(i)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    hit = keys[at] == own
-                    for o, c in zip(out, columns, strict=True):
-                        o[edges[i] : edges[i + 1]] = np.where(hit, c[at], 0)
+    counts = written(count_words(docs, text), "counts")
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    model = Model(path or shared_path(docs.sparkSession, "model"), order, int(n), int(v))
+    _number(counts, model)
+    if order == 1:
+        small = [F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]
+        *stats, more, total = counts.agg(*small, F.count_if(F.col("c") > 2), F.coalesce(F.sum("c"), F.lit(0))).first()
+        model.discounts, model.empty = [_discounts(dict(enumerate(stats, 1)))], [stats[0], stats[1], more, total]
+        forget(counts)
+        return model
+    forget(counts)
+    sides, summed = [_shards(count_grams(docs, model, text), model)], None
+    if model.cut:
+        summed = written(sides[0].where("kind = 'cut'").groupBy("x", "y").agg(F.sum("a").alias("a")), "summed")
+        sides.append(_bigrams(summed, model))
+    last = _follows(sides[0], summed, model)
+    found = [[r for r in s.where("kind in ('file', 'stats')").collect()] for s in sides]
+    for table in [*sides, *([summed] if summed is not None else [])]:
+        forget(table)
+
+    def files(rows: list, shards: int) -> list[str]:
+        names = {r.x: r.name for r in rows if r.kind == "file"}
+        return [names.get(i, "") for i in range(shards)] if names else []
+
+    def sums(rows: list, kind: str, x: int = 0) -> list[int]:
+        own = [r for r in rows if r.kind == kind and r.x == x]
+        return [sum(r[i] for r in own) for i in range(3, 7)]
+
+    model.follows, model.grams = files(last, len(model.tokens)), files(found[0], model.shards)
+    model.bigrams = files(found[1], model.shards) if len(found) > 1 else []
+    every = [last, *([sum(found, [])] * (order - 1))]
+    model.discounts = [_discounts(dict(enumerate(sums(rows, "stats", k), 1))) for k, rows in enumerate(every, 1)]
+    model.empty, model.begin = sums(last, "empty"), sums(last, "begin")
+    return model
+
+
+class _Lookup:
+    """Finds the counts of hashes in files of one kind."""
+
+    def __init__(self, path: str, names: list[str], sections: list[int]) -> None:
+        self.files, self.sections = Files(path, names), sections
+
+    def find(self, section: int, h: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
+        """The counts of each hash in its shard, zero where there are none."""
+        out = [np.zeros(len(h), np.int64) for _ in range(self.sections[section])]
+        n = len(self.files.names)
+        # in order of the files and, within a file, of the hashes
+        if n < 1 << 16:
+            by = np.argsort((shard.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
+        else:
+            by = np.lexsort((h, shard))
+        edges = np.searchsorted(shard[by], np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(edges)):
+            raw, at, own = self.files.raw(int(i)), 0, by[edges[i] : edges[i + 1]]
+            if len(raw):
+                for width in self.sections[: section + 1]:
+                    part = Packed(raw, at, width)
+                    at = part.end
+                for o, c in zip(out, part.find(h[own]), strict=True):
+                    o[own] = c
         return out
 
 
@@ -311,46 +500,115 @@ class Scorer:
     """Looks up batches of texts; a worker opens one."""
 
     def __init__(self, model: Model) -> None:
-        self.m = model
-        of = lambda kind, n, dtype=np.float64: Arrays(model.path, model.files.get(kind, []), n, dtype)
-        orders = range(1, model.order + 1)
-        self.counts = of("count", 1)
-        self.grams, self.large = [of(f"gram{k}", 1, np.uint8) for k in orders], [of(f"large{k}", 1) for k in orders]
-        self.contexts = [of(f"context{k}", 2) for k in orders]
-
-    def _discounted(self, k: int, h: np.ndarray) -> np.ndarray:
-        """The counts of sorted hashes less their discounts."""
-        (c,) = self.grams[k - 1].find(h)
-        large = np.flatnonzero(c >= 255)
-        if len(large):
-            c[large] = self.large[k - 1].find(h[large])[0]
+        self.m, self.tokens = model, Dictionary(model)
+        self.follows = Files(model.path, model.follows)
+        self.grams = _Lookup(model.path, model.grams, [1, 4])
+        self.bigrams = _Lookup(model.path, model.bigrams, [1])
+
+    def _less(self, k: int, c: np.ndarray) -> np.ndarray:
+        """Counts of an order less their discounts."""
         d = self.m.discounts[k - 1]
         return c - np.select([c == 0, c == 1, c == 2], [0.0, d[0], d[1]], d[2])
 
+    def _rest(self, k: int, follow: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The totals of contexts (one if there are none), and the weight that is
+        left for the next lower order."""
+        a, b, c, total = follow
+        d = self.m.discounts[k - 1]
+        seen = total > 0
+        total = np.where(seen, total, 1)
+        return total, np.where(seen, (a * d[0] + b * d[1] + c * d[2]) / total, 1.0)
+
+    def _known(self, ids: np.ndarray) -> list[np.ndarray]:
+        """What is known of each token, and of a text's start."""
+        out = [np.zeros(len(ids), np.int64) for _ in range(5)]
+        shard = ids >> self.m.shift
+        for i, name in enumerate(self.m.follows):
+            own = np.flatnonzero((shard == i) & (ids <= self.m.start)) if name else ()
+            if len(own):
+                counts = Counts(self.follows.raw(i), 0, 5)
+                place = ids[own] & ((1 << self.m.shift) - 1)
+                inside = place < len(counts.small[0])
+                for o, c in zip(out, counts.at(place[inside]), strict=True):
+                    o[own[inside]] = c
+        for o, c in zip(out[1:], self.m.begin, strict=True):
+            o[ids == self.m.start] = c
+        return out
+
     def batch(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """For each text: tokens, known tokens, base score, score."""
         m = self.m
         hashes, ends = tokens(texts)
-        alone, inverse = np.unique(gram([hashes]), return_inverse=True)
-        c = self.counts.find(alone)[0][inverse]
+        alone, w = np.unique(hashes, return_inverse=True)
+        ids, c = self.tokens.find(alone)
         base = np.log10((c + 0.5) / (m.n + 0.5 * (m.v + 1)))
-        p = np.full(len(hashes), 1 / (m.v + 1))
-        before = contexts(hashes, ends, m.order)
-        for k in range(1, m.order + 1):
-            own = before[len(before) - k + 1 :] if k > 1 else []
-            if k == 1:
-                top = self._discounted(1, alone)[inverse]
-                weight, total = (np.full(len(hashes), x[0]) for x in self.contexts[0].find(np.array([_SEED], np.uint64)))
-            else:
-                grams, of = np.unique(gram([*own, hashes]), return_inverse=True)
-                top = self._discounted(k, grams)[of]
-                grams, of = np.unique(gram(own), return_inverse=True)
-                weight, total = (x[of] for x in self.contexts[k - 1].find(grams))
-            seen = total > 0
-            p = np.where(seen, top / np.where(seen, total, 1) + weight * p, p)
+        total, rest = self._rest(1, [np.array([x]) for x in m.empty])
+        if m.order == 1:
+            log = np.log10(self._less(1, c) / total + rest / (m.v + 1))[w]
+        else:
+            ids = np.append(ids, m.start)
+            n, *follow = self._known(ids)
+            one = self._less(1, n) / total + rest / (m.v + 1)
+            # each distinct n-gram once, in order of the token before its last
+            columns = [*contexts(w, ends, m.order, len(alone))[::-1], w]
+            columns, of = _numbered(columns, [_bits(len(ids))] * m.order)
+            p = self._grams(ids, one, follow, columns)
+            log = np.log10(p)[of]
         starts = np.concatenate([[0], ends[:-1]])
         add = lambda x: np.add.reduceat(x, starts)
-        return ends - starts, add((c > 0).astype(np.int64)), add(base), add(np.log10(p))
+        return ends - starts, add((c > 0).astype(np.int64)[w]), add(base[w]), add(log)
+
+    def _grams(self, ids: np.ndarray, one: np.ndarray, follow: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+        """The probabilities of n-grams: columns as in count_grams, by places in ``ids``."""
+        m, p, w = self.m, one[columns[-1]], ids[columns[-1]]
+        spread = [_Runs(columns[:k]) for k in range(1, m.order)]
+        runs = spread[min(1, len(spread) - 1)]
+        if m.order > 2:
+            shard = runs.repeat(m.shard(*(ids[c[runs.first]] for c in columns[:2])))
+        else:
+            shard = m.shard(ids[columns[0]], w)
+        cut = m.in_pieces(ids)[columns[0]] > 1
+        for k, runs in enumerate(spread, 2):
+            context = gram([ids[c[runs.first]] for c in columns[k - 2 :: -1]])
+            h = mix(w, runs.repeat(context))
+            if k == 2:
+                found, own = np.zeros(len(h), np.int64), np.flatnonzero(~cut)
+                found[own] = self.grams.find(0, h[own], shard[own])[0]
+                own = np.flatnonzero(cut)
+                found[own] = self.bigrams.find(0, h[own], scattered(h[own], m.shards).astype(np.int64))[0]
+                total, rest = (x[columns[0]] for x in self._rest(2, follow))
+            else:
+                found = self.grams.find(0, h, shard)[0]
+                total, rest = (runs.repeat(x) for x in self._rest(k, self.grams.find(1, context, shard[runs.first])))
+            p = self._less(k, found) / total + rest * p
+        return p
+
+
+class _Runs:
+    """Where equal rows of columns, which are in order, begin."""
+
+    def __init__(self, columns: list[np.ndarray]) -> None:
+        self.first = _first(columns)
+        self.times = np.diff(np.append(self.first, len(columns[0])))
+
+    def repeat(self, x: np.ndarray) -> np.ndarray:
+        """What each first row has, for each row."""
+        return np.repeat(x, self.times)
+
+
+def _numbered(columns: list[np.ndarray], bits: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of ``columns`` in order, and which of them each row is."""
+    if sum(bits) <= 64:
+        key = np.zeros(len(columns[0]), np.uint64)
+        for c, b in zip(columns, bits, strict=True):
+            key = (key << np.uint64(b)) | c.astype(np.uint64)
+        order = np.argsort(key)
+    else:
+        order = np.lexsort(columns[::-1])
+    first = _first([c[order] for c in columns])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return [c[order[first]] for c in columns], of
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,7 +634,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def save(spark: SparkSession, model: Model) -> None:
-    """Write the model's description beside its arrays."""
+    """Write the model's description beside its files."""
     spark.createDataFrame([(json.dumps(model.__dict__),)], "value string").coalesce(1).write.text(f"{model.path}/model")
 
 
