@@ -35,8 +35,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentencepiece.encode(_read(spark, sf_dir, "documents"), k=4)
-    return rows.select("doc_id", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "ids_digest", "round_trip")
+    rows = sentencepiece.encode(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "copy", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "ids_digest", "round_trip")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
