@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturelake.functions import hms
+from capturelake.functions.text import path_dir, path_stem
 from capturelake.operators import companions, cuts, frames, naming, resolve, trim
+from capturelake.shared import materialised
 from capturelake.sources import companions as companion_files
 from capturelake.sources import flac, sink
 
@@ -25,37 +27,36 @@ def probe(spark: SparkSession, paths: list[str], scan: bool = True) -> DataFrame
     A file that cannot be read has ``ok`` false and its error.  Companions are
     looked for in the files' folders; frames are scanned, if ``scan``, only of
     files that nothing else resolves.  The list of paths is the driver's own;
-    for a table of paths see ``sources.flac.header_table``.
+    for a table of paths see :func:`probe_table`.
     """
     return probe_headers(flac.read_headers(spark, paths), scan)
 
 
+def probe_table(paths: DataFrame, path: str = "path", scan: bool = True) -> DataFrame:
+    """The same for a table of paths, of any number: no path reaches the driver.
+    A null path has a row with that error."""
+    return probe_headers(flac.header_table(paths, path), scan)
+
+
 def probe_headers(headers: DataFrame, scan: bool = True) -> DataFrame:
-    """The same from rows of ``schema.HEADER``."""
+    """The same from rows of ``schema.HEADER``, which are written to the shared
+    folder, so that no file is opened again for its header."""
     spark = headers.sparkSession
+    headers = materialised(headers, "headers")
     rows = resolve.headers_to_captures(headers.where("ok"))
 
     def told(open_: DataFrame) -> DataFrame:
-        from capturelake.functions.text import path_dir, path_stem
-
         own = open_.select("path", path_dir(F.col("path")).alias("dir"), path_stem(F.col("path")).alias("stem"))
-        folders = [r[0] for r in own.select("dir").distinct().toLocalIterator() if r[0]]
-        if not folders:
-            return spark.createDataFrame([], "path string, duration_s double")
-        files = companion_files.list_files(spark, ",".join(folders), False) if len(folders) == 1 else None
-        if files is None:
-            files = companion_files.list_files(spark, folders[0], False)
-            for f in folders[1:]:
-                files = files.unionByName(companion_files.list_files(spark, f, False))
-        plain = files.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).withColumn("dir", F.regexp_replace("dir", "^file:/*", "/"))
-        return companions.first_duration(own.withColumn("dir", F.regexp_replace("dir", "^file:/*", "/")), companion_files.durations(plain)).select("path", "duration_s")
+        files = companion_files.list_folders(own.select(F.col("dir").alias("folder"))).withColumn("dir", F.col("folder"))
+        return companions.first_duration(own, companion_files.durations(files)).select("path", "duration_s")
 
     def counted(left: DataFrame) -> DataFrame:
         if not scan:
             return spark.createDataFrame([], "path string, scanned bigint")
-        paths = [r[0] for r in left.select("path").toLocalIterator()]
-        found = flac.read_frames(spark, paths).join(left.select("path", "min_frame"), "path")
-        return frames.chain_in_order(found, "path", "min_frame").select("path", F.col("counted").alias("scanned"))
+        found = materialised(flac.frame_table(left.select("path")), "frames")
+        wrong = found.where("error is not null").groupBy("path").agg(F.min("error").alias("scan_error"))
+        chain = frames.chain_in_order(found.join(left.select("path", "min_frame").distinct(), "path"), "path", "min_frame")
+        return chain.select("path", F.col("counted").alias("scanned")).join(wrong, "path", "full")
 
     done = resolve.resolve_total(rows, told, counted)
     failed = headers.where("not ok").select("path", "ok", "error", "file_size")

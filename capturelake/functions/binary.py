@@ -18,21 +18,15 @@ def little_endian(data: Column, at: Column | int, n: int) -> Column:
 
 
 def crc8(data: Column) -> Column:
-    """CRC-8 with polynomial 7 and start 0."""
-
-    # eight doublings of a number over GF(2) are linear in its bits: one term for each
-    def linear(crc: Column, i: Column) -> Column:
-        c = crc.bitwiseXOR(F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))
-        out = F.lit(0)
-        for bit in range(8):
-            out = out.bitwiseXOR(F.when(c.bitwiseAND(1 << bit) != 0, _crc_byte(1 << bit)).otherwise(0))
-        return out
-
-    n = F.octet_length(data)
-    return F.when(n == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), linear))
+    """CRC-8 with polynomial 7 and start 0, a table's entry a byte."""
+    table = F.array(*(F.lit(_crc_byte(c)) for c in range(256)))
+    # in Latin-1 a byte is the character of its number
+    text = F.decode(data, "ISO-8859-1")
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda crc, x: F.get(table, crc.bitwiseXOR(F.ascii(x))))
 
 
 def _crc_byte(c: int) -> int:
+    """The table's entry for a byte."""
     for _ in range(8):
         c = ((c << 1) ^ (7 if c & 0x80 else 0)) & 0xFF
     return c

@@ -1,8 +1,9 @@
 """Companion files: logs and audio beside a capture that share its name's start.
 
 Files whose names carry a time stamp join by equality of directory and the name
-up to the stamp; that is the same as one name starting with the other's.  Only
-names without a stamp need the comparison of starts, within a directory.
+up to the stamp; that is the same as one name starting with the other's.  For
+names without a stamp the other names of the directory are cut to the lengths
+that such names have there, and join by equality as well.
 """
 
 from __future__ import annotations
@@ -21,6 +22,15 @@ def _stamped(base: str) -> F.Column:
     return F.col(base).rlike(r"[0-9]{4}\.[0-9]{2}\.[0-9]{2}_[0-9]{2}\.[0-9]{2}\.[0-9]{2}$")
 
 
+def _starts(plain: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """``other`` (dir and ``name``) once for each length of the ``_base`` that
+    ``plain`` has in that directory (``_dir``), with so much of the name as
+    ``_start``."""
+    lengths = plain.groupBy(F.col("_dir").alias("_in")).agg(F.collect_set(F.length("_base")).alias("_lengths"))
+    rows = other.join(lengths, F.col("dir") == F.col("_in")).withColumn("_length", F.explode(F.filter("_lengths", lambda n: n <= F.length(name))))
+    return rows.withColumn("_start", F.substring(name, F.lit(1), F.col("_length"))).drop("_in", "_lengths", "_length")
+
+
 def join_companions(captures: DataFrame, companions: DataFrame, key: str = "path", how: str = "left") -> DataFrame:
     """Each capture with each of its companions.
 
@@ -34,8 +44,7 @@ def join_companions(captures: DataFrame, companions: DataFrame, key: str = "path
     other = staged(other, _cbase=capture_base(F.col("c_stem")))
     stamped, plain = own.where(_stamped("_base")), own.where(~_stamped("_base"))
     found = stamped.join(other, (F.col("_dir") == F.col("dir")) & (F.col("_base") == F.col("_cbase")))
-    # a directory is the join's key, the start its condition
-    started = plain.join(other, (F.col("_dir") == F.col("dir")) & F.col("c_stem").startswith(F.col("_base")))
+    started = plain.join(_starts(plain, other, "c_stem"), (F.col("_dir") == F.col("dir")) & (F.col("_base") == F.col("_start")))
     columns = [key, "_base", "c_stem", "kind", "name", "duration_s"]
     pairs = found.select(*columns).unionByName(started.select(*columns)).withColumnRenamed("_base", "base")
     if how == "inner":
@@ -65,8 +74,8 @@ def first_by_window(captures: DataFrame, companions: DataFrame, key: str = "path
 def ambiguous(captures: DataFrame) -> DataFrame:
     """Captures without a time stamp whose name starts another's: their
     companions may be the other's.  (path, ambiguous)"""
-    own = captures.select("path", "dir", "stem", capture_base(F.col("stem")).alias("base"))
-    plain = own.where(~_stamped("base"))
-    other = own.select(F.col("dir").alias("_dir"), F.col("stem").alias("_other"))
-    hit = plain.join(other, (F.col("dir") == F.col("_dir")) & (F.col("stem") != F.col("_other")) & F.col("_other").startswith(F.col("base")), "left_semi")
+    own = staged(captures.select("path", F.col("dir").alias("_dir"), F.col("stem").alias("_stem")), _base=capture_base(F.col("_stem")))
+    plain = own.where(~_stamped("_base"))
+    other = _starts(plain, captures.select("dir", F.col("stem").alias("_other")), "_other")
+    hit = plain.join(other, (F.col("_dir") == F.col("dir")) & (F.col("_base") == F.col("_start")) & (F.col("_stem") != F.col("_other")), "left_semi")
     return own.select("path").join(hit.select("path", F.lit(True).alias("ambiguous")), "path", "left").fillna(False, ["ambiguous"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from capturelake.functions import rate, text, unwrap
 from capturelake.functions.staged import staged
 from capturelake.functions.text import MOST_U64
+from capturelake.shared import materialised
 
 _WIDE = "decimal(38,0)"
 
@@ -103,22 +104,30 @@ def resolve_cheap(captures: DataFrame) -> DataFrame:
 def resolve_total(captures: DataFrame, companions: Callable[[DataFrame], DataFrame], scan: Callable[[DataFrame], DataFrame], key: str = "path") -> DataFrame:
     """Every capture with its total by priority.
 
-    ``companions`` gives (key, duration_s), ``scan`` (key, scanned), each for
-    the captures it gets: those without a total so far (and with a payload,
-    for the scan).  A key that is null or not unique is not resolved twice:
-    its rows share what is found.
+    ``companions`` gives (key, duration_s), ``scan`` (key, scanned) and, if it
+    likes, ``scan_error``, each for the captures it gets: those without a total
+    so far (and with a payload, for the scan).  A key that is null or not
+    unique is not resolved twice: its rows share what is found.  A scan that
+    failed is a warning, with what was wrong.
+
+    What tag and header give is written to the shared folder, since each later
+    source reads it again.
     """
     c = F.col
-    cheap = resolve_cheap(captures)
+    cheap = materialised(resolve_cheap(captures), "cheap")
     open_ = cheap.where(c("total_samples").isNull())
     told = companions(open_).where("duration_s > 0").groupBy(key).agg(F.min("duration_s").alias("duration_s"))
     left = open_.join(told, key, "left_anti").where((c("audio_offset") > 0) & (c("file_size") > c("audio_offset")))
-    counted = scan(left).where("scanned > 0").groupBy(key).agg(F.max("scanned").alias("scanned"))
+    found = scan(left)
+    if "scan_error" not in found.columns:
+        found = found.withColumn("scan_error", F.lit(None).cast("string"))
+    counted = found.groupBy(key).agg(F.max(F.when(c("scanned") > 0, c("scanned"))).alias("scanned"), F.min("scan_error").alias("scan_error"))
     rows = cheap.join(told, key, "left").join(counted, key, "left")
     need = c("total_samples").isNull()
     by_companion = need & c("duration_s").isNotNull()
-    by_scan = need & c("duration_s").isNull() & c("scanned").isNotNull()
-    warning = F.when(by_scan, scan_warning(c("scanned"), c("audio_bytes"), c("channels"), c("bits_per_sample")))
+    failed = need & c("duration_s").isNull() & c("scan_error").isNotNull()
+    by_scan = need & c("duration_s").isNull() & c("scanned").isNotNull() & c("scan_error").isNull()
+    warning = F.when(failed, F.concat(F.lit("frame scan failed: "), c("scan_error"))).when(by_scan, scan_warning(c("scanned"), c("audio_bytes"), c("channels"), c("bits_per_sample")))
     return (
         rows.withColumn("total_samples_from_companion", F.coalesce(by_companion, F.lit(False)))
         .withColumn("total_samples_scanned", F.coalesce(by_scan, F.lit(False)))
@@ -127,5 +136,5 @@ def resolve_total(captures: DataFrame, companions: Callable[[DataFrame], DataFra
         .withColumn("total_samples_known", c("total_samples").isNotNull())
         .withColumn("provenance", provenance(c("total_samples_from_vorbis"), c("total_samples_from_companion"), c("total_samples_scanned"), c("total_samples_wraps")))
         .withColumn("exactness", exactness(c("total_samples_from_vorbis"), c("total_samples_from_companion"), c("total_samples_scanned"), c("total_samples_estimated")))
-        .drop("duration_s", "scanned")
+        .drop("duration_s", "scanned", "scan_error")
     )

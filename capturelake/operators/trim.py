@@ -24,9 +24,17 @@ def to_blocks(samples: DataFrame, size: int = 65536, key: str = "capture_id", po
     return packed.select(key, "first_sample", F.size("_x").cast("bigint").alias("n"), F.transform("_x", lambda x: x[value]).alias("samples"))
 
 
-def trim_blocks(blocks: DataFrame, plans: DataFrame, key: str = "capture_id") -> DataFrame:
+def trim_blocks(blocks: DataFrame, plans: DataFrame, key: str = "capture_id", size: int | None = None) -> DataFrame:
     """The parts of blocks within each plan (key, start_samples, length_samples):
-    inner blocks whole, edge blocks sliced."""
+    inner blocks whole, edge blocks sliced.
+
+    With the ``size`` of the blocks the least start and the greatest end of all
+    plans are found first and, as constants, reach the blocks' scan: what lies
+    outside them is not read.
+    """
+    if size is not None:
+        first, last = plans.agg(F.min("start_samples"), F.max(F.col("start_samples") + F.col("length_samples"))).first()
+        blocks = blocks.where((F.col("first_sample") > F.lit((first or 0) - size)) & (F.col("first_sample") < F.lit(last or 0)))
     end = F.col("start_samples") + F.col("length_samples")
     rows = blocks.join(plans.select(key, "start_samples", "length_samples"), key).where((F.col("first_sample") < end) & (F.col("first_sample") + F.col("n") > F.col("start_samples")))
     skip = F.greatest(F.col("start_samples") - F.col("first_sample"), F.lit(0))

@@ -40,7 +40,7 @@ CAPTURES = {
 COMPANIONS = {
     "dir": "concat('/cap/', CAST((o_custkey + CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 0 END) % 10 AS STRING))",
     "stem": "CASE WHEN o_orderkey % 50 = 7 THEN concat('Plain_', CAST(o_custkey AS STRING), '_x') ELSE concat('Tape_', CAST(o_custkey AS STRING), '_', {stamp}, '_side') END",
-    "ext": _cases("o_orderkey % 4", "'log'", "'WAV'", "'wav'", "'txt'"),
+    "ext": _cases("o_orderkey % 7", "'log'", "'WAV'", "'wav'", "'txt'", "'md'", "'Log'", "'jpg'"),
     "name": "concat('n', CAST(o_orderkey AS STRING))",
     "duration_s": "CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 6 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(o_orderkey % 7000 AS DOUBLE) + 0.25 END",
 }
@@ -59,7 +59,7 @@ FROM (
 """
 CUTS = {
     "event_id": "event_id",
-    "capture_id": "event_id % 1500",
+    "capture_id": "CASE WHEN event_id % 97 = 0 THEN event_id + 1000000000000 ELSE CAST(floor(event_id * 3 / 2) AS BIGINT) END",
     "start_sec": "CASE WHEN event_id % 37 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 41 = 0 THEN CAST(-1 AS DOUBLE) ELSE value END",
     "len_sec": "CASE WHEN event_id % 43 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 47 = 0 THEN CAST(1e14 AS DOUBLE) ELSE CAST(event_id % 50 AS DOUBLE) / 4 END",
 }
@@ -78,7 +78,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def companions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 5 < 3").selectExpr(*_select(COMPANIONS, SPARK_STAMP))
+    return table(spark, sf_dir, "orders").selectExpr(*_select(COMPANIONS, SPARK_STAMP))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,6 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DUCK_CAPTURES = f"captures AS (SELECT {', '.join(_select(CAPTURES, DUCK_STAMP))} FROM orders)"
-DUCK_COMPANIONS = f"companions AS (SELECT {', '.join(_select(COMPANIONS, DUCK_STAMP))} FROM orders WHERE o_orderkey % 5 < 3)"
+DUCK_COMPANIONS = f"companions AS (SELECT {', '.join(_select(COMPANIONS, DUCK_STAMP))} FROM orders)"
 DUCK_FRAMES = f"frames AS ({FRAMES})"
 DUCK_CUTS = f"cuts AS (SELECT {', '.join(_select(CUTS, DUCK_STAMP))} FROM events)"

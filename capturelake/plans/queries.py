@@ -13,12 +13,12 @@ from capturelake.operators import companions as comp
 from capturelake.operators import cuts as cut_op
 from capturelake.operators import frames as frame_op
 from capturelake.operators import naming, resolve, trim
-from capturelake.plans import derived
+from capturelake.plans import derived, files
 from capturelake.sources import companions as side_files
 from capturelake.sources import flac
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(files.QUERIES)
 c = F.col
 
 
@@ -65,8 +65,8 @@ def msps_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PART_PATH = (
-    "concat(p_name, CASE p_partkey % 9 WHEN 0 THEN '_20msps.flac' WHEN 1 THEN '44.1msps_cap.flac' WHEN 2 THEN '1.2.3msps' "
-    "WHEN 3 THEN '_0msps_20MSPS' WHEN 4 THEN '22.32.43.20msps' WHEN 5 THEN ' 20.msps' WHEN 6 THEN '20m_other.flac' WHEN 7 THEN concat('/d/40Msps/', p_brand) ELSE '.flac' END)"
+    "concat(p_name, CASE p_partkey % 9 WHEN 0 THEN ' 18msps.flac' WHEN 1 THEN '35.5msps-take.flac' WHEN 2 THEN '4.5.6msps' "
+    "WHEN 3 THEN '+0msps+12MSPS' WHEN 4 THEN '07.08.09.50msps' WHEN 5 THEN ' 12.msps' WHEN 6 THEN '18m-reel.flac' WHEN 7 THEN concat('/d/40Msps/', p_brand) ELSE '.flac' END)"
 )
 
 
@@ -218,7 +218,7 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.captures(spark, sf_dir).where("scanned > 0")
+    rows = derived.captures(spark, sf_dir)
     return rows.select("capture_id", resolve.scan_warning(c("scanned"), c("audio_bytes"), c("channels"), c("bps")).alias("warning"))
 
 
@@ -307,7 +307,7 @@ def trim_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trim_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = _signal(spark, sf_dir).withColumn("pos", c("pos").cast("bigint"))
     plans = signal.select("capture_id").distinct().select("capture_id", (c("capture_id") % 40).alias("start_samples"), (c("capture_id") % 30 + 1).alias("length_samples"))
-    cut = trim.trim_blocks(trim.to_blocks(signal, 16), plans)
+    cut = trim.trim_blocks(trim.to_blocks(signal, 16), plans, size=16)
     return cut.select("capture_id", "first_sample", F.posexplode("samples").alias("i", "value")).select("capture_id", (c("capture_id") % 40 + c("first_sample") + c("i")).cast("bigint").alias("pos"), c("value").cast("double").alias("value"))
 
 
@@ -356,9 +356,11 @@ def frame_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame headers found in bytes: two with a checksum that fits and one without."""
     rows = derived.captures(spark, sf_dir)
     head = lambda n: F.concat(F.unhex(F.lit("FFF81000")), F.unhex(F.lpad(F.hex(n), 2, "0")))
-    closed = lambda h, add: F.concat(h, F.unhex(F.lpad(F.hex((binary.crc8(h) + add) % 256), 2, "0")))
-    one, two = head(c("capture_id") % 128), head(c("capture_id") % 127)
-    data = F.concat(closed(one, 0), F.unhex(F.repeat(F.lit("00"), (c("capture_id") % 20).cast("int"))), closed(two, 0), closed(one, 1))
+    rows = staged(rows.select("capture_id"), one=head(c("capture_id") % 128), two=head(c("capture_id") % 127))
+    rows = staged(rows, crc1=binary.crc8(c("one")), crc2=binary.crc8(c("two")))
+    byte = lambda n: F.unhex(F.lpad(F.hex(n % 256), 2, "0"))
+    gap = F.unhex(F.repeat(F.lit("00"), (c("capture_id") % 20).cast("int")))
+    data = F.concat("one", byte(c("crc1")), gap, "two", byte(c("crc2")), "one", byte(c("crc1") + 1))
     found = flac.scan_frames(rows.select("capture_id", data.alias("content")), "capture_id")
     return found.select("capture_id", "off", "block_size", "hlen", "number", "variable")
 

@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from capturelake.functions.text import LOG_BYTES, log_duration, path_dir, path_ext, path_name, path_stem
 from capturelake.schema import LOG, WAV
-from capturelake.sources.flac import open_file
+from capturelake.sources.flac import FILES, open_file
 
 #: Chunks of a WAV file that are walked at most.
 CHUNKS = 256
@@ -25,6 +25,31 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> Data
     return files.select(p, path_dir(p).alias("dir"), path_stem(p).alias("stem"), path_ext(p).alias("ext"), path_name(p).alias("name"), F.col("length").alias("file_size"))
 
 
+def list_folders(folders: DataFrame, folder: str = "folder") -> DataFrame:
+    """(folder, path, dir, stem, ext, name, file_size) of the files in each of a
+    table of folders, of any number, listed where its rows are.  A folder that
+    cannot be read has none."""
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pandas as pd
+        from pyarrow import fs
+
+        for batch in batches:
+            for name in batch.iloc[:, 0]:
+                rows = []
+                try:
+                    store, inner = fs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (fs.LocalFileSystem(), name or ".")
+                    head = name[: len(name) - len(inner)] if name.endswith(inner) else ""
+                    rows = [(name, head + i.path, i.size) for i in store.get_file_info(fs.FileSelector(inner)) if i.type == fs.FileType.File]
+                except Exception:  # noqa: BLE001, S110  as if it were empty
+                    pass
+                yield pd.DataFrame(rows, columns=["folder", "path", "file_size"], dtype=object)
+
+    own = folders.select(F.col(folder).alias("folder")).where("folder is not null").distinct()
+    p = F.col("path")
+    return own.mapInPandas(run, "folder string, path string, file_size bigint").select("folder", p, path_dir(p).alias("dir"), path_stem(p).alias("stem"), path_ext(p).alias("ext"), path_name(p).alias("name"), "file_size")
+
+
 def wav_duration(f: Any) -> float | None:
     """Seconds of a RIFF file by its headers: null if it is another kind, not
     finished, or its data come before their format."""
@@ -77,8 +102,8 @@ def _log_row(path: str) -> tuple:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
@@ -86,11 +111,10 @@ class _Reader(DataSourceReader):
         self.paths, self.kind = paths, kind
 
     def partitions(self) -> list[_Part]:
-        return [_Part(p) for p in self.paths] or [_Part("")]
+        return [_Part(self.paths[i : i + FILES]) for i in range(0, max(1, len(self.paths)), FILES)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        if partition.path:
-            yield _wav_row(partition.path) if self.kind == "wav" else _log_row(partition.path)
+        yield from map(_wav_row if self.kind == "wav" else _log_row, partition.paths)
 
 
 class WavHeaders(DataSource):

@@ -7,18 +7,26 @@ systems, so that a path can be a local one or a URI.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from capturelake.schema import FRAMES, HEADER
 
 # Block types and the parts of a frame header.
 STREAMINFO, VORBIS_COMMENT = 0, 4
-#: Longest frame header, and how much of a file a task scans at least.
-LOOK, RANGE = 17, 64 << 20
+#: Longest frame header, how much of a file a task scans at least, and how much
+#: of it is read at once.
+LOOK, RANGE, STEP = 17, 64 << 20, 4 << 20
+#: Files whose headers a task reads.
+FILES = 64
+#: How a frame header begins: its sync bits, then codes of the block size, the
+#: rate, the channels and the sample size of which none is reserved in every use.
+_BEGIN = re.compile(rb"\xff[\xf8\xf9](?=[\x10-\xff][\x00-\xaf])")
 
 
 def open_file(path: str) -> tuple[Any, int]:
@@ -87,9 +95,11 @@ def parse_tags(b: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def header_row(path: str) -> tuple:
+def header_row(path: str | None) -> tuple:
     """A row of HEADER; what is wrong with a file is in its error."""
     none = (None,) * 8
+    if path is None:
+        return (None, False, "null path", None, None, False, *none, None)
     try:
         f, size = open_file(path)
     except Exception as e:  # noqa: BLE001  any store's error is the row's
@@ -146,12 +156,13 @@ def parse_frame(b: bytes, at: int = 0) -> tuple[int, int, int, bool] | None:
 
 
 def read_coded(b: bytes, at: int) -> tuple[int, int] | None:
-    """A number in up to seven bytes, written as UTF-8 writes characters."""
+    """A number in up to eight bytes, written as UTF-8 writes characters: the
+    first byte 0xFF is that of eight."""
     first = b[at]
     if first < 0x80:
         return first, 1
     n = 8 - (first ^ 0xFF).bit_length()
-    if n < 2 or n > 7 or at + n > len(b):
+    if n < 2 or at + n > len(b):
         return None
     value = first & (0x7F >> n)
     for x in b[at + 1 : at + n]:
@@ -164,17 +175,29 @@ def read_coded(b: bytes, at: int) -> tuple[int, int] | None:
 def candidates(data: bytes, base: int, limit: int) -> Iterator[tuple[int, int, int, int, bool]]:
     """(offset, block_size, header bytes, number, variable) of valid headers
     that begin before ``limit`` bytes of ``data``, which is at offset ``base``."""
-    at = data.find(b"\xff")
-    while 0 <= at < limit:
-        found = parse_frame(data[at : at + LOOK])
-        if found:
+    for m in _BEGIN.finditer(data, 0, min(limit + 3, len(data))):
+        at = m.start()
+        if at < limit and (found := parse_frame(data[at : at + LOOK])):
             yield (base + at, *found)
-        at = data.find(b"\xff", at + 1)
+
+
+def scan_range(path: str, start: int, end: int) -> Iterator[tuple]:
+    """(offset from the audio's start, block_size, header bytes, number,
+    variable) of the frame headers that begin in a range of a file's bytes."""
+    f, size = open_file(path)
+    try:
+        audio = read_header(f)[1]
+        for at in range(max(start, audio), end, STEP):
+            stop = min(at + STEP, end)
+            data = f.read_at(min(stop - at + LOOK, size - at), at)
+            yield from candidates(data, at - audio, stop - at)
+    finally:
+        f.close()
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, start: int = 0, end: int = 0) -> None:
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, paths: list[str], start: int = 0, end: int = 0) -> None:
+        self.paths, self.start, self.end = paths, start, end
 
 
 class _HeaderReader(DataSourceReader):
@@ -182,11 +205,10 @@ class _HeaderReader(DataSourceReader):
         self.paths = paths
 
     def partitions(self) -> list[_Part]:
-        return [_Part(p) for p in self.paths] or [_Part("")]
+        return [_Part(self.paths[i : i + FILES]) for i in range(0, max(1, len(self.paths)), FILES)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        if partition.path:
-            yield header_row(partition.path)
+        yield from map(header_row, partition.paths)
 
 
 class FlacHeaders(DataSource):
@@ -209,25 +231,28 @@ class _FrameReader(DataSourceReader):
         self.paths, self.size = paths, size
 
     def partitions(self) -> list[_Part]:
-        out = []
-        for p in self.paths:
-            row = header_row(p)
-            if row[1]:
-                out += [_Part(p, a, min(a + self.size, row[12])) for a in range(row[13], row[12], self.size)]
-        return out or [_Part("")]
+        # sizes alone, all asked for at once: tasks find where the audio begins
+        return [_Part([p], a, min(a + self.size, n)) for p, n in _sizes(self.paths) for a in range(0, n, self.size)] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        f, size = open_file(partition.path)
-        audio = read_header(f)[1]
-        step = 4 << 20
-        for at in range(partition.start, partition.end, step):
-            stop = min(at + step, partition.end)
-            data = f.read_at(min(stop - at + LOOK, size - at), at)
-            for off, *rest in candidates(data, at - audio, stop - at):
-                yield (partition.path, off, *rest)
-        f.close()
+        for p in partition.paths:
+            try:
+                yield from ((p, *x) for x in scan_range(p, partition.start, partition.end))
+            except ValueError:  # not such a file: it has no frames
+                return
+
+
+def _sizes(paths: list[str]) -> list[tuple[str, int]]:
+    """The paths that are files, with their sizes."""
+    from pyarrow import fs
+
+    local = [p for p in paths if "://" not in p and not p.startswith("file:")]
+    found = dict(zip(local, fs.LocalFileSystem().get_file_info(local), strict=True)) if local else {}
+    for p in paths:
+        if p not in found:
+            store, inner = fs.FileSystem.from_uri(p)
+            found[p] = store.get_file_info(inner)
+    return [(p, found[p].size) for p in paths if found[p].type == fs.FileType.File]
 
 
 class FlacFrames(DataSource):
@@ -264,7 +289,57 @@ def header_table(paths: DataFrame, path: str = "path") -> DataFrame:
             out["tags"] = [None if t is None else [{"k": k, "v": v} for k, v in t] for t in out["tags"]]
             yield out
 
-    return paths.select(path).where(f"{path} is not null").mapInPandas(run, HEADER)
+    return paths.select(path).mapInPandas(run, HEADER)
+
+
+def frame_table(paths: DataFrame, path: str = "path", size: int = RANGE) -> DataFrame:
+    """The frame headers of a table of paths, as rows of FRAMES with ``error``:
+    a row of its own, without an offset, for what could not be read.
+
+    Ranges of ``size`` bytes are dealt to tasks; nothing is opened on the
+    driver, and a file that fails does not fail the others.
+    """
+
+    def sized(batches: Iterator[Any]) -> Iterator[Any]:
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for p in batch.iloc[:, 0]:
+                try:
+                    f, n = open_file(p)
+                    f.close()
+                    out.append((p, n, None))
+                except Exception as e:  # noqa: BLE001  any store's error is the row's
+                    out.append((p, None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "n", "error"], dtype=object)
+
+    def scan(batches: Iterator[Any]) -> Iterator[Any]:
+        import pandas as pd
+
+        names = ["path", "off", "block_size", "hlen", "number", "variable", "error"]
+        for batch in batches:
+            for p, start, n in batch.itertuples(index=False):
+                out, error = [], None
+                try:
+                    for x in scan_range(p, int(start), min(int(start) + size, int(n))):
+                        out.append((p, *x, None))
+                        if len(out) >= 50_000:
+                            yield pd.DataFrame(out, columns=names, dtype=object)
+                            out = []
+                except Exception as e:  # noqa: BLE001
+                    error = str(e)
+                if error is not None:
+                    out.append((p, None, None, None, None, None, error))
+                if out:
+                    yield pd.DataFrame(out, columns=names, dtype=object)
+
+    own = paths.select(F.col(path).alias("path")).where("path is not null").distinct()
+    files = own.mapInPandas(sized, "path string, n bigint, error string")
+    starts = files.where("n is not null").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("n", F.lit(1)) - 1, F.lit(size).cast("bigint"))).alias("start"), "n")
+    found = starts.repartition("path", "start").select("path", "start", "n").mapInPandas(scan, FRAMES + ", error string")
+    failed = files.where("error is not null")
+    return found.unionByName(failed.select("path", "error"), allowMissingColumns=True)
 
 
 def read_frames(spark: SparkSession, paths: list[str], size: int = RANGE) -> DataFrame:
@@ -275,8 +350,6 @@ def read_frames(spark: SparkSession, paths: list[str], size: int = RANGE) -> Dat
 def read_tags(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, total_samples, sample_rate, duration_seconds) of each file's RF
     tags; all null where anything fails."""
-    from pyspark.sql import functions as F
-
     from capturelake.functions.text import parse_f64, parse_u64, tag
 
     tags = F.coalesce("tags", F.array().cast("array<struct<k:string,v:string>>"))

@@ -83,12 +83,12 @@ def test_wav(data, seconds):
 
 
 def test_probe_by_priority(spark, tmp_path):
-    stamp = "2026.07.10_22.32.43"
+    stamp = "1999.12.31_23.59.58"
     (tmp_path / "tagged_20msps.flac").write_bytes(header(tags=EARLY) + bytes(50))
     (tmp_path / "plain.flac").write_bytes(header(total=200000000) + bytes(50))
     (tmp_path / f"T_{stamp}_rf.flac").write_bytes(header() + bytes(50))
     (tmp_path / f"T_{stamp}_b.wav").write_bytes(wav(384000))
-    (tmp_path / f"T_{stamp}_a.log").write_text("stopped: duration=6120.27s")
+    (tmp_path / f"T_{stamp}_a.log").write_text("stopped: duration=734.125s")
     (tmp_path / "scan.flac").write_bytes(header() + fixed(0) + bytes(9) + fixed(1) + bytes(9))
     (tmp_path / "none.flac").write_bytes(header() + bytes(50))
     paths = [str(p) for p in tmp_path.glob("*.flac")] + [str(tmp_path / "gone.flac")]
@@ -96,7 +96,7 @@ def test_probe_by_priority(spark, tmp_path):
     got = {k: (r.total_samples, r.provenance) for k, r in rows.items() if r.ok}
     assert got["tagged_20msps.flac"] == (88079600000, "vorbis-tag")
     assert got["plain.flac"] == (200000000, "header")
-    assert got[f"T_{stamp}_rf.flac"] == (122405400000, "companion-file")
+    assert got[f"T_{stamp}_rf.flac"] == (14682500000, "companion-file")
     assert got["scan.flac"] == (384, "scanned-from-frames")
     assert got["none.flac"][0] is None and not rows["none.flac"].total_samples_known
     assert not rows["gone.flac"].ok
@@ -112,6 +112,96 @@ def test_output_names(spark):
     assert dict(map(tuple, rows.collect())) == {"/a/tape.flac": "/a/tape-cut-3.flac", "x": "./x-cut-2.flac", "/a/new.wav": "/a/new-cut.wav"}
 
 
+def test_outputs_of_a_batch_differ(spark):
+    """Different inputs that would have one name take different ones, around those that exist."""
+    existing = spark.createDataFrame([("/a/x-cut-2.flac",), ("./y-cut.flac",)], "path string")
+    inputs = [("/a/x",), ("/a/x.flac",), ("/a/x",), ("y",), ("y.flac",), ("./y.flac",), ("/a/z.wav",)]
+    rows = api.output_paths(spark.createDataFrame(inputs, "path string"), existing)
+    assert dict(map(tuple, rows.collect())) == {"/a/x": "/a/x-cut.flac", "/a/x.flac": "/a/x-cut-3.flac", "./y.flac": "./y-cut-2.flac", "y": "./y-cut-3.flac", "y.flac": "./y-cut-4.flac", "/a/z.wav": "/a/z-cut.wav"}
+
+
+def test_unreadable_things_are_rows(spark, tmp_path, monkeypatch):
+    """A null path, a folder that is not there, and frames that cannot be read: rows, not a failed job."""
+    (tmp_path / "scan.flac").write_bytes(header() + fixed(0) + bytes(9) + fixed(1) + bytes(9))
+    (tmp_path / "other.flac").write_bytes(header(total=200000000) + bytes(50))
+    gone = str(tmp_path / "no" / "such.flac")
+    paths = spark.createDataFrame([(None,), (str(tmp_path / "scan.flac"),), (str(tmp_path / "other.flac"),), (gone,)], "path string")
+    rows = {r.path: r for r in api.probe_table(paths).collect()}
+    assert rows[None].ok is False and rows[None].error == "null path" and rows[gone].error.startswith("open failed")
+    assert rows[str(tmp_path / "scan.flac")].total_samples == 384
+    folders = spark.createDataFrame([(str(tmp_path),), (str(tmp_path / "none"),), (None,)], "folder string")
+    assert sorted(r.name for r in companions.list_folders(folders).collect()) == ["other.flac", "scan.flac"]
+    table = flac.frame_table(spark.createDataFrame([(gone,), (str(tmp_path / "scan.flac"),)], "path string"))
+    assert {(r.path == gone, r.error is None) for r in table.collect()} == {(True, False), (False, True)}
+    # a file whose frames fail after its header was read
+    headers = flac.header_table(paths)
+    saved = [tuple(r) for r in headers.collect()]
+    (tmp_path / "scan.flac").unlink()
+    failed = {r.path: r for r in api.probe_headers(spark.createDataFrame(saved, headers.schema)).collect()}
+    one = failed[str(tmp_path / "scan.flac")]
+    assert one.ok and one.total_samples is None and any(w.startswith("frame scan failed: ") for w in one.warnings)
+    assert failed[str(tmp_path / "other.flac")].total_samples == 200000000
+
+
+def test_coded_numbers():
+    """Up to eight bytes; the first of eight is 0xFF."""
+    for n in (0, 127, 128, 2047, 2048, 65536, 1 << 25, (1 << 36) - 1):
+        size = 1 if n < 128 else next(k for k in range(2, 8) if n < 1 << (5 * k + 1))
+        b = bytes([n]) if size == 1 else bytes([(0xFF << (8 - size) & 0xFF) | n >> 6 * (size - 1)]) + bytes(0x80 | n >> 6 * k & 63 for k in range(size - 2, -1, -1))
+        assert flac.read_coded(b + b"\0", 0) == (n, size)
+        assert flac.read_coded(b[:-1], 0) is None if size > 1 else True
+    eight = b"\xff" + bytes([0x81]) + bytes([0x80] * 5) + bytes([0x82])
+    assert flac.read_coded(eight, 0) == (1 << 36 | 2, 8) and flac.read_coded(b"\x80\x80", 0) is None and flac.read_coded(b"\xff\x80", 0) is None
+
+
+def test_candidates_find_every_header():
+    import random
+
+    rng = random.Random(4)
+    data = b"".join(rng.choice([fixed(rng.randrange(128)), b"\xff", b"\xff\xf8", bytes([rng.randrange(256)])]) for _ in range(4000))
+    slow = [(i, *found) for i in range(3000) if (found := flac.parse_frame(data[i : i + flac.LOOK]))]
+    assert list(flac.candidates(data, 0, 3000)) == slow and slow
+
+
+def test_log_beyond_its_head(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"x" * (64 << 10) + b" duration=5s")
+    (tmp_path / "b.LOG").write_bytes(b"x" * ((64 << 10) - 12) + b" duration=5s" + b"y")
+    files = companions.list_folders(spark.createDataFrame([(str(tmp_path),)], "folder string"))
+    assert {r.name: r.duration_s for r in companions.durations(files).collect()} == {"a.log": None, "b.LOG": 5.0}
+
+
+def test_blocks_are_pruned(spark, tmp_path):
+    """The bounds of the plans reach the scan of written blocks."""
+    from capturelake.operators import trim
+
+    samples = spark.range(10_000).selectExpr("id % 2 AS capture_id", "CAST(id / 2 AS BIGINT) AS pos", "id AS value")
+    trim.to_blocks(samples, 100).write.parquet(str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    plans = spark.createDataFrame([(0, 1000, 250), (1, 1150, 10)], "capture_id bigint, start_samples bigint, length_samples bigint")
+    cut = trim.trim_blocks(blocks, plans, size=100)
+    assert "GreaterThan(first_sample,900)" in cut._jdf.queryExecution().toString() and "LessThan(first_sample,1250)" in cut._jdf.queryExecution().toString()
+    assert sorted(map(tuple, cut.selectExpr("capture_id", "n").groupBy("capture_id").sum("n").collect())) == [(0, 250), (1, 10)]
+    assert trim.trim_blocks(blocks, plans).count() == cut.count() and trim.trim_blocks(blocks, plans.limit(0), size=100).count() == 0
+
+
+def test_plain_names_join_by_prefix(spark):
+    """The same pairs as comparing every name's start."""
+    from capturelake.operators import companions as comp
+
+    stems = ["a", "ab", "abc", "b", "Tape_1999.12.31_23.59.58_x", "", "a.b", "c"]
+    captures = [(i, f"/d{i % 2}", s) for i, s in enumerate(stems * 2)]
+    others = [(f"/d{i % 2}", s + t, "log", f"n{i}", 1.0) for i, (s, t) in enumerate((s, t) for s in stems for t in ("", "_x", "c"))]
+    rows = comp.join_companions(spark.createDataFrame(captures, "path int, dir string, stem string"), spark.createDataFrame(others, "dir string, stem string, ext string, name string, duration_s double"), how="inner")
+    from capturelake.functions import text
+    from pyspark.sql import functions as F
+
+    base = dict(spark.createDataFrame([(s,) for s in stems], "s string").select("s", text.capture_base(F.col("s"))).collect())
+    want = {(i, n) for i, d, s in captures for e, t, _, n, _ in others if d == e and t.startswith(base[s])}
+    assert {(r.path, r.name) for r in rows.collect()} == want
+    found = dict(comp.ambiguous(spark.createDataFrame([(i, d, s) for i, d, s in captures], "path int, dir string, stem string")).collect())
+    assert found == {i: "1999" not in s and any(d == e and t != s and t.startswith(base[s]) for _, e, t in captures) for i, d, s in captures}
+
+
 def test_missing_tool(spark):
     assert sink.tool_available("no-such-tool-here") is False
     ok, code, said = sink.run_tool("a", "b", 0, 1, "no-such-tool-here")
