@@ -39,6 +39,9 @@ SHARE, SECTION, FULL = 0.5, 0.05, 0.9
 SURE_PAGES = 10
 #: A slot with a larger share of characters in links is navigation.
 LINKS = 0.5
+#: The main text is in the element that has such a share of the varying text of
+#: the one around it.
+MAIN = 0.7
 #: Rows of a host's template that are put in one part of it.
 PART_ROWS = 20_000
 #: Pages whose texts are looked up at once.
@@ -52,6 +55,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BARRIERS = {"ul", "ol", "dl", "table", "select"}
 DROPPED = {"head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "button", "select", "dialog", "menu", "iframe", "svg", "canvas", "object", "textarea"}
 ARTICLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3"}
 HINT = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|newsletter|subscribe|sidebar|widget|nav\w*|menu|breadcrumbs?|footer|masthead|comments?|replies|respond|disqus|share|sharing|social|related|recommend\w*|login|signup|search|pagination|pager|toolbar|copyright|legal|skip)(?:[-_\s]|$)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu"}
 
@@ -59,6 +63,8 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']++)*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>""",
     re.S | re.I,
 )
+#: An element deeper than this is taken for a sibling of the one around it.
+DEPTH = 256
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
@@ -82,6 +88,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
     stack: list[tuple[str, str]] = []  # tag, path
     parts: list[str] = []
     linked = links = at = 0
+    unclosed = False
 
     def flush() -> None:
         nonlocal linked
@@ -103,9 +110,13 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
             if links:
                 linked += len(s)
 
-    for m in _TOKEN.finditer(page):
+    # no tag ends after the last >: what stands there is text, but for the rest of
+    # something that is never closed.  Every search that begins before it ends
+    # where the next one begins, so that all of them together read the page once.
+    end = page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, end):
         text(page[at : m.start()])
-        at = m.end()
+        at, unclosed = m.end(), (m[0][:4] == "<!--" and m[0][-3:] != "-->") or (m[1] is not None and not _CLOSED.search(m[0][-64:]))
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
@@ -137,13 +148,16 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
             path = (stack[-1][1] if stack else "") + "/" + label(tag, m[4] or "")
             paths[path] += 1
             links = 0
-            if not (m[4] or "").endswith("/"):
+            if not (m[4] or "").endswith("/") and len(stack) < DEPTH:
                 stack.append((tag, path))
-    text(page[at:])
+    if at < end or not unclosed:
+        tail = page[at:]
+        text(tail[: tail.find("<!--")] if "<!--" in tail else tail)
     flush()
     return out, paths
 
 
+_CLOSED = re.compile(r"</[a-z]+\s*>\Z", re.I)
 _STEP = re.compile(r"/([a-z0-9:_-]+)(!?)", re.I)
 
 
@@ -224,7 +238,8 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     chance: in an article the text must be on SURE_PAGES pages and half of the
     path's, elsewhere a class without elements must be on SURE_PAGES too.
     ``places`` are slots and elements, each with whether it is mostly links;
-    ``husks`` the elements of articles without other text than the template's.
+    ``husks`` the elements of articles without other text than the template's;
+    ``main`` the elements of the main text (see :func:`_main`).
     """
     found = _occurrences(pages.select(F.col(url).cast("string"), F.col(html).cast("string")))
     # a page that repeats another counts once
@@ -248,10 +263,11 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     places = slots.select("host", "path", "chars", "links").union(elements.where("chars > 0").join(of, ["host", "path"], "left_anti"))
     steps = F.split("path", "/")
     around = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
-    own = fixed.where(article).select("host", "chars", F.explode(around).alias("path")).groupBy("host", "path").agg(F.sum("chars").alias("own"))
+    own = written(fixed.select("host", "chars", F.explode(around).alias("path")).groupBy("host", "path").agg(F.sum("chars").alias("own")), "own")
     husks = elements.where(article).join(own, ["host", "path"], "left").where("coalesce(own, 0) >= chars")
+    main = _main(valid.where("kind = 'path'").select("host", "path", "pages", "total", "chars", "links"), own)
     none = F.lit(None).cast("long")
-    rows = fixed.select("host", F.lit("fixed").alias("kind"), "path", "token").union(places.select("host", F.lit("places"), "path", F.when(F.col("links") > F.col("chars") * LINKS, 1).otherwise(0).cast("long"))).union(husks.select("host", F.lit("husks"), "path", none))
+    rows = fixed.select("host", F.lit("fixed").alias("kind"), "path", "token").union(places.select("host", F.lit("places"), "path", F.when(F.col("links") > F.col("chars") * LINKS, 1).otherwise(0).cast("long"))).union(husks.select("host", F.lit("husks"), "path", none)).union(main.select("host", F.lit("main"), "path", none))
     rows = written(rows, "rows")
     parts = rows.groupBy("host").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
     dealt = rows.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")))
@@ -260,7 +276,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = []
         for packed in batch.column(2).to_pylist():
-            t: dict = {"fixed": [], "husks": [], "places": {}}
+            t: dict = {"fixed": [], "husks": [], "main": [], "places": {}}
             for r in json.loads(packed):
                 if r["kind"] == "places":
                     t["places"][r["path"]] = r["token"]
@@ -272,6 +288,32 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     return map_batches(grouped, run, "host string, part long, template string")
 
 
+def _main(elements: DataFrame, own: DataFrame) -> DataFrame:
+    """(host, path) of the template's elements that hold the main text.
+
+    Of an element's text what is in links or held by the template does not
+    count; what is left varies from page to page.  From the outermost element
+    inwards, one that is once on its pages and has MAIN of the varying text of
+    the one around it is the next, as long as it contains elements itself and
+    is not an article yet.  Layouts of a host have main elements of their own.
+    """
+    before = F.expr("substring_index(path, '/', size(split(path, '/')) - 1)")
+    rows = elements.join(own, ["host", "path"], "left").withColumn("before", before)
+    rows = written(rows.withColumn("varying", F.greatest(F.col("chars") - F.col("links") - F.coalesce("own", F.lit(0)), F.lit(0)) / F.col("pages")), "varying")
+    around = rows.select("host", F.col("path").alias("before"), F.col("varying").alias("whole"))
+    holds = rows.select("host", F.col("before").alias("path")).distinct()
+    steps = rows.where((F.col("total") == F.col("pages")) & (F.col("varying") > 0)).join(holds, ["host", "path"], "left_semi")
+    # an article need not contain elements
+    alone = rows.where((F.col("total") == F.col("pages")) & (F.col("varying") > 0) & F.col("path").rlike(r"(?i)/(article|main)(!?\.[^/]*)?$"))
+    steps = steps.unionByName(alone).distinct().join(around, ["host", "before"], "left")
+    steps = steps.where((F.col("whole").isNull() | (F.col("varying") >= F.col("whole") * MAIN)) & ~F.col("before").rlike(r"(?i)/(article|main)(?![a-z0-9:_-])"))
+    steps = written(steps.select("host", "path", "before"), "steps")
+    parts = F.split("path", "/")
+    chain = steps.select("host", "path", "before", F.size(parts).alias("depth"), F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("step"))
+    found = chain.join(steps.select("host", F.col("path").alias("step")), ["host", "step"]).groupBy("host", "path", "before", "depth").agg(F.count("*").alias("n")).where("n = depth - 1")
+    return found.join(found.select("host", F.col("before").alias("path")), ["host", "path"], "left_anti").select("host", "path")
+
+
 def _mark(kind: str, where: str, what: str | int) -> int:
     return _long(f"{kind}\0{where}\0{what}")
 
@@ -282,7 +324,7 @@ def _marks(made: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for where, _, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             t = json.loads(packed)
-            rows = [(_mark("fixed", where, x), 1) for x in t["fixed"]] + [(_mark("husk", where, x), 1) for x in t["husks"]] + [(_mark("place", where, x), 1 + k) for x, k in t["places"].items()]
+            rows = [(_mark("fixed", where, x), 1) for x in t["fixed"]] + [(_mark("husk", where, x), 1) for x in t["husks"]] + [(_mark("main", where, x), 1) for x in t["main"]] + [(_mark("place", where, x), 1 + k) for x, k in t["places"].items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["h", "v"])
 
     return map_batches(made, run, "h long, v long")
@@ -293,10 +335,13 @@ def main_texts(pages: list[tuple[str | None, str | None]], arrays: Arrays) -> li
 
     No text that the host's template holds is in a slot, and none in a place
     that is mostly links on the host's pages; a slot that the template does
-    not know is judged by its nearest element that it does.  Of the rest the
-    slots within an article are chosen where the page has one that is more
-    than a husk, else all that are not mostly links on the page.  Elements
-    that are boilerplate by name have no slots.
+    not know is judged by its nearest element that it does.  Of the rest those
+    in the template's main elements are chosen, and the headings beside these
+    and the elements around them.  Where the host has too few pages for the
+    page's main element to be known, names decide: the slots within an article
+    are chosen where the page has one that is more than a husk, else all that
+    are not mostly links on the page.  Elements that are boilerplate by their
+    kind or name have no slots.
     """
     parsed = [(host(url), *blocks(page or "")) for url, page in pages]
     asked: dict[tuple, int] = {}
@@ -304,6 +349,7 @@ def main_texts(pages: list[tuple[str | None, str | None]], arrays: Arrays) -> li
         for p in {p for p, _, _ in found}:
             for e in within(p):
                 asked.setdefault(("place", where, e), 0)
+                asked.setdefault(("main", where, e), 0)
         for p, t, _ in found:
             asked.setdefault(("fixed", where, text_token(p, t)), 0)
         for p in paths:
@@ -317,9 +363,19 @@ def main_texts(pages: list[tuple[str | None, str | None]], arrays: Arrays) -> li
     out = []
     for where, found, paths in parsed:
         article = any(in_article(p) and not boilerplate(p) and not asked["husk", where, p] for p in paths)
+        main = {e for p, _, _ in found for e in within(p) if asked["main", where, e] and not boilerplate(e)}
+        beside = {e for m in main for e in within(m)}
         kept = []
         for path, text, linked in found:
-            if boilerplate(path) or not (in_article(path) if article else 2 * linked <= len(text)):
+            if boilerplate(path):
+                continue
+            if main:
+                last, _, tag = path.rpartition("/")
+                chosen = any(e in main for e in within(path)) or (last in beside and tag.split(".")[0] in HEADINGS)
+                chosen = chosen and (in_article(path) or 2 * linked <= len(text))
+            else:
+                chosen = in_article(path) if article else 2 * linked <= len(text)
+            if not chosen:
                 continue
             if next((v for p in within(path) if (v := asked["place", where, p])), 1) == 1 and not asked["fixed", where, text_token(path, text)]:
                 kept.append(text)
