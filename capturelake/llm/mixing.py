@@ -4,10 +4,12 @@ Each source's target in words, divided by its size, is the expected number of
 copies of each of its documents.  The whole part is certain.  The rest is a
 Pareto sample: documents are ranked by their random odds U / (1 - U) divided
 by their inclusion odds, and the first ones that fill the rest of the target
-are taken once more.
+are taken once more.  The factor that the inclusion odds of a source's
+documents have in common does not change their order and is left out.
 
 The rank at which a source is full is found from sums over bins of the rank,
-refined twice, so that a source with most of all rows is never in one task.
+refined until few rows are left in a bin, so that a source with most of all
+rows is never in one task.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from capturelake.llm.common import WORD, written
 
 #: Weights of the sources in code point order, repeating; the most copies.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Bins of the rank at each of the two refinements.
-BINS = 1024
+#: Bins of the rank at each refinement; refined at most so often (the ranks'
+#: numbers have no more digits), and until a bin has at most so many rows.
+BINS, REFINEMENTS, FEW = 1024, 4, 20_000
 #: Up to so many sources their plan is broadcast (under 100 bytes each).
 BROADCAST_SOURCES = 200_000
 
@@ -41,7 +44,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     The weights share the sum of all sizes; a target stops at ``most`` times
     its source's size, and the excess goes to the others by weight until none
     is above: the targets are least(most * size, level * weight) for the one
-    level at which they add up.
+    level at which they add up.  A row a source, ordered as a whole.
     """
     everything = Window.partitionBy()
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
@@ -59,49 +62,50 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
-def _rank(u: Column, part: Column, weight: Column) -> Column:
-    """The rank in [0, 1]: Q / (1 + Q) for Q = (u / (1 - u)) / inclusion odds."""
-    odds = F.when(part >= 1, F.lit(None)).otherwise(part / (1 - part)) * weight
-    return u / (u + (1 - u) * odds)
+def _rank(u: Column, weight: Column) -> Column:
+    """The rank in (0, 1): Q / (1 + Q) for Q = u / (1 - u) / weight.  Where the
+    weights are 1 it is u, so the bins of a source are about equally full."""
+    return u / (u + (1 - u) * weight)
 
 
 def _boundary(rows: DataFrame, bin_: Column) -> DataFrame:
-    """For each source the bin of ``rows`` in which it gets full, and what is left before it."""
-    sums = rows.withColumn("bin", bin_).groupBy("source", "room", "bin").agg(F.sum("size").alias("z"))
+    """For each source the bin of ``rows`` in which it gets full, what is left
+    before it, and how many rows are in it."""
+    sums = rows.withColumn("bin", bin_).groupBy("source", "room", "bin").agg(F.sum("size").alias("z"), F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy("bin")
     sums = sums.withColumn("after", F.sum("z").over(order)).withColumn("before", F.col("after") - F.col("z"))
     cut = sums.where((F.col("before") <= F.col("room")) & (F.col("after") > F.col("room")))
-    return cut.select("source", "bin", (F.col("room") - F.col("before")).alias("room"))
+    return cut.select("source", "bin", (F.col("room") - F.col("before")).alias("room"), "n")
 
 
 def plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """For each source: source_size, target, whole copies, fraction, and the last
-    (rank, doc) that is taken once more (null if all are)."""
+    """For each source: source_size, target, whole copies, fraction, what the
+    whole copies leave (room), and the last (rank, doc) that is taken once
+    more: null if none is (room for less than half a word) or all are."""
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    sources = written(targets(sizes, weights, most).withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate)), "sources")
-    sources = sources.withColumn("room", F.col("target") - F.col("whole") * F.col("source_size"))
-
-    def ranked(by: DataFrame) -> DataFrame:
-        return _join(slim, by).withColumn("x", _rank(F.col("u"), F.col("part"), F.col("weight")))
-
-    one = written(_boundary(ranked(sources), F.floor(F.col("x") * BINS)), "bins")
-    inside = sources.drop("room").join(one.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("bin", "bin1")
-    fine = ranked(inside).where(F.floor(F.col("x") * BINS) == F.col("bin1"))
-    two = written(_boundary(fine, F.floor(F.col("x") * BINS * BINS)), "bins")
-    inside = sources.drop("room").join(two.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("bin", "bin2")
-    finest = ranked(inside).where(F.floor(F.col("x") * BINS * BINS) == F.col("bin2"))
+    sources = targets(sizes, weights, most).withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate))
+    sources = written(sources.withColumn("room", F.col("target") - F.col("whole") * F.col("source_size")), "sources")
+    x = _rank(F.col("u"), F.col("weight"))
+    # a document is taken if at most half of it exceeds the room
+    rows = _join(slim, sources.where("room >= 0.5").select("source", "room")).withColumn("x", x)
+    for level in range(1, REFINEMENTS + 1):
+        cut = written(_boundary(rows, F.floor(F.col("x") * BINS**level)), "bins")
+        rows = _join(slim, cut).withColumn("x", x).where(F.floor(F.col("x") * BINS**level) == F.col("bin"))
+        if (cut.agg(F.max("n")).first()[0] or 0) <= FEW:
+            break
     # rows with the same id have the same rank and are taken together
-    rows = finest.groupBy("source", "room", "x", "key").agg(F.sum("size").alias("z"))
+    rows = rows.groupBy("source", "room", "x", "key").agg(F.sum("size").alias("z"))
     order = Window.partitionBy("source").orderBy("x", "key")
     rows = rows.withColumn("after", F.sum("z").over(order)).where(F.col("after") * 2 - F.col("z") <= F.col("room") * 2)
     last = rows.groupBy("source").agg(F.max(F.struct("x", "key")).alias("last"))
     # what the boundary bin has before its first taken row: the bin's lower edge
-    edge = two.select("source", F.struct((F.col("bin").cast("double") / (BINS * BINS)).alias("x"), F.lit(-(1 << 63)).cast("long").alias("key")).alias("edge"))
-    out = sources.join(edge.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    out = out.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    out = out.withColumn("cut", F.coalesce("last", "edge"))
-    return written(out.select("source", "source_size", "target", "whole", "part", "room", "cut"), "plan")
+    edge = cut.select("source", F.struct((F.col("bin").cast("double") / BINS**level).alias("x"), F.lit(-(1 << 63)).cast("long").alias("key")).alias("edge"))
+    out = sources
+    for more in (edge, last):
+        more = more.withColumnRenamed("source", "s")
+        out = out.join(more, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return written(out.withColumn("cut", F.coalesce("last", "edge")).drop("edge", "last"), "plan")
 
 
 def _join(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -118,9 +122,9 @@ def _slim(docs: DataFrame, doc_id: str, text: str, source: str, weight: Column |
 
 def _copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
     rows = _join(rows, sources)
-    here = F.struct(_rank(F.col("u"), F.col("part"), F.col("weight")).alias("x"), F.col("key").alias("key"))
+    here = F.struct(_rank(F.col("u"), F.col("weight")).alias("x"), F.col("key").alias("key"))
     # without a cut nothing (no room) or everything (room for all) is taken
-    more = F.when(F.col("cut").isNotNull(), here <= F.col("cut")).otherwise(F.col("room") >= F.col("source_size"))
+    more = F.when(F.col("cut").isNotNull(), here <= F.col("cut")).otherwise((F.col("room") >= F.col("source_size")) & (F.col("room") >= 0.5))
     return rows.withColumn("copies", F.when(F.col("source_size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0)).cast("long"))
 
 
