@@ -169,12 +169,14 @@ SELECT event_id, CASE WHEN out_s - greatest(t, 0) < 0.1::DOUBLE THEN out_s - 0.1
     "trim_blocks": _CUT_SIGNAL,
     "trim_array": "SELECT vec_id AS capture_id, len(x)::BIGINT AS n, x[1]::DOUBLE AS first_value, x[-1]::DOUBLE AS last_value FROM (SELECT vec_id, embedding[(vec_id % 70 + 1):(vec_id % 70 + vec_id % 30 + 1)] AS x FROM embeddings)",
     "output_name": _with(
-        _PATHS,
+        f"paths AS (SELECT p_partkey, {q.PATHS} AS path FROM part UNION ALL SELECT p_partkey, {q.PATHS} || '.flac' FROM part WHERE p_partkey % 6 = 1)",
         _PARTED,
         f"there AS (SELECT {_NAME} AS name FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 1 END AS n FROM named WHERE p_partkey % 2 = 0 UNION ALL SELECT *, 2 FROM named WHERE p_partkey % 4 = 0 UNION ALL SELECT *, 3 FROM named WHERE p_partkey % 3 = 0))",
-        f"offered AS (SELECT path, n, {_NAME} AS name FROM (SELECT DISTINCT path, dir, stem, ext FROM named), range(1, 6) r(n))",
+        f"offered AS (SELECT path, n, {_NAME} AS name FROM (SELECT DISTINCT path, dir, stem, ext FROM named), range(1, 8) r(n))",
+        "turns AS (SELECT path, row_number() OVER (PARTITION BY name ORDER BY path) AS turn FROM offered WHERE n = 1)",
+        "free AS (SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY n) AS k FROM offered WHERE name NOT IN (SELECT name FROM there))",
     )
-    + "SELECT path, arg_min(name, n) AS output FROM offered WHERE name NOT IN (SELECT name FROM there) GROUP BY path",
+    + "SELECT f.path, f.name AS output FROM free f JOIN turns t ON f.path = t.path AND f.k = t.turn",
     "utf8_truncate": """WITH t AS (SELECT p_partkey, concat(CASE p_partkey % 3 WHEN 0 THEN 'é€😀' WHEN 1 THEN 'ab' ELSE 'ü' END, p_name, 'éé') AS t FROM part)
 SELECT p_partkey, list_filter(list_transform(range(0, length(t) + 1), lambda i: substr(t, 1, i)), lambda s: octet_length(encode(s)) <= 7)[-1] AS short,
   list_filter(list_transform(range(0, length(t) + 1), lambda i: substr(t, 1, i)), lambda s: octet_length(encode(s)) <= 15)[-1] AS long FROM t""",
