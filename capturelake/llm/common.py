@@ -2,58 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capturelake.shared import remove, shared_path
+
 #: The characters that separate words: space, tab, LF, VT, FF and CR.
 #: ``bytes.split()`` without an argument splits on exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Where the session names none and runs in one process (tests) a temporary
-    folder is made and set, so that ``checkpoint()`` works as well; elsewhere
-    that is an error.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("capturelake.shared.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="capturelake-")
-        spark.conf.set("capturelake.shared.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-        atexit.register(_remove, spark, base)
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has been stopped
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage in a
     way that survives the loss of any executor.  The shuffle files that the
@@ -73,7 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def forget(table: DataFrame) -> None:
     """Remove what :func:`written` wrote, once nothing reads it any more."""
-    _remove(table.sparkSession, table._written_to)
+    remove(table.sparkSession, table._written_to)
+
+
+#: Bytes of rows that go to a worker at once, unless the session says.
+BATCH_BYTES, _BATCH = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends batches of BATCH_BYTES to Python from now on, if
+    no size was set: texts differ in length, and rows alone do not bound a batch."""
+    conf = df.sparkSession.conf
+    if _BATCH not in df.sparkSession.conf.getAll and conf.isModifiable(_BATCH):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
 
 
 def release() -> None:
@@ -103,6 +82,7 @@ def spread(key: str, salt: str) -> Column:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` for functions of one batch at a time."""
+    bounded(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,32 +103,36 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
 BLOOM_BITS, BLOOM_MOST = 16, 1 << 28
 
 
-def bloom(keys: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A condition on a column of longs that holds for every long in ``keys``,
-    for null, and for few others.  The filter is added up in Spark; the driver
-    gets its bits, BLOOM_MOST of them at most."""
-    spark = keys.sparkSession
-    n = keys.count()
-    bits = 1 << min(BLOOM_MOST.bit_length() - 1, max(10, (BLOOM_BITS * n).bit_length()))
-    h = F.xxhash64(F.col(key).cast("long"))
-    low, step = h.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
-    at = F.explode(F.array(*((low + step * i).bitwiseAND(F.lit(bits - 1)) for i in range(4))))
-    words = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    table = np.zeros(bits // 64, np.uint64)
-    table[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
-
-    def hit(v: pa.Array) -> pa.Array:
+class Bloom:
+    """A Bloom filter of the longs in a column: holds for each of them, for
+    null, and for few others.  It is added up in Spark; the driver gets its
+    bits, BLOOM_MOST of them at most, and broadcasts them."""
+
+    def __init__(self, keys: DataFrame, key: str) -> None:
+        n = keys.count()
+        bits = 1 << min(BLOOM_MOST.bit_length() - 1, max(10, (BLOOM_BITS * n).bit_length()))
+        h = F.xxhash64(F.col(key).cast("long"))
+        low, step = h.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+        at = F.explode(F.array(*((low + step * i).bitwiseAND(F.lit(bits - 1)) for i in range(4))))
+        words = keys.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+        found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+        table = np.zeros(bits // 64, np.uint64)
+        table[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+        self.bits, self.table = bits, keys.sparkSession.sparkContext.broadcast(table)
+
+    def hits(self, v: pa.Array) -> np.ndarray:
+        """Which of a batch's longs it holds for."""
         h = mix(pc.fill_null(v, 0).to_numpy(zero_copy_only=False).view(np.uint64), 42)
         low, step = h & np.uint64((1 << 32) - 1), (h >> np.uint64(32)) | np.uint64(1)
-        all_ = np.ones(len(h), bool)
+        out = np.ones(len(h), bool)
         for i in range(4):
-            at = (low + step * np.uint64(i)) & np.uint64(bits - 1)
-            all_ &= (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return pa.array(all_ | pc.is_null(v).to_numpy(zero_copy_only=False))
+            at = (low + step * np.uint64(i)) & np.uint64(self.bits - 1)
+            out &= (self.table.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out | pc.is_null(v).to_numpy(zero_copy_only=False)
 
-    return F.arrow_udf(hit, "boolean")
+    def __call__(self, v: Column) -> Column:
+        """The same as a condition on a column."""
+        return F.arrow_udf(lambda a: pa.array(self.hits(a)), "boolean")(v)
 
 
 def pieces(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import written
+from capturelake.llm.common import forget, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,4 +37,5 @@ def stars(edges: DataFrame) -> DataFrame:
         if tuple(sign) == before or not sign[0]:
             return edges
         before = tuple(sign)
-        edges = written(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        forget(last)

@@ -34,8 +34,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentencepiece.encode(_read(spark, sf_dir, "documents"))
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = sentencepiece.MODEL) -> DataFrame:
+    rows = sentencepiece.encode(_read(spark, sf_dir, "documents"), model)
     return rows.select("doc_id", "copy", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "ids_digest", "round_trip")
 
 

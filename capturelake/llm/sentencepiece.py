@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from capturelake.llm.common import bloom, map_batches, mix, pieces, release, written
+from capturelake.llm.common import Bloom, bounded, map_batches, mix, pieces, release, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a text, and the factor of the scores.
@@ -37,7 +37,7 @@ K, THETA = 4, 2e-4
 #: Bytes of text whose lattice is built at once.
 RUN_BYTES = 512 << 10
 #: Nodes of lattices that a worker keeps for the next texts.
-NODES = 1_500_000
+NODES = 750_000
 LOW, HALF = np.uint64((1 << 32) - 1), np.float32(1 / (1 << 32))
 #: The least log weight of a piece: one that the model all but forbids is rare.
 LEAST = -12.0
@@ -546,9 +546,11 @@ def encode(docs: DataFrame, model: str = MODEL, k: int = K, doc_id: str = "doc_i
     shared = spark.sparkContext.broadcast(open(model, "rb").read())  # noqa: SIM115
     open_: list[Encoder] = []
 
-    def run(batches: Iterator[pa.RecordBatch], numbered: bool) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], numbered: bool, without: Bloom | None = None) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in batches:
+            if without is not None:
+                batch = batch.filter(pa.array(~without.hits(batch.column(0))))
             if not open_:
                 open_.append(Encoder(shared.value, k))
             for first, raw in pieces(batch.column(1), RUN_BYTES):
@@ -565,10 +567,12 @@ def encode(docs: DataFrame, model: str = MODEL, k: int = K, doc_id: str = "doc_i
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     again = written(chosen.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    bounded(chosen)
     if again.isEmpty():
         return chosen.mapInArrow(lambda batches: run(batches, False), _ROWS)
-    repeated = bloom(again.where("doc_id is not null"), "doc_id")
-    once = chosen.where(~repeated(F.col("doc_id"))).mapInArrow(lambda batches: run(batches, False), _ROWS)
+    repeated = Bloom(again.where("doc_id is not null"), "doc_id")
+    # the rows that meet are left out by the same worker that encodes the others
+    once = chosen.mapInArrow(lambda batches: run(batches, False, repeated), _ROWS)
     more = chosen.where(repeated(F.col("doc_id"))).repartition("doc_id", F.xxhash64("text"))
     return once.union(more.mapInArrow(lambda batches: run(batches, True), _ROWS))
 

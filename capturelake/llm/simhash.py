@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import map_batches, pieces, text_column, written
+from capturelake.llm.common import Bloom, map_batches, pieces, text_column, written
 from capturelake.llm.components import stars
 
 #: Words in a shingle, most differing bits of a link.
@@ -28,6 +28,8 @@ SHINGLE, DISTANCE = 4, 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: An index entry with more distinct fingerprints than this is refined.
 HEAVY = 512
+#: Fingerprints whose entries a task makes.
+EXPLODED = 100_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -102,7 +104,9 @@ def links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
     The others are compared within finer entries: the 43 bits outside the
     segment, themselves cut in three with one wildcard.
     """
-    index = distinct.select("fp", F.explode(_wildcards(F.col("fp"), SEGMENTS)).alias("key"))
+    # every fingerprint has 64 entries: a task makes those of some, however few bytes they are before
+    parts = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // EXPLODED))
+    index = distinct.select("fp").repartition(parts).select("fp", F.explode(_wildcards(F.col("fp"), SEGMENTS)).alias("key"))
     large = written(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where(F.col("n") > heavy).drop("n"), "entries")
     if large.isEmpty():
         return _pairs(index, ["key"]).distinct()
@@ -124,6 +128,12 @@ def links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return _pairs(light, ["key"]).union(hubs).union(_pairs(finer, ["key", "sub"], loose)).distinct()
 
 
+def _roots(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with ``root``, one fingerprint of its component for all."""
+    roots = stars(links(distinct)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -134,24 +144,48 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     read.  An empty table gives an empty result.
     """
     rows = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = written(distinct, "distinct")
-    roots = stars(links(distinct)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    rooted = _roots(distinct)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component.
-
-    Of rows that repeat that id one stays.  Rows with a null id cannot be told
-    apart by it and all stay.
+    """One row of ``docs`` of each component: that with the smallest id (null is
+    the greatest) and, of rows that repeat it, with the smallest fingerprint,
+    text and other columns.
+
+    Ids of which every row stays pass by a Bloom filter, without a shuffle;
+    only the others' rows, and the few that the filter takes for them, are
+    matched by id and fingerprint.  An empty table gives an empty result;
+    columns may have any names.
     """
-    found = near_duplicates(docs, doc_id, text)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = written(kept.withColumnRenamed("doc_id", "kept_id"), "kept")
-    once = docs.join(kept.where("n = 1"), docs[doc_id] == kept["kept_id"], "left_semi")
-    more = docs.join(kept.where("n > 1"), docs[doc_id] == kept["kept_id"], "left_semi").dropDuplicates([doc_id])
-    return once.unionByName(more).unionByName(docs.where(F.col(doc_id).isNull()))
+    rows = written(fingerprints(docs, doc_id, text), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    distinct = written(rows.groupBy("fp").agg(F.min(order).alias("least")), "distinct")
+    first = _roots(distinct).groupBy("root").agg(F.min(F.struct("least.none", "least.doc_id", "fp")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp"), F.lit(True).alias("_kept"))
+    found = rows.groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    found = found.join(first, found["doc_id"].eqNullSafe(first["_id"]) & (found["fp"] == first["_fp"]), "left")
+    kept = F.coalesce("_kept", F.lit(False))
+    doubtful = written(found.where(~kept | (F.col("n") > 1)).select("doc_id", "fp", kept.alias("kept")), "doubtful")
+    near = Bloom(doubtful.where("doc_id is not null").select("doc_id"), "doc_id")
+    own = docs.columns
+    at = F.col(doc_id).cast("long")
+    hit = near(at)
+    sure, some = docs.where(~hit), docs.where(hit)
+
+    def run(batch: pa.RecordBatch):
+        for start, run in pieces(batch.column(2)):
+            fp = np.array([fingerprint(t) for t in run], np.uint64).view(np.int64)
+            part = batch.slice(start, len(run))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], ["_row", "_id", "_fp"])
+
+    some = some.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), at.alias("_id"), text_column(text).alias("_text"))
+    schema = some.select("_row", "_id").schema.add("_fp", "long")
+    some = map_batches(some, run, schema)
+    some = some.join(doubtful.hint("shuffle_merge"), some["_id"].eqNullSafe(doubtful["doc_id"]) & (some["_fp"] == doubtful["fp"]), "left")
+    some = written(some.where("coalesce(kept, true)").select("_row", "_id", "_fp", "kept"), "matched")
+    ties = some.where("kept").groupBy("_id", "_fp").agg(F.min_by("_row", F.struct(F.col(f"_row.`{text}`"), F.to_json("_row"))).alias("_row"))
+    return sure.union(some.where("kept is null").select("_row.*")).union(ties.select("_row.*"))
