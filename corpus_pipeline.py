@@ -29,7 +29,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates one document, that with the smallest id."""
     return simhash.representatives(docs)
 
 
@@ -38,9 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document."""
-    return sentencepiece.encode(docs)
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str = sentencepiece.MODEL) -> DataFrame:
+    """Sampled segmentations of every document, by a tokenizer's model file."""
+    return sentencepiece.encode(docs, model)
 
 
 STAGES = [
