@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import shared_path, text_column
+from capturelake.llm.common import Bloom, shared_path, text_column, written
 
 # Fixed values of the formats.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -32,6 +32,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 
 #: Plain bytes after which a frame ends, compressed bytes after which a bundle does.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 16 << 20
+#: A payload on more than one in so many of the repeated pages is hot.
+HOT = 1000
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_start long, frame_bytes long, record_start long, record_bytes long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -150,13 +152,25 @@ def roles(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     smallest id is the response, and the others revisit it.  Rows that repeat
     that smallest id with that payload are all responses, and so are rows of
     a payload that has no id at all; other rows without an id are revisits.
-    Only digests are grouped, so a payload with very many copies is combined
-    before it is shuffled.
+    Digests are counted; a page whose digest occurs once passes by a Bloom
+    filter and is not moved.  The others' digests meet their first page: those
+    on more than one in HOT of the repeated pages by a broadcast of HOT rows at most,
+    the rest by a join, in which no digest has more pages than that.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_column(html).alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = rows.join(first, "sha", "left")
+    count = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = written(count.where("n > 1"), "digests")
+    many = (first.agg(F.sum("n")).first()[0] or 0) / HOT
+    repeats = Bloom(first.select(F.xxhash64("sha").alias("h")), "h")
+    short = F.octet_length("payload") < min_bytes
+    some = rows.where(repeats(F.xxhash64("sha")) & ~short)
+    alone = rows.where(~repeats(F.xxhash64("sha")) | short).withColumn("first", F.lit(None).cast("long"))
+    hot = F.broadcast(first.where(F.col("n") > many).select("sha", "first"))
+    rest = first.where(F.col("n") <= many).select("sha", "first")
+    found = alone.select("page_id", "url", "payload", "first")
+    found = found.union(some.join(hot, "sha").select("page_id", "url", "payload", "first"))
+    found = found.union(some.join(hot, "sha", "left_anti").join(rest.hint("shuffle_merge"), "sha", "left").select("page_id", "url", "payload", "first"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return found.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
