@@ -4,7 +4,9 @@ with nulls, empty tables, ties, repeated rows and clashing column names."""
 import base64
 import hashlib
 import itertools
+import json
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -71,8 +73,43 @@ def test_simhash_matches_brute_force(docs, odd, none):
     found = {(r.doc_id, r.fingerprint) for r in simhash.near_duplicates(odd).collect()}
     assert (1, "0" * 16) in found and (2, "0" * 16) in found and len(simhash.near_duplicates(odd).collect()) == len(ODD)
     assert simhash.near_duplicates(none).count() == 0
+
+
+def brute_representatives(rows):
+    """The smallest (id, null last; fingerprint; text) of each component."""
+    fps = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+    best = {}
+    for g, fp, (i, t) in zip(groups(fps), fps, rows, strict=True):
+        signed = int(np.uint64(fp).view(np.int64))
+        best[g] = min(best.get(g, (True, math.inf, 0, "")), (i is None, i or 0, signed, t or ""))
+    return Counter((None if none else i, t) for none, i, _, t in best.values())
+
+
+def test_simhash_representatives(spark, docs, odd, none):
     kept = simhash.representatives(odd)
-    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == {1: 1, 3: 1, None: 1, 5: 1, 6: 1, 7: 1}
+    assert kept.columns == odd.columns
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == brute_representatives([(r[0], r[1]) for r in ODD])
+    assert simhash.representatives(none).count() == 0
+    one, two = ("a tale of some length that is told of this and that and more " * 3, "quite another matter is spoken of in these few words of mine " * 3)
+    # ids that repeat with different texts, copies of them, copies without ids
+    rows = [(3, two), (5, one), (5, two), (7, one), (None, one), (9, None), (8, ""), (None, None), (None, "only here, twice and without an id in any of its rows"), (None, "only here, twice and without an id in any of its rows")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kept", F.lit("x")).withColumn("_row", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.lit("v")))
+    found = simhash.representatives(frame)
+    assert found.columns == frame.columns
+    assert Counter((r.doc_id, r.text or "") for r in found.collect()) == brute_representatives(rows)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert Counter((r.doc_id, r.text or "") for r in simhash.representatives(docs).collect()) == brute_representatives(rows)
+
+
+def test_bloom(spark):
+    from capturelake.llm import common
+
+    rows = spark.range(20000).selectExpr("id * 7919 AS k")
+    near = common.Bloom(rows, "k")
+    assert rows.where(near(F.col("k"))).count() == 20000
+    assert spark.range(20000).selectExpr("id * 7919 + 1 AS k").where(near(F.col("k"))).count() < 400
+    nothing = common.Bloom(rows.limit(0), "k")
+    assert rows.where(nothing(F.col("k"))).count() == 0 and spark.createDataFrame([(None,)], "k bigint").where(nothing(F.col("k"))).count() == 1
 
 
 def test_simhash_fingerprint():
@@ -112,11 +149,11 @@ def test_components(spark):
 
 
 def brute_topk(rows, k):
-    vectors = [(i, np.floor(64 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    vectors = [(i, np.floor(64 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     out = set()
     for i, q in vectors:
         if i % 20 == 0:
-            best = sorted((-int(q @ v), j) for j, v in vectors if j != i)[:k]
+            best = sorted((-int(q @ v), j) for j, v in vectors if j != i and len(v) == len(q))[:k]
             out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
     return out
 
@@ -125,7 +162,7 @@ def brute_topk(rows, k):
 def test_topk_matches_brute_force(spark, block, queries_):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.integers(-3, 4, 6) / 64).tolist()) for i in range(60)]
-    rows += [(60, [0.0] * 6), (100, None), (101, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (102, [math.nan] * 6), (103, [math.inf] + [0.0] * 5), (None, [1.0] * 6), (104, [])]
+    rows += [(60, [0.0] * 6), (100, None), (101, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (102, [math.nan] * 6), (103, [math.inf] + [0.0] * 5), (None, [1.0] * 6), (104, []), (120, []), (140, []), (160, [2.0]), (161, [-1.0])]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("dim", F.lit(3))
     found = topk.search(frame, F.col("vec_id") % 20 == 0, 5, block=block, queries=queries_)
     assert {tuple(r) for r in found.collect()} == brute_topk(rows, 5)
@@ -155,6 +192,20 @@ def test_topk_keeps_long_vectors(spark, block, queries_):
             topk.search(pair, F.col("vec_id") == 0, 5).collect()
 
 
+@pytest.mark.parametrize("block", [5, 16384])
+def test_topk_ties_and_repeated_ids(spark, block):
+    """One vector on most rows: the smaller ids win; ids that repeat are candidates each."""
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(1000 + i, [float(i), 0.0]) for i in range(5)] + [(7, [3.0, 3.0]), (20, [1.0, 2.0]), (7, [3.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = topk.search(frame, F.col("vec_id") % 20 == 0, 6, block=block, queries=3).collect()
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = set()
+    for i, q in set((i, tuple(v)) for i, v in whole if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i)[:6]
+        want |= {(i, n + 1, j, -x) for n, (x, j) in enumerate(best)}
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (9, None, None), (8, "http://a b/\r\nX: y", ""), (None, "u", "é" * 300000), (7, "u", "é" * 300000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload", F.lit(1)).withColumn("sha", F.lit(1))
@@ -171,6 +222,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_one_payload_on_most_pages(spark):
+    """A payload on most pages meets its first page without being gathered in a task."""
+    rows = [(i, f"u{i}", "same" if i % 10 else f"own {i // 20}") for i in range(5000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(8)
+    found = warc.roles(pages).withColumn("part", F.spark_partition_id())
+    by = Counter(r.part for r in found.select("part").collect())
+    assert sum(by.values()) == 5000 and max(by.values()) < 1200
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    assert all(r.refers_to == (first[rows[r.page_id][2]] if first[rows[r.page_id][2]] != r.page_id else None) for r in found.collect())
+
+
 def test_bundle_is_seekable():
     import zstandard
 
@@ -203,6 +267,44 @@ def test_language_held_out(spark, docs, odd, none):
     assert language.identify(odd).count() == len(ODD)
 
 
+def test_language_matches_brute_force(docs):
+    """Features counted letter by letter, and the two steps of the decision spelled out."""
+    def grams(text):
+        c = [ord(x) if x.isalpha() else 0 for x in text.lower()]
+        c = [0, *c, 0]
+        m = 0xFFFFFFFF
+        out = np.zeros(language.SHORT + language.LONG, int)
+        for i, x in enumerate(c):
+            if x:
+                out[(x * 2654435761 & m) >> 21] += 1
+            if i + 1 < len(c) and (x or c[i + 1]):
+                out[((x * 2246822519 & m) ^ (c[i + 1] * 3266489917 & m)) >> 21] += 1
+            if 0 < i < len(c) - 1 and x:
+                two = ((c[i - 1] * 2246822519 & m) ^ (x * 3266489917 & m)) * 668265263 & m
+                out[language.SHORT + (((two ^ (c[i + 1] * 374761393 & m)) * 2654435761 & m) >> 20)] += 1
+        return out
+
+    model = language.train(docs, F.lit(True))
+    for r in docs.where("length(text) < 600").limit(25).collect():
+        if not any(x.isalpha() for x in r.text):
+            continue
+        n = grams(r.text)
+        assert (language.counts(r.text) == n).all()
+        short, long = n[: language.SHORT], n[language.SHORT :]
+        x = np.concatenate([np.sqrt(short / max(1, short.sum())), np.sqrt(long / max(1, long.sum())), [1.0]])
+        margin = model.w.astype(float) @ x
+        p = [1 / (1 + math.exp(-(a * z + b))) for z, (a, b) in zip(margin, model.scale, strict=True)]
+        own = max(range(len(model.families)), key=lambda k: p[k]) if len(model.families) > 1 else 0
+        members = model.members[model.families[own]]
+        wins = Counter()
+        for f, a, b, i in model.pairs:
+            if f == model.families[own]:
+                wins[a if p[i] >= 0.5 else b] += 1
+        got, score = model.predict(r.text)
+        assert got in members and wins[got] == max(wins.values(), default=0)
+        assert 0 <= score <= p[own] / sum(p[: len(model.families)]) + 1e-6
+
+
 def test_language_ignores_other_columns(docs):
     model = language.train(docs, F.col("doc_id") % 3 != 1)
     a = language.predictions(docs, model).collect()
@@ -231,6 +333,50 @@ def test_toxicity_learns_words(spark, none):
     assert toxicity.detect(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_toxicity_network_matches_brute_force():
+    """The response to a text, whole and in runs, and the direction of training."""
+    rng = np.random.default_rng(7)
+    m = toxicity.Model(3)
+    m.embedding = rng.normal(0, 1, m.embedding.shape).astype(np.float32)
+    ids = rng.integers(0, toxicity.BUCKETS, (2, 90)).astype(np.uint32)
+
+    def slow(ids):
+        e = [m.embedding[a] + m.embedding[b + toxicity.BUCKETS] for a, b in ids.T.astype(int)]
+        out = float(m.constant)
+        for k, (f, b) in enumerate(zip(m.filters, m.bias, strict=True)):
+            for q in range(toxicity.FILTERS):
+                best = max((sum(float(f[j, :, q] @ e[i + j]) for j in range(len(f))) + float(b[q]) for i in range(len(e) - len(f) + 1)), default=0.0)
+                out += max(best, 0.0) * float(m.out[k * toxicity.FILTERS + q])
+        return out
+
+    assert m.logit(ids) == pytest.approx(slow(ids), abs=1e-3)
+    long = np.tile(rng.integers(0, 500, (2, 1000)), 40).astype(np.uint32)
+    assert m.logit(long) == pytest.approx(float(m.forward(long)[0] @ m.out + m.constant), abs=1e-3)
+    assert m.logit(ids[:, :0]) == float(m.constant)
+    texts, y = [ids, ids[:, :30][:, ::-1]], np.array([1.0, 0.0])
+    before = [m.logit(t) for t in texts]
+    m.fit(texts, y)
+    assert m.logit(texts[0]) - m.logit(texts[1]) > before[0] - before[1]
+
+
+def test_toxicity_odd_rows(spark, docs, odd, none):
+    labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (5, None), (6, 0), (7, 5)], "doc_id bigint, toxic int")
+    found = toxicity.detect(odd, labels).collect()
+    assert len(found) == len(ODD) and all(0 <= r.score <= 1 for r in found)
+    assert toxicity.clean(odd, toxicity.train(odd, labels)).columns == odd.columns
+    assert toxicity.clean(none, toxicity.train(none, labels)).count() == 0
+    assert toxicity.train(docs.drop("lang"), spark.read.parquet(f"{DATA}/labels.parquet")).languages.names == []
+
+
+def test_toxicity_languages(docs):
+    """Languages are predicted from words alone, as the sample has taught them."""
+    rows = [(toxicity.hashed(toxicity.words(r.text)), r.lang) for r in docs.where("text is not null and lang is not null").collect()]
+    learnt = toxicity.Languages([t for t, _ in rows[::2]], [v for _, v in rows[::2]])
+    rest = [(learnt.guess(t), v) for t, v in rows[1::2] if t.shape[1] > 20]
+    assert sum(a == b for a, b in rest) / len(rest) > 0.97
+    assert learnt.guess(rows[0][0][:, :0]) == toxicity.OTHER
+
+
 def paths(e, s):
     known = {e.v.sp.id_to_piece(i): i for i in range(e.v.sp.vocab_size()) if not e.v.sp.is_byte(i)}
 
@@ -269,9 +415,41 @@ def test_sentencepiece_distribution():
     assert abs(np.mean([sum(math.exp(x[1] - x[3]) for x in f) for f in found]) - 1) < 0.05
 
 
+@pytest.mark.parametrize("text", ["aꙮb", "ꙮꙮ", "x\U0001f9ffy é"])
+def test_sentencepiece_byte_fallback(text):
+    """Characters that are no pieces are written as bytes, in every segmentation with its probability."""
+    e = sentencepiece.Encoder(open(sentencepiece.MODEL, "rb").read(), 4)
+    s = e.v.sp.normalize(text)
+    known = {e.v.sp.id_to_piece(i): i for i in range(e.v.sp.vocab_size()) if not e.v.sp.is_byte(i)}
+
+    def split(t):
+        if not t:
+            yield (), 0.0
+        for j in range(1, len(t) + 1):
+            if t[:j] in known:
+                first, w = (known[t[:j]],), e.v.score[known[t[:j]]]
+            elif j == 1:
+                data = t[0].encode()
+                first, w = tuple(int(e.v.byte[b]) for b in data), e.v.score[e.v.byte[0]] * len(data)
+            else:
+                continue
+            for rest, x in split(t[j:]):
+                yield first + rest, w + x
+
+    every = dict(split(s))
+    total = np.logaddexp.reduce(list(every.values()))
+    n, taken = 1500, Counter()
+    for f in e.sample([text] * n, list(range(n))):
+        taken[tuple(f[0][0].tolist())] += 1
+        assert len({tuple(x[0].tolist()) for x in f}) == min(4, len(every))
+        for ids, log, _, _ in f:
+            assert log == pytest.approx(every[tuple(ids.tolist())] - total, abs=1e-9) and e.v.decode(ids.tolist()) == text
+    assert all(abs(taken[q] / n - math.exp(w - total)) < 0.06 for q, w in every.items())
+
+
 def test_sentencepiece_round_trip(spark, docs, odd, none):
     rows = sentencepiece.encode(docs.limit(50)).collect()
-    assert all(r.round_trip for r in rows) and len(rows) == 100
+    assert all(r.round_trip for r in rows) and len(rows) == 200
     again = sentencepiece.encode(docs.limit(50).repartition(7)).collect()
     assert sorted((r.doc_id, r.sample, r.ids_digest) for r in rows) == sorted((r.doc_id, r.sample, r.ids_digest) for r in again)
     strange = sentencepiece.encode(odd)
@@ -282,12 +460,33 @@ def test_sentencepiece_round_trip(spark, docs, odd, none):
     assert sentencepiece.encode(none).count() == 0
 
 
+def test_sentencepiece_copies(spark):
+    """Rows that repeat id and text have samples of their own, however they are dealt; byte fallback and long parts round-trip."""
+    text = "there is a story of thirteen stones and other things that nobody has written down"
+    rows = [(1, text)] * 3 + [(2, text), (2, "other words of that id"), (None, text), (None, text), (3, "\x00\u0378\U0001f9ff𐍈 ꙮ"), (4, "a" * 3000 + "—" * 200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("copy", F.lit("x")).withColumn("_row", F.lit(1))
+    for parts in (1, 5):
+        found = sentencepiece.encode(frame.repartition(parts)).collect()
+        assert all(r.round_trip for r in found)
+        by = defaultdict(set)
+        for r in found:
+            by[r.doc_id, r.copy].add(r.ids_digest)
+        assert {c for i, c in by if i == 1} == {0, 1, 2} and {c for i, c in by if i is None} == {0, 1} and {c for i, c in by if i == 2} == {0}
+        assert len(by[1, 0] | by[1, 1] | by[1, 2]) > 10
+        last, first = {(r.doc_id, r.copy, r.sample, r.ids_digest) for r in found}, last if parts > 1 else None
+    assert first == last
+    made = sentencepiece.decode(spark.createDataFrame([([5, 6], "x"), (None, "y")], "ids array<int>, decoded string"), into="text")
+    assert made.columns == ["ids", "decoded", "text"] and [r.text is None for r in made.collect()] == [False, True]
+    with pytest.raises(ValueError, match="already"):
+        sentencepiece.decode(made)
+
+
 def test_sentencepiece_query_draws_four(spark):
     rows = queries.QUERIES["op6_sentencepiece"](spark, DATA).collect()
     taken = defaultdict(list)
     for r in rows:
         taken[r.doc_id].append(r.ids_digest)
-    assert all(r.round_trip for r in rows) and max(map(len, taken.values())) == 4
+    assert {r.copy for r in rows} == {0} and all(r.round_trip for r in rows) and max(map(len, taken.values())) == 4
     long = {r.doc_id for r in rows if r.n_tokens > 50}
     assert long and all(len(set(taken[i])) == 4 for i in long)
 
@@ -347,7 +546,42 @@ def test_kneser_ney_matches_brute_force(docs, order):
         assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score == pytest.approx(want[r.doc_id][4])
 
 
-def test_kneser_ney_odd_rows(odd, none):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_in_pieces(docs, monkeypatch, order):
+    """Many shards, and frequent tokens cut into pieces."""
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 160)
+    monkeypatch.setattr(kneser_ney, "SHARD_WORDS", 900)
+    small = docs.where("doc_id < 40")
+    want = kn_brute([(r.doc_id, r.text) for r in small.collect()], order)
+    model = kneser_ney.train(small.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1"), order)
+    assert len(model.grams) > 5 and len(model.cut) > 3 and max(model.pieces) > 2 and len(model.tokens) > 1 and any(model.bigrams)
+    for r in kneser_ney.score(small, model).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
+        assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score == pytest.approx(want[r.doc_id][4])
+
+
+def test_packed_arrays():
+    from capturelake.llm import arrays
+
+    rng = np.random.default_rng(0)
+    h = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    h[1:400] = (h[0] >> np.uint64(32) << np.uint64(32)) | np.arange(1, 400, dtype=np.uint64) << np.uint64(16)  # equal upper halves
+    h = np.unique(h)
+    c = [rng.integers(0, 300, len(h)), rng.integers(0, 3, len(h))]
+    raw = np.frombuffer(b"".join(arrays.pack(h, c) + arrays.pack(h[:0], [c[0][:0]])), np.uint8)
+    found = arrays.Packed(raw, 0, 2)
+    other = h + (np.uint64(1) << np.uint64(50))
+    for got, want in zip(found.find(np.concatenate([h[::-1], other])), c, strict=True):
+        assert (got[: len(h)] == want[::-1]).all()
+        assert got[len(h) :].sum() == sum(int(dict(zip(h.tolist(), want.tolist(), strict=True)).get(x, 0)) for x in other.tolist())
+    assert arrays.Packed(raw, found.end, 1).end == len(raw) and not arrays.Packed(raw, found.end, 1).find(h)[0].any()
+
+
+def test_kneser_ney_odd_rows(spark, odd, none):
+    rows = [(r[0], r[1]) for r in ODD if r[0] not in (None, 3)] + [(3, "one"), (8, "one\x0bTwo\x1cthree"), (11, "word word")]
+    want = kn_brute(rows, 3)
+    for r in kneser_ney.evaluate(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("h", F.lit("x"))).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.score == pytest.approx(want[r.doc_id][4])
     assert kneser_ney.evaluate(odd).count() == len(ODD)
     assert kneser_ney.evaluate(none).count() == 0
 
@@ -402,6 +636,19 @@ def test_html_template_within_article(spark):
     assert found == {**{i: f"Title {i}\nStory {i}." for i in range(12)}, **{20 + i: f"Story {i}." for i in range(5)}}
 
 
+def test_html_main_element_by_template(spark, monkeypatch):
+    """Without an article or a telling name, the element with the most varying text is the
+    main one, with the heading beside it; a smaller box of varying text is not."""
+    page = "<html><body><div class='x1'><p>Poll %d of the day</p><div>%d votes so far</div></div><div class='x2'><h1>Title %d</h1><div class='x3'>%s</div></div><p>%d readers were here</p></body></html>"
+    rows = [(i, f"http://x.example/{i}", page % (i, i * 7, i, "".join(f"<p>Part {k} of the long story of number {i}.</p>" for k in range(3 + i % 4)), i * 13)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {i: "\n".join([f"Title {i}", *(f"Part {k} of the long story of number {i}." for k in range(3 + i % 4))]) for i in range(12)}
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+    whole = html.templates
+    monkeypatch.setattr(html, "templates", lambda *a: whole(*a).where("false"))
+    assert all("Poll" in r.text for r in html.extract(pages).collect())
+
+
 def test_html_template_of_layouts(spark, monkeypatch):
     """Layouts on a third of a host's pages each have classes of their own, also in parts."""
     page = "<html><body><div class='%s'><p>Fine %s offers</p><section><p>Story %d.</p></section><p>Made with care, %s</p></div></body></html>"
@@ -422,6 +669,54 @@ def test_html_survives_bad_markup():
         html.blocks(bad)
 
 
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<p class=", "<!-- ", "<script>", "<div>", "</", "<div class='x", "<a '>\"", "<li><p>", "<script ", "&lt", "<p>a<ul>", "class  "])
+@pytest.mark.parametrize("end", ["", ">", "-->", "</script>"])
+def test_html_reads_hostile_pages_once(unit, end):
+    began = time.process_time()
+    html.blocks(unit * (1_000_000 // len(unit)) + end)
+    assert time.process_time() - began < 8
+
+
+def test_html_unclosed_ends():
+    texts = lambda s: [t for _, t, _ in html.blocks(s)[0]]
+    assert texts("<p>a</p>b < c") == ["a", "b < c"]
+    assert texts("<p>a</p>b <!-- c") == ["a", "b"] and texts("<!-- c") == [] and texts("a <!-- b > c") == ["a"]
+    assert texts("<p>a<script>b > c") == ["a"] and texts("a<script>b</script>c") == ["ac"] and texts("<p>x<b") == ["x<b"]
+    deep = html.blocks("<div>" * 5000 + "in" + "</div>" * 5000 + "<p>out</p>")[0]
+    assert [t for _, t, _ in deep] == ["in", "out"]
+
+
+def html_classes(pages, host):
+    """Equivalence classes by whole occurrence vectors."""
+    seen = {}
+    for k, page in enumerate(pages):
+        found, paths = html.blocks(page)
+        for token, n in [*Counter(("text", p, t) for p, t, _ in found).items(), *((("path", p), n) for p, n in paths.items())]:
+            seen.setdefault(token, {})[k] = n
+    by = defaultdict(set)
+    for token, vector in seen.items():
+        if len(vector) >= html.LEAST_PAGES:
+            by[tuple(sorted(vector.items()))].add(token)
+    return [c for c in by.values() if len(c) >= html.LEAST_TOKENS]
+
+
+def test_html_classes_match_brute_force(spark):
+    """The texts that a template holds are those of the classes of whole vectors,
+    where these alone decide: each path has one text, and it is on half of the pages."""
+    page = "<html><body><header>Top %s</header><div class='a'>%s</div><div class='b'>%s</div><p>%s</p><div class='c'>End</div></body></html>"
+    rng = np.random.default_rng(5)
+    pages = sorted({page % (i % 2, "xy"[int(rng.integers(2))], "one" if rng.integers(3) else "two", f"Text {i}") for i in range(40)})
+    rows = [(i, f"http://c.example/{i}", p) for i, p in enumerate(pages)]
+    t = [r.template for r in html.templates(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()]
+    fixed = {x for r in t for x in json.loads(r)["fixed"]}
+    classes = html_classes(pages, "c.example")
+    member = {html.text_token(token[1], token[2]) for c in classes for token in c if token[0] == "text"}
+    assert html.text_token("/html/body/div.c", "End") in fixed and fixed <= member
+    count = Counter((p, x) for q in pages for p, x, _ in html.blocks(q)[0])
+    half = {html.text_token(p, x) for (p, x), n in count.items() if 2 * n >= len(pages)}
+    assert {x for x in member if x in half} <= fixed
+
+
 def run_sql(tables, sql):
     con = duckdb.connect()
     for name, path in tables.items():
@@ -451,6 +746,22 @@ def test_odd_rows_equal_sql(spark, odd, tmp_path, name):
     assert same(queries.QUERIES[name](spark, str(tmp_path)).select(*names).collect(), want)
 
 
+@pytest.mark.parametrize("kind", ["one", "capped", "tight"])
+def test_mixing_of_few_sources(spark, tmp_path, monkeypatch, kind):
+    """One source; a source at its cap; one with nearly a whole copy more.  No group of the last step is large."""
+    sources = {"one": lambda i: "a", "capped": lambda i: "a" if i < 100 else "b", "tight": lambda i: "ab"[i % 2]}[kind]
+    rows = [(i, "w " * (1 + i % 7), "en", sources(i), 1) for i in range(4000)]
+    frame = spark.createDataFrame(rows, DOC)
+    frame.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(mixing, "FEW", 50)
+    sizes = []
+    boundary = mixing._boundary
+    monkeypatch.setattr(mixing, "_boundary", lambda *a: (sizes.append(boundary(*a)), sizes[-1])[1])
+    names, want = run_sql({"documents": f"{tmp_path}/documents.parquet/*.parquet"}, queries.ORACLE_SQL["op9_source_mix"])
+    assert same(queries.QUERIES["op9_source_mix"](spark, str(tmp_path)).select(*names).collect(), want)
+    assert all(r.n <= 50 for r in sizes[-1].collect())
+
+
 def test_mixing_targets(spark, odd, none):
     rows = spark.createDataFrame([("a", 10), ("b", 1000), (None, 500), ("c", 0)], "source string, source_size bigint")
     found = {r.source: r.target for r in mixing.targets(rows).collect()}
@@ -467,6 +778,11 @@ def test_quality_verdicts(odd, none, docs):
     assert quality.verdicts(odd).count() == len(ODD)
     plan = quality.verdicts(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    assert not any(isinstance(v, dict) for v in vars(quality).values() if not isinstance(v, type(vars(quality)["__builtins__"])))
+    # a language of few documents is judged by all documents' reference
+    rare = docs.where("doc_id < 5").withColumn("lang", F.lit("zz")).withColumn("text", F.repeat(F.lit("QXZ #7 %% "), 60).cast("string")).withColumn("text", F.concat("text", F.col("doc_id").cast("string"), F.repeat(F.lit(" Y5$"), 30)))
+    found = quality.verdicts(docs.union(rare)).where("lang = 'zz'").collect()
+    assert len(found) == 5 and all(r.class_distance is not None and r.word_distance is not None and not r.kept for r in found)
     caps = docs.where("lang = 'en'").withColumn("text", F.upper("text")).withColumn("doc_id", F.col("doc_id") + 100000).limit(5)
     found = quality.verdicts(docs.union(caps)).where("doc_id >= 100000 and n_words > 60").collect()
     assert found and not any(r.kept for r in found)
@@ -483,3 +799,25 @@ def test_pipeline(spark):
     rows = p.run(spark, DATA).collect()
     assert rows and all(r.round_trip for r in rows)
     assert Counter(r.doc_id for r in rows if r.sample == 0) == Counter(r.doc_id for r in docs.collect())
+    # a document that is taken several times has samples of its own each time
+    again = Counter(r.doc_id for r in rows if r.sample == 0).most_common(1)[0]
+    own = [r for r in rows if r.doc_id == again[0]]
+    assert again[1] > 1 and {r.copy for r in own} == set(range(again[1]))
+
+
+@pytest.mark.parametrize("name", ["odd", "none"])
+def test_pipeline_stages_on_odd_rows(spark, odd, none, name, tmp_path):
+    """Nulls, repeated and very long rows, clashing names, an empty table: a result of the same columns."""
+    import corpus_pipeline as p
+
+    docs = {"odd": odd, "none": none}[name]
+    spark.createDataFrame([(3, 1), (5, 0), (None, 1), (6, None)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for step, stage in p.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert len(rows) <= docs.count() * 3
+        found = p.written(found, step)
+        if rows:
+            docs = found
+    assert all(r.round_trip for r in p.STAGES[-1][1](spark, docs, str(tmp_path)).collect())
