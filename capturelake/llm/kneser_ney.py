@@ -33,7 +33,7 @@ from capturelake.llm.common import bucket, forget, map_batches, mix, pieces, rel
 
 ORDER = 3
 #: Bytes of text whose n-grams are counted before they are shuffled.
-RUN_BYTES = 32 << 20
+RUN_BYTES = 16 << 20
 #: About so many training tokens make a shard, and a quarter of it a piece of a frequent token.
 SHARD_TOKENS = 1 << 21
 #: Distinct tokens in a shard of tokens; the most tokens that are cut into pieces.
@@ -217,10 +217,12 @@ def _bits(n: int) -> int:
     return max(1, int(n - 1).bit_length())
 
 
-def _distinct(columns: list[np.ndarray], n: np.ndarray, bits: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of ``columns`` in order, with the sums of ``n``."""
+def _distinct(columns: list[np.ndarray], n: np.ndarray | None, bits: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of ``columns`` in order, with the sums of ``n`` (their
+    numbers, without)."""
+    rows = len(columns[0])
     if sum(bits) <= 64:
-        key = np.zeros(len(n), np.uint64)
+        key = np.zeros(rows, np.uint64)
         for c, b in zip(columns, bits, strict=True):
             key = (key << np.uint64(b)) | c.astype(np.uint64)
         order = np.argsort(key)
@@ -228,11 +230,12 @@ def _distinct(columns: list[np.ndarray], n: np.ndarray, bits: list[int]) -> tupl
         new = key[1:] != key[:-1]
     else:
         order = np.lexsort(columns[::-1])
-        new = np.zeros(len(n) - 1, bool)
+        new = np.zeros(rows - 1, bool)
         for c in columns:
             new |= c[order][1:] != c[order][:-1]
     first = np.flatnonzero(np.concatenate([[True], new]))
-    return [c[order[first]] for c in columns], np.add.reduceat(n[order], first)
+    sums = np.diff(np.append(first, rows)) if n is None else np.add.reduceat(n[order], first)
+    return [c[order[first]] for c in columns], sums
 
 
 def _encode(columns: list[np.ndarray], n: np.ndarray, size: int) -> bytes:
@@ -279,7 +282,7 @@ def count_grams(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             rank[order] = np.arange(len(h), dtype=np.int32)
             ids, number = rank[ids], np.concatenate([number[order], [model.start]])
             columns = [*contexts(ids, ends, model.order, len(h))[::-1], ids]
-            columns, n = _distinct(columns, np.ones(len(ids), np.int64), [_bits(len(number))] * model.order)
+            columns, n = _distinct(columns, None, [_bits(len(number))] * model.order)
             del ids
             columns = [number[c] for c in columns]
             shard = model.shard(columns[0], columns[1])
@@ -362,7 +365,7 @@ def _shards(grams: DataFrame, model: Model) -> DataFrame:
             hashes.append(h)
             counts.append(n)
             yield _stats(k, n)
-            columns, n = [*columns[: k - 2], columns[-1]], np.ones(len(columns[0]), np.int64)
+            columns, n = [*columns[: k - 2], columns[-1]], None
         parts = pack(np.concatenate(hashes), [np.concatenate(counts)])
         parts += pack(np.concatenate([np.zeros(0, np.uint64), *keys]), [np.concatenate([np.zeros(0, np.int64), *(f[i] for f in follow)]) for i in range(4)])
         yield _side("file", np.array([shard]), name=write_file(model.path, f"grams-{shard}", parts))
