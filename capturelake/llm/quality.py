@@ -126,7 +126,10 @@ def signals(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str
     classes = F.array(cut[0] - cut[1], upper, cut[3] - cut[4], cut[4] - cut[5], space, cut[5] - cut[6], cut[6])
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     windows = F.when(F.size("words") >= REPEAT, F.transform(F.sequence(F.lit(1), F.size("words") - (REPEAT - 1)), lambda i: F.xxhash64(F.slice("words", i, REPEAT)))).otherwise(F.array().cast("array<bigint>"))
-    frequent = F.filter(F.transform("words", F.lower), lambda w: F.array_contains("list", w))
+    # a word longer than the longest common one is none, in either case
+    most = F.array_max(F.transform("list", F.length))
+    rows = rows.withColumn("most", most)
+    frequent = F.transform(F.filter("words", lambda w: (F.length(w) <= F.col("most")) & F.array_contains("list", F.lower(w))), F.lower)
     rows = rows.select(
         "doc_id",
         "lang",
