@@ -37,7 +37,7 @@ K, THETA = 4, 2e-4
 #: Bytes of text whose lattice is built at once.
 RUN_BYTES = 512 << 10
 #: Nodes of lattices that a worker keeps for the next texts.
-NODES = 750_000
+NODES = 1_500_000
 LOW, HALF = np.uint64((1 << 32) - 1), np.float32(1 / (1 << 32))
 #: The least log weight of a piece: one that the model all but forbids is rare.
 LEAST = -12.0
@@ -288,12 +288,12 @@ class Lattices:
         begin, and the edges.  The draws depend on ``seed`` and ``number`` alone."""
         which, edges, turn = [], [], 0
         own = np.argsort(node)  # near nodes together, for the caches
-        at, seed, number = node[own], seed[own], number[own] * np.uint64(1 << 20)
+        at, h = node[own], mix(number[own], seed[own])
         steps = np.zeros(len(node), np.int64)
         while len(own):
             # the two halves of a hash are two numbers
             if turn % 2 == 0:
-                h = mix(number + np.uint64(turn), seed)
+                h = mix(h, turn)
                 u = ((h >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * HALF
             else:
                 u = ((h & LOW).astype(np.float32) + np.float32(0.5)) * HALF
@@ -307,7 +307,7 @@ class Lattices:
             steps[own] += 1
             at = self.to[e]
             go = np.flatnonzero(at >= 0)
-            own, at, seed, number, h, turn = own[go], at[go], seed[go], number[go], h[go], turn + 1
+            own, at, h, turn = own[go], at[go], h[go], turn + 1
         first = np.concatenate([[0], np.cumsum(steps)])
         out = np.empty(int(first[-1]), np.int64)
         for turn, (own, e) in enumerate(zip(which, edges, strict=True)):
@@ -423,10 +423,10 @@ class Encoder:
         number = np.arange(len(first)) - np.repeat(starts, parts)
         own, edges = lattice.walk(first, np.repeat(seed, parts), number.astype(np.uint64))
         cuts = own[np.concatenate([[0], ends])]
-        searches = []
+        searches, logs = [], np.log(lattice.chance[edges])
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             t = _Text(lattice, int(seed[i]))
-            path = _Path(edges[a:b], np.log(lattice.chance[edges[a:b]]))
+            path = _Path(edges[a:b], logs[a:b])
             value = gumbel(0.0, math.inf, t.draw())
             t.found.append((path, value))
             t.push(path, 0, len(path.edges) - 1, (), value)
