@@ -38,7 +38,7 @@ K, THETA = 4, 2e-4
 RUN_BYTES = 512 << 10
 #: Nodes of lattices that a worker keeps for the next texts.
 NODES = 1_500_000
-LOW, HALF = np.uint64((1 << 32) - 1), np.float32(1 / (1 << 32))
+LOW, HALF = np.uint64((1 << 31) - 1), np.float32(1 / (1 << 31))
 #: The least log weight of a piece: one that the model all but forbids is rare.
 LEAST = -12.0
 #: From so many characters before its part's end on, a node's sum over paths is
@@ -287,16 +287,16 @@ class Lattices:
         """Draw a path from each node to its part's end: where each one's edges
         begin, and the edges.  The draws depend on ``seed`` and ``number`` alone."""
         which, edges, turn = [], [], 0
-        own = np.argsort(node)  # near nodes together, for the caches
+        own = np.argsort(node.astype(np.int32))  # near nodes together, for the caches
         at, h = node[own], mix(number[own], seed[own])
         steps = np.zeros(len(node), np.int64)
         while len(own):
             # the two halves of a hash are two numbers
             if turn % 2 == 0:
                 h = mix(h, turn)
-                u = ((h >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * HALF
+                u = (h >> np.uint64(33)).astype(np.int32).astype(np.float32) * HALF
             else:
-                u = ((h & LOW).astype(np.float32) + np.float32(0.5)) * HALF
+                u = (h & LOW).astype(np.int32).astype(np.float32) * HALF
             e = self.start[at]
             open_ = np.flatnonzero(self.sum[e] <= u)
             while len(open_):
@@ -304,9 +304,9 @@ class Lattices:
                 open_ = open_[self.sum[e[open_]] <= u[open_]]
             which.append(own)
             edges.append(e)
-            steps[own] += 1
             at = self.to[e]
             go = np.flatnonzero(at >= 0)
+            steps[own[at < 0]] = turn + 1
             own, at, h, turn = own[go], at[go], h[go], turn + 1
         first = np.concatenate([[0], np.cumsum(steps)])
         out = np.empty(int(first[-1]), np.int64)
