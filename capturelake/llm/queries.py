@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.llm import html, kneser_ney, language, matching, mixing, quality, resampling, sentencepiece, simhash, topk, toxicity, warc
+from capturelake.llm import fingerprints, html, kneser_ney, language, matching, mixing, quality, resampling, sentencepiece, simhash, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.describe(_read(spark, sf_dir, "documents"))
+
+
 def op12_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matching.matches(_read(spark, sf_dir, "clicks"))
     return rows.withColumn("labels_sha256", F.sha2("labels", 256)).drop("labels")
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_source_mix": op9_source_mix,
     "op10_quality_rules": op10_quality_rules,
+    "op11_document_fingerprints": op11_document_fingerprints,
     "op12_row_patterns": op12_row_patterns,
     "op13_importance_resampling": op13_importance_resampling,
 }
