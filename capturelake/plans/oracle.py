@@ -5,7 +5,7 @@ folds where it has folds."""
 from __future__ import annotations
 
 from capturelake.functions.rate import AUDIO_RATES
-from capturelake.plans import files
+from capturelake.plans import cutting, files
 from capturelake.plans import queries as q
 from capturelake.plans.derived import DUCK_CAPTURES, DUCK_COMPANIONS, DUCK_CUTS, DUCK_FRAMES
 
@@ -153,6 +153,7 @@ SELECT doc_id, CASE WHEN x <= 18446744073709551615::HUGEINT THEN x::VARCHAR END
     "scan_sanity": _with(DUCK_CAPTURES) + f"SELECT capture_id, CASE WHEN {_WIDTH} > 0 AND scanned::HUGEINT * {_WIDTH} < audio_bytes THEN 'scanned ' || scanned || ' samples are too few for ' || audio_bytes || ' payload bytes' END AS warning FROM captures",
     "frame_chain": _CHAINED,
     "frame_chain_in_order": _CHAINED,
+    "frame_chain_ranges": _CHAINED,
     "frame_sum": f"WITH {DUCK_FRAMES} SELECT path AS capture_id, sum(block_size)::BIGINT AS counted, count(*) AS n_frames FROM frames GROUP BY path",
     "frame_running_pos": f"WITH {DUCK_FRAMES} SELECT path AS capture_id, off, (sum(block_size) OVER (PARTITION BY path ORDER BY off) - block_size)::BIGINT AS start_sample FROM frames",
     "frame_gap_check": f"WITH {DUCK_FRAMES} SELECT path AS capture_id, off, number = coalesce(lag(number) OVER (PARTITION BY path ORDER BY off) + 1, 0) AS in_sequence FROM frames",
@@ -186,4 +187,4 @@ SELECT p_partkey, list_filter(list_transform(range(0, length(t) + 1), lambda i:
     "frame_scan": _with(DUCK_CAPTURES) + "SELECT capture_id, 0::BIGINT AS off, 192 AS block_size, 6 AS hlen, capture_id % 128 AS number, false AS variable FROM captures UNION ALL SELECT capture_id, 6 + capture_id % 20, 192, 6, capture_id % 127, false FROM captures",
     "wav_header": _with(DUCK_CAPTURES) + "SELECT capture_id, CASE WHEN capture_id % 11 <> 0 AND capture_id % 9 > 1 AND capture_id * 192 % 4000000000 > 0 THEN (capture_id * 192 % 4000000000) / (channels * (bps / 8)) / header_rate END AS duration_s FROM captures",
 }
-ORACLE |= files.ORACLE
+ORACLE |= files.ORACLE | cutting.ORACLE

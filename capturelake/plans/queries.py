@@ -13,12 +13,12 @@ from capturelake.operators import companions as comp
 from capturelake.operators import cuts as cut_op
 from capturelake.operators import frames as frame_op
 from capturelake.operators import naming, resolve, trim
-from capturelake.plans import derived, files
+from capturelake.plans import cutting, derived, files
 from capturelake.sources import companions as side_files
 from capturelake.sources import flac
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(files.QUERIES)
+QUERIES: dict[str, Query] = files.QUERIES | cutting.QUERIES
 c = F.col
 
 
