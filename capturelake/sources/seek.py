@@ -200,7 +200,7 @@ def pcm(samples: Column, bps: Column) -> Column:
 
         return pa.array([None if not s.is_valid else pcm_bytes(s.values.to_numpy(zero_copy_only=False), b.as_py()) for s, b in zip(x, bps, strict=True)], pa.binary())
 
-    return F.arrow_udf(run, "binary")(samples, bps)
+    return F.arrow_udf(lambda x, bps: run(x, bps), "binary")(samples, bps)
 
 
 def pcm_bytes(x: np.ndarray, bps: int) -> bytes:
