@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source's target in words, divided by its size, is the expected number of
-copies of each of its documents.  The whole part is certain.  The rest is a
+Documents have weights: longer ones are worth more.  A document's expected
+number of copies is its weight times a level that its source's documents
+share, MOST at most, such that all copies together have the target's words.
+The whole part is certain.  What is left is its inclusion probability in a
 Pareto sample: documents are ranked by their random odds U / (1 - U) divided
 by their inclusion odds, and the first ones that fill the rest of the target
-are taken once more.  The factor that the inclusion odds of a source's
-documents have in common does not change their order and is left out.
+are taken once more.
 
 The rank at which a source is full is found from sums over bins of the rank,
 refined until few rows are left in a bin, so that a source with most of all
@@ -21,6 +22,8 @@ from capturelake.llm.common import WORD, written
 
 #: Weights of the sources in code point order, repeating; the most copies.
 WEIGHTS, MOST = (5, 2, 1), 3
+#: Characters from which on a document has the next weight: 1, 2, 3.
+LENGTHS = (500, 2000)
 #: Bins of the rank at each refinement; refined at most so often (the ranks'
 #: numbers have no more digits), and until a bin has at most so many rows.
 BINS, REFINEMENTS, FEW = 1024, 4, 20_000
@@ -62,10 +65,33 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
-def _rank(u: Column, weight: Column) -> Column:
-    """The rank in (0, 1): Q / (1 + Q) for Q = u / (1 - u) / weight.  Where the
-    weights are 1 it is u, so the bins of a source are about equally full."""
-    return u / (u + (1 - u) * weight)
+def by_length(text: str = "text") -> Column:
+    """The weight of a text: 1, and one more from each of LENGTHS characters on."""
+    n = F.length(F.coalesce(F.col(text), F.lit("")))
+    return sum((F.when(n >= x, 1.0).otherwise(0.0) for x in LENGTHS), F.lit(1.0))
+
+
+def _rank(u: Column, part: Column) -> Column:
+    """The rank in (0, 1): Q / (1 + Q) for Q = u / (1 - u) divided by the
+    inclusion odds part / (1 - part)."""
+    return u / (u + (1 - u) * (part / (1 - part)))
+
+
+def classes(sums: DataFrame, most: int = MOST) -> DataFrame:
+    """(source, weight, target, z, copies): the expected copies of a document
+    of each weight, from the words ``z`` of each source's weights.
+
+    The heaviest are at ``most`` copies as long as the level of the others,
+    which fills the rest of the target, would give them more.
+    """
+    by = Window.partitionBy("source").orderBy(F.desc("weight"))
+    heavier = F.coalesce(F.sum("z").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("weight") * F.col("z")).over(by.rowsBetween(0, Window.unboundedFollowing))
+    rows = sums.withColumn("level", F.when(rest > 0, (F.col("target") - heavier * most) / rest))
+    first = F.first(F.when(F.col("level") * F.col("weight") <= most, F.col("level")), ignorenulls=True)
+    level = first.over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    copies = F.when(level.isNull(), F.lit(float(most))).otherwise(F.least(F.lit(float(most)), level * F.col("weight")))
+    return rows.withColumn("copies", F.when(F.col("z") > 0, copies).otherwise(F.lit(0.0))).drop("level")
 
 
 def _boundary(rows: DataFrame, bin_: Column) -> DataFrame:
@@ -79,19 +105,27 @@ def _boundary(rows: DataFrame, bin_: Column) -> DataFrame:
 
 
 def plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """For each source: source_size, target, whole copies, fraction, what the
-    whole copies leave (room), and the last (rank, doc) that is taken once
-    more: null if none is (room for less than half a word) or all are."""
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    sources = targets(sizes, weights, most).withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate))
-    sources = written(sources.withColumn("room", F.col("target") - F.col("whole") * F.col("source_size")), "sources")
-    x = _rank(F.col("u"), F.col("weight"))
+    """For each source and weight: source_size, target, whole copies, the
+    inclusion probability of one more (part), what whole copies leave of the
+    source's target (room), and the source's last (rank, doc) that is taken
+    once more: null if none is (room for less than half a word).
+
+    It has a row for each weight of each source, so weights should be classes."""
+    sums = written(slim.groupBy("source", "weight").agg(F.sum("size").alias("z")), "sums")
+    sizes = targets(sums.groupBy("source").agg(F.sum("z").alias("source_size")), weights, most)
+    own = sizes.withColumnRenamed("source", "_source")
+    rows = classes(sums.join(own, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), most)
+    rows = rows.withColumn("whole", F.floor("copies")).withColumn("part", F.col("copies") - F.floor("copies"))
+    room = F.col("target") - F.sum(F.col("whole") * F.col("z")).over(Window.partitionBy("source"))
+    sources = written(rows.withColumn("room", room), "sources")
+    x = _rank(F.col("u"), F.col("part"))
     # a document is taken if at most half of it exceeds the room
-    rows = _join(slim, sources.where("room >= 0.5").select("source", "room")).withColumn("x", x)
+    rows = _join(slim, sources.where("room >= 0.5 and part > 0").select("source", "weight", "part", "room")).withColumn("x", x)
     for level in range(1, REFINEMENTS + 1):
         cut = written(_boundary(rows, F.floor(F.col("x") * BINS**level)), "bins")
-        rows = _join(slim, cut).withColumn("x", x).where(F.floor(F.col("x") * BINS**level) == F.col("bin"))
+        parts = sources.where("part > 0").select(F.col("source").alias("s"), "weight", "part")
+        parts = parts.join(cut, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+        rows = _join(slim, parts).withColumn("x", x).where(F.floor(F.col("x") * BINS**level) == F.col("bin"))
         if (cut.agg(F.max("n")).first()[0] or 0) <= FEW:
             break
     # rows with the same id have the same rank and are taken together
@@ -109,29 +143,29 @@ def plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
 
 
 def _join(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """``rows`` with what their source has; null is a source like any other."""
-    few = sources.select(F.col("source").alias("_source"), *(F.col(c) for c in sources.columns if c != "source"))
+    """``rows`` with what their source and weight have; null is a source like any other."""
+    few = sources.select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), *(F.col(c) for c in sources.columns if c not in ("source", "weight")))
     if few.count() <= BROADCAST_SOURCES:
         few = F.broadcast(few)
-    return rows.join(few, rows["source"].eqNullSafe(few["_source"])).drop("_source")
+    return rows.join(few, rows["source"].eqNullSafe(few["_source"]) & (rows["weight"] == few["_weight"])).drop("_source", "_weight")
 
 
 def _slim(docs: DataFrame, doc_id: str, text: str, source: str, weight: Column | None, seed: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), uniform(F.col(doc_id), seed).alias("u"), (F.lit(1.0) if weight is None else weight).alias("weight"), F.coalesce(F.col(doc_id).cast("long"), F.lit(1 - (1 << 63))).alias("key"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(text).alias("size"), uniform(F.col(doc_id), seed).alias("u"), (by_length(text) if weight is None else weight.cast("double")).alias("weight"), F.coalesce(F.col(doc_id).cast("long"), F.lit(1 - (1 << 63))).alias("key"))
 
 
 def _copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
     rows = _join(rows, sources)
-    here = F.struct(_rank(F.col("u"), F.col("weight")).alias("x"), F.col("key").alias("key"))
-    # without a cut nothing (no room) or everything (room for all) is taken
-    more = F.when(F.col("cut").isNotNull(), here <= F.col("cut")).otherwise((F.col("room") >= F.col("source_size")) & (F.col("room") >= 0.5))
+    here = F.struct(_rank(F.col("u"), F.col("part")).alias("x"), F.col("key").alias("key"))
+    more = (F.col("part") > 0) & F.col("cut").isNotNull() & (here <= F.col("cut"))
     return rows.withColumn("copies", F.when(F.col("source_size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0)).cast("long"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every row.
 
-    ``weight`` multiplies a document's inclusion odds.  A null or empty text
+    ``weight`` (positive; a few classes) is what a document's expected copies are in proportion to,
+    without one it goes by length (:func:`by_length`).  A null or empty text
     has size 0 and takes nothing; a null source is a source, the last; rows
     that repeat an id have one random number and are taken together; rows
     without an id share one.  Other columns are not read.  The choice depends
@@ -146,8 +180,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
     slim = written(_slim(docs, doc_id, text, source, None, seed), "sizes")
     own = docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(source).cast("string").alias("source"))
-    whole = whole.select("_row", "source", uniform(F.col("_id"), seed).alias("u"), F.lit(1.0).alias("weight"), F.coalesce(F.col("_id"), F.lit(1 - (1 << 63))).alias("key"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(source).cast("string").alias("source"), by_length(text).alias("weight"))
+    whole = whole.select("_row", "source", uniform(F.col("_id"), seed).alias("u"), "weight", F.coalesce(F.col("_id"), F.lit(1 - (1 << 63))).alias("key"))
     rows = _copies(whole, plan(slim))
     return rows.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
@@ -155,6 +189,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+    1.0::DOUBLE + CASE WHEN length(coalesce(text, '')) >= {LENGTHS[0]} THEN 1 ELSE 0 END + CASE WHEN length(coalesce(text, '')) >= {LENGTHS[1]} THEN 1 ELSE 0 END AS weight,
     (CAST(CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -171,14 +206,19 @@ t AS (
   SELECT source, source_size, CASE WHEN isfull THEN CAST(cap AS DOUBLE)
     ELSE CAST(total - coalesce(CAST(sum(cap) FILTER (WHERE isfull) OVER () AS BIGINT), 0) AS DOUBLE) / CAST(sum(w) FILTER (WHERE NOT isfull) OVER () AS DOUBLE) * w END AS target
   FROM f),
-r AS (
-  SELECT d.doc_id, d.size, d.u, t.source_size, t.target, d.source, floor(t.target / t.source_size) AS whole,
-    t.target / t.source_size - floor(t.target / t.source_size) AS part
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-x AS (SELECT *, u / (u + (1 - u) * (part / (1 - part) * 1.0)) AS x, target - whole * source_size AS room FROM r),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY x, doc_id RANGE UNBOUNDED PRECEDING) AS after,
-    sum(size) OVER (PARTITION BY source, x, doc_id) AS z FROM x)
+k AS (SELECT source, weight, CAST(sum(size) AS BIGINT) AS z FROM d GROUP BY source, weight),
+-- the level if the classes that are heavier than this one are at three copies
+l AS (SELECT a.source, a.weight, a.z, t.target, t.source_size,
+    (t.target - 3 * coalesce((SELECT CAST(sum(b.z) AS BIGINT) FROM k b WHERE b.source IS NOT DISTINCT FROM a.source AND b.weight > a.weight), 0))
+      / nullif((SELECT sum(b.weight * b.z) FROM k b WHERE b.source IS NOT DISTINCT FROM a.source AND b.weight <= a.weight), 0) AS level
+  FROM k a JOIN t ON a.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN z = 0 THEN 0 ELSE coalesce(least(3, weight * arg_max(level, CASE WHEN level * weight <= 3 THEN weight END) OVER (PARTITION BY source)), 3) END AS copies FROM l),
+g AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS part, target - sum(floor(copies) * z) OVER (PARTITION BY source) AS room FROM e),
+x AS (SELECT d.doc_id, d.size, d.source, g.source_size, g.target, g.whole, g.part, g.room, d.u / (d.u + (1 - d.u) * (g.part / (1 - g.part))) AS x
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.weight = g.weight),
+c AS (SELECT *, sum(CASE WHEN part > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY x, doc_id RANGE UNBOUNDED PRECEDING) AS after,
+    sum(CASE WHEN part > 0 THEN size ELSE 0 END) OVER (PARTITION BY source, x, doc_id) AS z FROM x)
 SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (whole + CASE WHEN after * 2 - z <= room * 2 THEN 1 ELSE 0 END) END AS BIGINT) AS taken
+  CAST(size * (whole + CASE WHEN part > 0 AND room >= 0.5 AND after * 2 - z <= room * 2 THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """
