@@ -37,13 +37,17 @@ SHARE, SECTION, FULL = 0.5, 0.05, 0.9
 #: Where other texts are around it (and in an article always) a text is the
 #: template's only from so many pages.
 SURE_PAGES = 10
+#: What fixed texts on fewer than SHARE of a host's pages leave of a page's main
+#: text at least: otherwise they are versions of that page, not a template.
+LEFT = 0.2
 #: A slot with a larger share of characters in links is navigation.
 LINKS = 0.5
 #: The main text is in the element that has such a share of the varying text of
 #: the one around it.
 MAIN = 0.7
-#: Rows of a host's template that are put in one part of it.
-PART_ROWS = 20_000
+#: Rows of a host's template that are put in one part of it; rows of all
+#: templates in one file of them.
+PART_ROWS, FILE_ROWS = 20_000, 500_000
 #: Pages whose texts are looked up at once.
 PAGES = 256
 
@@ -77,7 +81,8 @@ def label(tag: str, attributes: str) -> str:
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names = " ".join(x for x in (found.get("class", ""), found.get("id", "")) if x)
     drop = tag in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or (names and HINT.search(names) and tag not in ARTICLE | {"body", "html"})
-    return tag + ("!" if drop else "") + ("." + re.sub(r"[\s/]+", ".", names.strip()) if names else "")
+    # numbers in names are a page's own (post-12), and not those of another kind of element
+    return tag + ("!" if drop else "") + ("." + re.sub(r"[0-9]+", "#", re.sub(r"[\s/]+", ".", names.strip())) if names else "")
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
@@ -227,7 +232,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, part, template as JSON): what the pages of each host share, in
-    parts of about PART_ROWS rows by path.
+    parts of about PART_ROWS rows.
 
     Classes that are not valid are left out, but no share of the host's pages
     is asked: a layout or section has its own classes.  ``fixed`` are the
@@ -237,6 +242,8 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     that kind.  Where a path has other texts, pages may have equal ones by
     chance: in an article the text must be on SURE_PAGES pages and half of the
     path's, elsewhere a class without elements must be on SURE_PAGES too.
+    Those on fewer than half of the host's pages are ``weak``: the texts of one
+    article whose page has several versions are such, too.
     ``places`` are slots and elements, each with whether it is mostly links;
     ``husks`` the elements of articles without other text than the template's;
     ``main`` the elements of the main text (see :func:`_main`).
@@ -258,30 +265,32 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     closed = part & (F.col("held") >= F.col("all") * FULL)
     half, sure, layout = F.col("pages") >= F.col("of") * SHARE, F.col("pages") >= SURE_PAGES, F.col("elements") > 0
     article = F.col("path").rlike(r"(?i)/(article|main)(?![a-z0-9:_-])")
-    fixed = written(texts.where(closed | F.when(article, half & sure).otherwise(half | layout | (part & sure))).select("host", "path", "token", "chars"), "fixed")
+    fixed = written(texts.where(closed | F.when(article, half & sure).otherwise(half | layout | (part & sure))).select("host", "path", "token", "chars", "pages"), "fixed")
+    number = once.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("number"))
+    fixed = written(fixed.join(number, "host").withColumn("weak", F.col("pages") < F.col("number") * SHARE).drop("number", "pages"), "strength")
     elements = valid.where("kind = 'path'").select("host", "path", "chars", "links")
     places = slots.select("host", "path", "chars", "links").union(elements.where("chars > 0").join(of, ["host", "path"], "left_anti"))
     steps = F.split("path", "/")
     around = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
-    own = written(fixed.select("host", "chars", F.explode(around).alias("path")).groupBy("host", "path").agg(F.sum("chars").alias("own")), "own")
-    husks = elements.where(article).join(own, ["host", "path"], "left").where("coalesce(own, 0) >= chars")
+    own = written(fixed.select("host", "chars", "weak", F.explode(around).alias("path")).groupBy("host", "path").agg(F.sum("chars").alias("own"), F.sum(F.when(~F.col("weak"), F.col("chars"))).alias("sure")), "own")
+    husks = elements.where(article).join(own, ["host", "path"], "left").where("coalesce(sure, 0) >= chars")
     main = _main(valid.where("kind = 'path'").select("host", "path", "pages", "total", "chars", "links"), own)
     none = F.lit(None).cast("long")
-    rows = fixed.select("host", F.lit("fixed").alias("kind"), "path", "token").union(places.select("host", F.lit("places"), "path", F.when(F.col("links") > F.col("chars") * LINKS, 1).otherwise(0).cast("long"))).union(husks.select("host", F.lit("husks"), "path", none)).union(main.select("host", F.lit("main"), "path", none))
+    rows = fixed.select("host", F.when(F.col("weak"), "weak").otherwise("fixed").alias("kind"), "path", "token").union(places.select("host", F.lit("places"), "path", F.when(F.col("links") > F.col("chars") * LINKS, 1).otherwise(0).cast("long"))).union(husks.select("host", F.lit("husks"), "path", none)).union(main.select("host", F.lit("main"), "path", none))
     rows = written(rows, "rows")
     parts = rows.groupBy("host").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
-    dealt = rows.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")))
+    dealt = rows.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("path", "token"), F.col("parts")))
     grouped = dealt.groupBy("host", "part").agg(F.to_json(F.collect_list(F.struct("kind", "path", "token"))).alias("rows"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = []
         for packed in batch.column(2).to_pylist():
-            t: dict = {"fixed": [], "husks": [], "main": [], "places": {}}
+            t: dict = {"fixed": [], "weak": [], "husks": [], "main": [], "places": {}}
             for r in json.loads(packed):
                 if r["kind"] == "places":
                     t["places"][r["path"]] = r["token"]
                 else:
-                    t[r["kind"]].append(r["token"] if r["kind"] == "fixed" else r["path"])
+                    t[r["kind"]].append(r["token"] if r["kind"] in ("fixed", "weak") else r["path"])
             made.append(json.dumps(t))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], ["host", "part", "template"])
 
@@ -319,12 +328,12 @@ def _mark(kind: str, where: str, what: str | int) -> int:
 
 
 def _marks(made: DataFrame) -> DataFrame:
-    """(h, v): the rows of all templates, by hash: 1, or for a place 2 if it is mostly links."""
+    """(h, v): the rows of all templates, by hash: 1, or 2 for a place that is mostly links or a weak text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for where, _, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             t = json.loads(packed)
-            rows = [(_mark("fixed", where, x), 1) for x in t["fixed"]] + [(_mark("husk", where, x), 1) for x in t["husks"]] + [(_mark("main", where, x), 1) for x in t["main"]] + [(_mark("place", where, x), 1 + k) for x, k in t["places"].items()]
+            rows = [(_mark("fixed", where, x), 1 + (k == "weak")) for k in ("fixed", "weak") for x in t[k]] + [(_mark("husk", where, x), 1) for x in t["husks"]] + [(_mark("main", where, x), 1) for x in t["main"]] + [(_mark("place", where, x), 1 + k) for x, k in t["places"].items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["h", "v"])
 
     return map_batches(made, run, "h long, v long")
@@ -340,7 +349,9 @@ def main_texts(pages: list[tuple[str | None, str | None]], arrays: Arrays) -> li
     and the elements around them.  Where the host has too few pages for the
     page's main element to be known, names decide: the slots within an article
     are chosen where the page has one that is more than a husk, else all that
-    are not mostly links on the page.  Elements that are boilerplate by their
+    are not mostly links on the page.  Where the template's weak texts would
+    leave less than LEFT of what the others do, they stay: the page has
+    versions, whose common texts they are.  Elements that are boilerplate by their
     kind or name have no slots.
     """
     parsed = [(host(url), *blocks(page or "")) for url, page in pages]
@@ -365,7 +376,7 @@ def main_texts(pages: list[tuple[str | None, str | None]], arrays: Arrays) -> li
         article = any(in_article(p) and not boilerplate(p) and not asked["husk", where, p] for p in paths)
         main = {e for p, _, _ in found for e in within(p) if asked["main", where, e] and not boilerplate(e)}
         beside = {e for m in main for e in within(m)}
-        kept = []
+        kept, sure = [], []
         for path, text, linked in found:
             if boilerplate(path):
                 continue
@@ -377,9 +388,12 @@ def main_texts(pages: list[tuple[str | None, str | None]], arrays: Arrays) -> li
                 chosen = in_article(path) if article else 2 * linked <= len(text)
             if not chosen:
                 continue
-            if next((v for p in within(path) if (v := asked["place", where, p])), 1) == 1 and not asked["fixed", where, text_token(path, text)]:
-                kept.append(text)
-        out.append("\n".join(kept))
+            held = asked["fixed", where, text_token(path, text)]
+            if held != 1 and next((v for p in within(path) if (v := asked["place", where, p])), 1) == 1:
+                sure.append(text)
+                if not held:
+                    kept.append(text)
+        out.append("\n".join(kept if sum(map(len, kept)) >= LEFT * sum(map(len, sure)) else sure))
     return out
 
 
@@ -395,9 +409,11 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     workers map into memory: no host's template has to fit in one of them.
     """
     spark = pages.sparkSession
-    path, shards = shared_path(spark, "templates"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, "templates")
+    marks = written(_marks(templates(pages, url, html)), "marks")
+    shards = max(1, -(-marks.count() // FILE_ROWS))
     names = [""] * shards
-    for shard, name in write_arrays(_marks(templates(pages, url, html)), "template", path, ["v"], shards).collect():
+    for shard, name in write_arrays(marks, "template", path, ["v"], shards).collect():
         names[shard] = name
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
 
