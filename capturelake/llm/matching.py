@@ -262,7 +262,7 @@ def matches(rows: DataFrame, key: str = "client_id", ts: str = "ts", row_id: str
     open_ = edges.groupBy("p").agg(F.max("tail").alias("tail"))
     before = F.last(F.when(F.col("tail"), F.col("p")), ignorenulls=True).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
     open_ = open_.select(F.col("p").alias("q"), F.coalesce(before, F.lit(-1)).alias("begin"))
-    crossing = edges.join(open_, F.col("p") == F.col("q")).select(F.when(F.col("tail"), F.col("p")).otherwise(F.col("begin")).alias("chain"), "p", "pos", "key", "ts", "id", "cents", "code", "digest")
+    crossing = edges.join(open_.hint("shuffle_merge"), F.col("p") == F.col("q")).select(F.when(F.col("tail"), F.col("p")).otherwise(F.col("begin")).alias("chain"), "p", "pos", "key", "ts", "id", "cents", "code", "digest")
     crossing = crossing.repartition("chain").sortWithinPartitions("chain", "p", "pos")
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +295,7 @@ def matches(rows: DataFrame, key: str = "client_id", ts: str = "ts", row_id: str
     counts = found.groupBy("key", "p").agg(F.count("*").alias("n"))
     counts = counts.select("key", "p", (F.sum("n").over(Window.partitionBy("key").orderBy("p")) - F.col("n")).alias("earlier"))
     rank = F.row_number().over(Window.partitionBy("key", "p").orderBy("pos"))
-    numbered = found.join(counts, ["key", "p"]).withColumn("match_no", F.col("earlier") + rank)
+    numbered = found.join(counts.hint("shuffle_merge"), ["key", "p"]).withColumn("match_no", F.col("earlier") + rank)
     return numbered.select(F.col("key").alias(key), "match_no", "first_id", "last_id", "n_rows", "sum_cents", "labels")
 
 
