@@ -202,7 +202,7 @@ def host(url: str | None) -> str:
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """For each page: the page itself, its elements and its blocks of text."""
+    """For each page: itself, its elements, its blocks of text and its slots."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -218,6 +218,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
                 for e in within(p):
                     around[e] += n
                     around_link[e] += link[p]
+            rows.append((where, "page", "", 0, key, 1, 0, 0))
             rows += [(where, "path", p, _long(p), key, n, around[p], around_link[p]) for p, n in paths.items()]
             rows += [(where, "text", p, text_token(p, t), key, n, n * len(t), 0) for (p, t), n in Counter((p, t) for p, t, _ in found).items()]
             rows += [(where, "slot", p, _long(p), key, number[p], n, link[p]) for p, n in size.items()]
@@ -253,7 +254,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     once = found.distinct()
     sums = once.groupBy("host", "kind", "path", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("page", "n")).alias("sign"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     sums = written(sums.where(F.col("pages") >= LEAST_PAGES), "tokens")
-    tokens = sums.where("kind <> 'slot'").withColumn("class", F.xxhash64("pages", "total", "sign"))
+    tokens = sums.where("kind in ('path', 'text')").withColumn("class", F.xxhash64("pages", "total", "sign"))
     classes = tokens.groupBy("host", "class").agg(F.count("*").alias("size"), F.count_if(F.col("kind") == "path").alias("elements")).where(F.col("size") >= LEAST_TOKENS)
     valid = tokens.join(classes, ["host", "class"])
     slots = sums.where("kind = 'slot'")
@@ -266,7 +267,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     half, sure, layout = F.col("pages") >= F.col("of") * SHARE, F.col("pages") >= SURE_PAGES, F.col("elements") > 0
     article = F.col("path").rlike(r"(?i)/(article|main)(?![a-z0-9:_-])")
     fixed = written(texts.where(closed | F.when(article, half & sure).otherwise(half | layout | (part & sure))).select("host", "path", "token", "chars", "pages"), "fixed")
-    number = once.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("number"))
+    number = sums.where("kind = 'page'").select("host", F.col("pages").alias("number"))
     fixed = written(fixed.join(number, "host").withColumn("weak", F.col("pages") < F.col("number") * SHARE).drop("number", "pages"), "strength")
     elements = valid.where("kind = 'path'").select("host", "path", "chars", "links")
     places = slots.select("host", "path", "chars", "links").union(elements.where("chars > 0").join(of, ["host", "path"], "left_anti"))
