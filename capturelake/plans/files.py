@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake import api
+from capturelake import api, sql
 from capturelake.functions.text import path_name
 from capturelake.plans.derived import table
 from capturelake.shared import materialised, shared_path
@@ -106,9 +106,26 @@ def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(path_name(c("path")).alias("name"), "ok", "header_sample_rate", "declared_total_samples", "channels", "bits_per_sample", "file_size", "audio_offset")
 
 
+@query
+def probe_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers by the table function, in a lateral join; files that are not there are rows."""
+    sql.register(spark)
+    paths = _written(spark, sf_dir).where("kind in ('flac', 'gone')").select("path")
+    rows = spark.sql("SELECT p.path AS own, h.* FROM {paths} p, LATERAL capture_header(p.path) h", paths=paths)
+    return rows.select(path_name(c("own")).alias("name"), "ok", F.split("error", ":")[0].alias("said"), "header_sample_rate", "declared_total_samples", "file_size", F.size("tags").alias("n_tags"))
+
+
+@query
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a person reads of each probed file."""
+    paths = _written(spark, sf_dir).where("kind in ('flac', 'gone')").select("path")
+    rows = api.report(api.probe_table(paths))
+    return rows.select(path_name(c("path")).alias("name"), "ok", "header_sample_rate", "real_rate_hz", "is_rf", "total_samples", "provenance", "duration", "warnings")
+
+
 @query
 def file_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_frames(spark, _captures(spark, sf_dir), 64).select(path_name(c("path")).alias("name"), "off", "block_size", "hlen", "number", "variable")
+    return flac.read_frames(spark, _captures(spark, sf_dir), 64).where("error is null").select(path_name(c("path")).alias("name"), "off", "block_size", "hlen", "number", "variable")
 
 
 @query
@@ -180,6 +197,17 @@ ORACLE: dict[str, str] = {
   CASE WHEN NOT bad THEN rate * CASE WHEN rate = 48000 THEN 1 ELSE 1000 END::DOUBLE END AS real_rate_hz, 0 AS n_warnings FROM sizes
 UNION ALL SELECT 'gone_' || k || '.flac', false, 'open failed', NULL, NULL, NULL, NULL, 0 FROM sizes WHERE k % 9 = 0
 UNION ALL SELECT NULL, false, 'null path', NULL, NULL, NULL, NULL, 0""",
+    "probe_sql": _ROWS
+    + """SELECT stem || '.flac' AS name, NOT bad AS ok, CASE WHEN bad THEN 'not a FLAC stream (missing fLaC marker)' END AS said, CASE WHEN NOT bad THEN rate END::BIGINT AS header_sample_rate,
+  CASE WHEN NOT bad THEN declared END::BIGINT AS declared_total_samples, size::BIGINT AS file_size, CASE WHEN NOT bad THEN (tag IS NOT NULL)::INT END AS n_tags FROM sizes
+UNION ALL SELECT 'gone_' || k || '.flac', false, 'open failed', NULL, NULL, NULL, NULL FROM sizes WHERE k % 9 = 0""",
+    "file_report": _ROWS
+    + """, f AS (SELECT stem || '.flac' AS name, NOT bad AS ok, CASE WHEN NOT bad THEN rate END::BIGINT AS header_sample_rate, CASE WHEN NOT bad THEN rate * CASE WHEN rate = 48000 THEN 1 ELSE 1000 END END::DOUBLE AS real_rate_hz, CASE WHEN NOT bad THEN rate <> 48000 END AS is_rf,
+  CASE WHEN bad THEN NULL WHEN tag IS NOT NULL THEN tag WHEN declared > 0 THEN declared WHEN told IS NOT NULL THEN round(told * rate * CASE WHEN rate = 48000 THEN 1 ELSE 1000 END)::BIGINT WHEN frames > 0 THEN 192 * frames END::BIGINT AS total_samples,
+  CASE WHEN bad THEN NULL WHEN tag IS NOT NULL THEN 'vorbis-tag' WHEN declared > 0 THEN 'header' WHEN told IS NOT NULL THEN 'companion-file' WHEN frames > 0 THEN 'scanned-from-frames' ELSE 'header' END AS provenance FROM sizes
+  UNION ALL SELECT 'gone_' || k || '.flac', false, NULL, NULL, NULL, NULL, NULL FROM sizes WHERE k % 9 = 0),
+m AS (SELECT *, (floor(total_samples / real_rate_hz) * 1000 + round((total_samples / real_rate_hz - floor(total_samples / real_rate_hz)) * 1000))::BIGINT AS ms FROM f)
+SELECT name, ok, header_sample_rate, real_rate_hz, is_rf, total_samples, provenance, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS duration, '' AS warnings FROM m""",
     "file_headers": _ROWS
     + """SELECT stem || '.flac' AS name, NOT bad AS ok, CASE WHEN NOT bad THEN rate END::BIGINT AS header_sample_rate, CASE WHEN NOT bad THEN declared END::BIGINT AS declared_total_samples,
   CASE WHEN NOT bad THEN 1 END AS channels, CASE WHEN NOT bad THEN 8 END AS bits_per_sample, size::BIGINT AS file_size, CASE WHEN NOT bad THEN audio END::BIGINT AS audio_offset FROM sizes""",

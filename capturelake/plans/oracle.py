@@ -187,4 +187,5 @@ SELECT p_partkey, list_filter(list_transform(range(0, length(t) + 1), lambda i:
     "frame_scan": _with(DUCK_CAPTURES) + "SELECT capture_id, 0::BIGINT AS off, 192 AS block_size, 6 AS hlen, capture_id % 128 AS number, false AS variable FROM captures UNION ALL SELECT capture_id, 6 + capture_id % 20, 192, 6, capture_id % 127, false FROM captures",
     "wav_header": _with(DUCK_CAPTURES) + "SELECT capture_id, CASE WHEN capture_id % 11 <> 0 AND capture_id % 9 > 1 AND capture_id * 192 % 4000000000 > 0 THEN (capture_id * 192 % 4000000000) / (channels * (bps / 8)) / header_rate END AS duration_s FROM captures",
 }
+ORACLE |= {f"{name}_sql": ORACLE[name] for name in ("cut_plan", "rate_resolve", "capture_base")}
 ORACLE |= files.ORACLE | cutting.ORACLE

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capturelake import sql
 from capturelake.functions import binary, hms, markers, plan, rate, text, unwrap
 from capturelake.functions.staged import staged
 from capturelake.operators import companions as comp
@@ -255,6 +256,28 @@ def cut_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("event_id", "error", "start_samples", "length_samples", "end_sample", "real_total_seconds")
 
 
+@query
+def cut_plan_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the session's SQL functions."""
+    sql.register(spark)
+    rows = unwrap.with_corrected(_rated(spark, sf_dir), "total_samples")
+    known = rows.select("capture_id", c("real").alias("rate"), c("total_samples").cast("bigint").alias("total"), (c("declared") > 0).alias("known"))
+    made = "SELECT event_id, capture_plan(CAST(start_sec AS DOUBLE), CAST(len_sec AS DOUBLE), rate, total, coalesce(known, false)) AS p FROM {cuts} LEFT JOIN {captures} USING (capture_id)"
+    return spark.sql(f"SELECT event_id, p.error, p.start_samples, p.length_samples, p.end_sample, p.real_total_seconds FROM ({made})", cuts=derived.cuts(spark, sf_dir), captures=known)
+
+
+@query
+def rate_resolve_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql("SELECT capture_id, capture_rate(header_rate, capture_msps(stem)) AS real_rate_hz, NOT capture_is_audio(header_rate) AS is_rf FROM {captures}", captures=derived.captures(spark, sf_dir))
+
+
+@query
+def capture_base_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql("SELECT capture_id, capture_base(stem) AS base FROM {captures}", captures=derived.captures(spark, sf_dir))
+
+
 MARKERS = {
     "event_id": "event_id",
     "t": "value - 20",

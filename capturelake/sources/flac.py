@@ -8,12 +8,12 @@ systems, so that a path can be a local one or a URI.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from capturelake.schema import FRAMES, HEADER
 
@@ -24,6 +24,8 @@ STREAMINFO, VORBIS_COMMENT = 0, 4
 LOOK, RANGE, STEP = 17, 64 << 20, 4 << 20
 #: Files whose headers a task reads.
 FILES = 64
+#: The setting that lets filters reach the sources.
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 #: How a frame header begins: its sync bits, then codes of the block size, the
 #: rate, the channels and the sample size of which none is reserved in every use.
 _BEGIN = re.compile(rb"\xff[\xf8\xf9](?=[\x10-\xff][\x00-\xaf])")
@@ -200,10 +202,33 @@ class _Part(InputPartition):
         self.paths, self.start, self.end = paths, start, end
 
 
-class _HeaderReader(DataSourceReader):
+class _Paths(DataSourceReader):
+    """A reader of files, of frames from offset ``first`` to ``last``."""
+
     def __init__(self, paths: list[str]) -> None:
         self.paths = paths
+        self.first, self.last = 0, None
+
+
+class _Pushed:
+    """Keeps to the paths and offsets that a query asks for; Spark filters again.
+    A reader may only have this where the session has PUSHDOWN."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        for f in filters:
+            name = getattr(f, "attribute", None)
+            if name == ("path",) and isinstance(f, EqualTo | EqualNullSafe | In):
+                wanted = set(f.value if isinstance(f, In) else [f.value])
+                self.paths = [p for p in self.paths if p in wanted]
+            elif name == ("off",):
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    self.first = max(self.first, f.value)
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    self.last = f.value if self.last is None else min(self.last, f.value)
+        return filters
 
+
+class _HeaderReader(_Paths):
     def partitions(self) -> list[_Part]:
         return [_Part(self.paths[i : i + FILES]) for i in range(0, max(1, len(self.paths)), FILES)]
 
@@ -211,6 +236,10 @@ class _HeaderReader(DataSourceReader):
         yield from map(header_row, partition.paths)
 
 
+class _PushedHeaderReader(_Pushed, _HeaderReader):
+    pass
+
+
 class FlacHeaders(DataSource):
     """``format("flac_headers")``: one row of HEADER for each of the paths in
     option ``paths``, one a line; reads metadata blocks only."""
@@ -223,23 +252,45 @@ class FlacHeaders(DataSource):
         return HEADER
 
     def reader(self, schema: Any) -> DataSourceReader:
-        return _HeaderReader([p for p in self.options.get("paths", "").split("\n") if p])
+        kind = _PushedHeaderReader if self.options.get("pushdown") == "true" else _HeaderReader
+        return kind([p for p in self.options.get("paths", "").split("\n") if p])
 
 
-class _FrameReader(DataSourceReader):
+class _FrameReader(_Paths):
     def __init__(self, paths: list[str], size: int) -> None:
-        self.paths, self.size = paths, size
+        super().__init__(paths)
+        self.size = size
 
     def partitions(self) -> list[_Part]:
         # sizes alone, all asked for at once: tasks find where the audio begins
-        return [_Part([p], a, min(a + self.size, n)) for p, n in _sizes(self.paths) for a in range(0, n, self.size)] or [_Part([])]
+        out = [_Part([p], a, min(a + self.size, n)) for p, n in _sizes(self.paths) for a in range(0, n, self.size) if a + self.size > self.first]
+        if self.last is not None and len(self.paths) <= FILES:  # few enough to ask where their audio begins
+            ends = {p: _audio(p) for p in self.paths}
+            out = [x for x in out if ends[x.paths[0]] is None or x.start <= ends[x.paths[0]] + self.last]
+        return out or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         for p in partition.paths:
             try:
-                yield from ((p, *x) for x in scan_range(p, partition.start, partition.end))
-            except ValueError:  # not such a file: it has no frames
-                return
+                yield from ((p, *x, None) for x in scan_range(p, partition.start, partition.end))
+            except Exception as e:  # noqa: BLE001  a file that fails does not fail the others
+                yield (p, None, None, None, None, None, str(e))
+
+
+class _PushedFrameReader(_Pushed, _FrameReader):
+    pass
+
+
+def _audio(path: str) -> int | None:
+    """Where a file's audio begins, if that can be told."""
+    try:
+        f, _ = open_file(path)
+        try:
+            return read_header(f)[1]
+        finally:
+            f.close()
+    except Exception:  # noqa: BLE001  the task will tell
+        return None
 
 
 def _sizes(paths: list[str]) -> list[tuple[str, int]]:
@@ -258,22 +309,29 @@ def _sizes(paths: list[str]) -> list[tuple[str, int]]:
 class FlacFrames(DataSource):
     """``format("flac_frames")``: the valid frame headers of the paths in option
     ``paths``, with offsets from the audio's start; a task reads ``range`` bytes
-    and a few more, so that one file is scanned by many."""
+    and a few more, so that one file is scanned by many.  What cannot be read is
+    a row of its own, with an error and without an offset; filters on path and
+    off leave out whole ranges."""
 
     @classmethod
     def name(cls) -> str:
         return "flac_frames"
 
     def schema(self) -> str:
-        return FRAMES
+        return FRAMES + ", error string"
 
     def reader(self, schema: Any) -> DataSourceReader:
-        return _FrameReader([p for p in self.options.get("paths", "").split("\n") if p], int(self.options.get("range", RANGE)))
+        kind = _PushedFrameReader if self.options.get("pushdown") == "true" else _FrameReader
+        return kind([p for p in self.options.get("paths", "").split("\n") if p], int(self.options.get("range", RANGE)))
+
+
+def _pushdown(spark: SparkSession) -> str:
+    return str(spark.conf.get(PUSHDOWN, "false")).lower()
 
 
 def read_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
     spark.dataSource.register(FlacHeaders)
-    return spark.read.format("flac_headers").option("paths", "\n".join(paths)).load()
+    return spark.read.format("flac_headers").option("paths", "\n".join(paths)).option("pushdown", _pushdown(spark)).load()
 
 
 def header_table(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -344,7 +402,7 @@ def frame_table(paths: DataFrame, path: str = "path", size: int = RANGE) -> Data
 
 def read_frames(spark: SparkSession, paths: list[str], size: int = RANGE) -> DataFrame:
     spark.dataSource.register(FlacFrames)
-    return spark.read.format("flac_frames").option("paths", "\n".join(paths)).option("range", str(size)).load()
+    return spark.read.format("flac_frames").option("paths", "\n".join(paths)).option("range", str(size)).option("pushdown", _pushdown(spark)).load()
 
 
 def read_tags(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -39,8 +39,11 @@ def build(paths: DataFrame, path: str = "path", grid: int = GRID, stride: int =
     skip = head.select("path", F.coalesce("min_frame", F.lit(0)).alias("min_frame"))
     found = materialised(found.join(skip, "path").select("path", "off", "block_size", "hlen", "number", "variable", "min_frame"), "candidates")
     taken = materialised(ranges.chain_frames(found, "path", "min_frame", size=size), "chain")
-    cells = F.sequence(F.floor(F.col("first_sample") / grid), F.floor((F.col("first_sample") + F.col("block_size") - 1) / grid))
-    rows = taken.withColumn("cell", F.explode(cells)).where((F.col("nth") % stride == 0) | (F.col("first_sample") <= F.col("cell") * grid))
+    # the frames behind a cell's last sample are told to it, so that a read of it knows where to end
+    before = F.greatest(F.col("first_sample") - F.col("block_size"), F.lit(0))
+    cells = F.sequence(F.floor(before / grid), F.floor((F.col("first_sample") + F.col("block_size") - 1) / grid))
+    at = F.col("cell") * grid
+    rows = taken.withColumn("cell", F.explode(cells)).where((F.col("nth") % stride == 0) | (F.col("first_sample") <= at) | (F.col("first_sample") >= at + grid))
     entry = F.struct("first_sample", "off", "number")
     rows = rows.groupBy("path", "cell").agg(F.array_sort(F.collect_list(entry)).alias("x"), F.bool_or("variable").alias("variable"))
     ends = taken.groupBy("path").agg(F.max(F.col("first_sample") + F.col("block_size")).alias("end"))

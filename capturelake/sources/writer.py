@@ -1,8 +1,9 @@
 """Writing audio files from rows: a data source with commit and abort.
 
 Rows that belong to one file come to one task in order and go straight through
-it.  A task writes into a folder of the job beside the output; only when all
-tasks are done do its files get their names, and when one fails none does.
+it.  A task writes hidden files beside the outputs; only when all tasks are done
+do they get their names, and when one fails none does and they are removed
+(an executor that is lost at once may leave a hidden file).
 """
 
 from __future__ import annotations
@@ -45,9 +46,6 @@ class Written(WriterCommitMessage):
 class _AudioWriter(DataSourceWriter):
     """Of rows (path, first_sample, n, head, data): ``head`` begins a file."""
 
-    def __init__(self, job: str) -> None:
-        self.job = job
-
     def write(self, iterator: Iterator[Any]) -> WriterCommitMessage:
         done, path, out, follow = [], None, None, 0
         try:
@@ -57,9 +55,8 @@ class _AudioWriter(DataSourceWriter):
                         out.close()
                     path, follow = row["path"], 0
                     store, inner = _store(path)
-                    folder = f"{os.path.dirname(inner)}/{self.job}"
-                    store.create_dir(folder, recursive=True)
-                    temporary = f"{folder}/{uuid.uuid4().hex}"
+                    folder, name = os.path.split(inner)
+                    temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
                     out = store.open_output_stream(temporary)
                     done.append((temporary, path))
                     out.write(row["head"])
@@ -82,19 +79,10 @@ class _AudioWriter(DataSourceWriter):
         for temporary, path in (x for m in messages if m is not None for x in m.files):
             store, inner = _store(path)
             store.move(temporary, inner)
-        self._clear(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._clear(messages)
-
-    def _clear(self, messages: list[WriterCommitMessage | None]) -> None:
-        for path in {os.path.dirname(p) + "/x": None for m in messages if m is not None for _, p in m.files}:
-            store, inner = _store(path)
-            folder = f"{os.path.dirname(inner)}/{self.job}"
-            from pyarrow import fs
-
-            if store.get_file_info(folder).type == fs.FileType.Directory:
-                store.delete_dir(folder)
+        for temporary, path in (x for m in messages if m is not None for x in m.files):
+            _store(path)[0].delete_file(temporary)
 
 
 class AudioFiles(DataSource):
@@ -109,7 +97,7 @@ class AudioFiles(DataSource):
         return "path string, first_sample bigint, n bigint, head binary, data binary"
 
     def writer(self, schema: Any, overwrite: bool) -> DataSourceWriter:
-        return _AudioWriter(f"_writing-{uuid.uuid4().hex}")
+        return _AudioWriter()
 
 
 def _save(rows: DataFrame) -> None:

@@ -1,6 +1,7 @@
 """Byte-level fixtures: headers, frames, audio files, companions, whole probes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from capturelake import api
 from capturelake.operators import frames as frame_op
@@ -72,8 +73,6 @@ def test_frame_chains(spark, tmp_path, data, skip, expected):
     (tmp_path / "a.flac").write_bytes(header() + data)
     found = flac.read_frames(spark, [path], size=1 << 20).selectExpr("*", f"{skip} AS min_frame")
     assert frame_op.chain_in_order(found, "path", "min_frame").first().counted == expected
-    from pyspark.sql import functions as F
-
     assert frame_op.chain(found, ["path"], F.col("min_frame")).first().counted == expected
 
 
@@ -193,8 +192,6 @@ def test_plain_names_join_by_prefix(spark):
     others = [(f"/d{i % 2}", s + t, "log", f"n{i}", 1.0) for i, (s, t) in enumerate((s, t) for s in stems for t in ("", "_x", "c"))]
     rows = comp.join_companions(spark.createDataFrame(captures, "path int, dir string, stem string"), spark.createDataFrame(others, "dir string, stem string, ext string, name string, duration_s double"), how="inner")
     from capturelake.functions import text
-    from pyspark.sql import functions as F
-
     base = dict(spark.createDataFrame([(s,) for s in stems], "s string").select("s", text.capture_base(F.col("s"))).collect())
     want = {(i, n) for i, d, s in captures for e, t, _, n, _ in others if d == e and t.startswith(base[s])}
     assert {(r.path, r.name) for r in rows.collect()} == want
@@ -221,3 +218,66 @@ def test_streaming_count_equals_batch(spark, tmp_path):
     q.stop()
     found = {r.path: r.counted for r in spark.sql("select path, max(counted) as counted from counted group by path").collect()}
     assert found == {"p": 2000, "q": 9}
+
+
+def test_late_candidates_equal_batch(spark, tmp_path):
+    """Candidates of three files shuffled over micro-batches: the batch chain's counts, and no state read too early."""
+    import random
+    from datetime import datetime, timedelta
+
+    from capturelake.schema import FRAMES
+    from capturelake.streaming.late import count_late_frames
+
+    rng, rows = random.Random(4), []
+    for path in "pqr":
+        for i in range(40):
+            rows.append((path, 10 * i, 100 + i % 3, 6, i if rng.random() < 0.93 else 500 + i, False))
+    begin = datetime(2024, 5, 1)
+    timed = [(*r, begin + timedelta(seconds=r[1])) for r in rows]
+    want = {r.path: (r.counted, r.n_frames) for r in frame_op.chain_in_order(spark.createDataFrame(rows, FRAMES)).collect()}
+    # out of order by up to a minute, over six batches; the last row moves the watermark past all
+    timed.sort(key=lambda r: r[6] + timedelta(seconds=rng.uniform(0, 60)))
+    last = [("end", 0, 1, 6, 0, False, begin + timedelta(days=1)), ("end", 10, 1, 6, 1, False, begin + timedelta(days=2))]
+    schema = FRAMES + ", at timestamp"
+    for i in range(0, len(timed), 20):
+        spark.createDataFrame(timed[i : i + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i:04d}"))
+    for i, row in enumerate(last):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(str(tmp_path / f"in/9{i}"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = count_late_frames(stream, delay="2 minutes").writeStream.outputMode("update").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set(provider, before)
+    found = spark.sql("select path, max(counted) as counted, max(n_frames) as n, count(*) as times from late where path <> 'end' group by path").collect()
+    assert {r.path: (r.counted, r.n) for r in found} == want
+    assert any(r.times > 1 for r in found)
+
+
+def test_filters_leave_out_ranges(spark, tmp_path):
+    """With filters on path and offset only the ranges that can hold them are read."""
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    for k in "abc":
+        (tmp_path / f"{k}.flac").write_bytes(header() + b"".join(fixed(i) + bytes(994) for i in range(100)))
+    paths = [str(tmp_path / f"{k}.flac") for k in "abc"]
+
+    def parts(*filters):
+        reader = flac._PushedFrameReader(paths, 10_000)
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        return [(p.paths[0][-6], p.start) for p in reader.partitions() if p.paths]
+
+    assert len(parts()) == 33 and len(parts(EqualTo(("path",), paths[1]))) == 11 and parts(In(("path",), ("no",))) == []
+    assert parts(EqualTo(("path",), paths[0]), GreaterThanOrEqual(("off",), 45_000), LessThan(("off",), 61_000)) == [("a", 40_000), ("a", 50_000), ("a", 60_000)]
+    before = spark.conf.get(flac.PUSHDOWN)
+    spark.conf.set(flac.PUSHDOWN, "true")
+    try:
+        rows = flac.read_frames(spark, paths, 10_000).where(F.col("path") == paths[2]).where("off >= 45000 and off < 61000")
+        assert sorted(r.off for r in rows.collect()) == list(range(45_000, 61_000, 1000))
+        assert rows.rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.set(flac.PUSHDOWN, before)
