@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Plans whose bounds become one filter each.
+EXACT = 64
+
 
 def trim_rows(samples: DataFrame, start: Column, length: Column, pos: str = "pos") -> DataFrame:
     """One row a sample: a filter, which reaches the scan where the bounds are constants."""
@@ -28,15 +31,39 @@ def trim_blocks(blocks: DataFrame, plans: DataFrame, key: str = "capture_id", si
     """The parts of blocks within each plan (key, start_samples, length_samples):
     inner blocks whole, edge blocks sliced.
 
-    With the ``size`` of the blocks the least start and the greatest end of all
-    plans are found first and, as constants, reach the blocks' scan: what lies
-    outside them is not read.
+    With the ``size`` of the blocks (those of :func:`to_blocks`) plans and blocks
+    meet by the number of the block, and the blocks' scan gets the bounds as
+    constants: of each plan, where they are EXACT at most, so that one early and
+    one late cut read little, else the least start and the greatest end.
     """
     if size is not None:
-        first, last = plans.agg(F.min("start_samples"), F.max(F.col("start_samples") + F.col("length_samples"))).first()
-        blocks = blocks.where((F.col("first_sample") > F.lit((first or 0) - size)) & (F.col("first_sample") < F.lit(last or 0)))
+        return _numbered(blocks, plans, key, size)
     end = F.col("start_samples") + F.col("length_samples")
     rows = blocks.join(plans.select(key, "start_samples", "length_samples"), key).where((F.col("first_sample") < end) & (F.col("first_sample") + F.col("n") > F.col("start_samples")))
+    return _sliced(rows, key)
+
+
+def _numbered(blocks: DataFrame, plans: DataFrame, key: str, size: int) -> DataFrame:
+    own = plans.where("length_samples > 0 and start_samples is not null").select(key, "start_samples", "length_samples")
+    first, end = F.col("first_sample"), F.col("start_samples") + F.col("length_samples")
+    asked = own.select(key, F.col("start_samples").alias("a"), end.alias("b"))
+    few = asked.limit(EXACT + 1).collect()
+    if len(few) <= EXACT:
+        wanted = F.lit(False)
+        for k, a, b in few:
+            wanted = wanted | ((F.col(key) == F.lit(k)) & (first > F.lit(a - size)) & (first < F.lit(b)))
+    else:
+        a, b = asked.agg(F.min("a"), F.max("b")).first()
+        wanted = (first > F.lit(a - size)) & (first < F.lit(b))
+    number = F.explode(F.sequence(F.floor(F.col("start_samples") / size), F.floor((end - 1) / size)))
+    own = own.withColumn("_b", number)
+    rows = blocks.where(wanted).withColumn("_b", F.floor(first / size)).join(own, [key, "_b"])
+    return _sliced(rows.where((first < end) & (first + F.col("n") > F.col("start_samples"))), key)
+
+
+def _sliced(rows: DataFrame, key: str) -> DataFrame:
+    """Of blocks that meet a plan the samples in it."""
+    end = F.col("start_samples") + F.col("length_samples")
     skip = F.greatest(F.col("start_samples") - F.col("first_sample"), F.lit(0))
     keep = F.least(end - F.col("first_sample"), F.col("n")) - skip
     cut = F.slice("samples", (skip + 1).cast("int"), F.greatest(keep, F.lit(0)).cast("int"))

@@ -150,8 +150,8 @@ def read(plans: DataFrame, index: DataFrame, grid: int = GRID) -> DataFrame:
 
 
 def read_flac(plans: DataFrame, index: DataFrame, grid: int = GRID) -> DataFrame:
-    """(in_path, out_path, first_sample, n, least, most, channels, bps, rate,
-    total, data, error): the same cuts as FLAC frames.  Inner frames keep their
+    """(in_path, out_path, first_sample, n, channels, bps, rate, total, data,
+    error): the same cuts as FLAC frames.  Inner frames keep their
     subframes as they are, with a new number in their header; the two at the
     ends are decoded and written anew."""
     names = ["in_path", "out_path", "first_sample", "n", "channels", "bps", "rate", "total", "data", "error"]

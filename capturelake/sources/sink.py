@@ -14,9 +14,10 @@ from capturelake.operators.trim import trim_blocks
 RESULT = "in_path string, out_path string, ok boolean, exit_code int, stderr string"
 
 
-def write_cut(blocks: DataFrame, plans: DataFrame, path: str, key: str = "capture_id") -> None:
-    """Write the planned cuts of decoded blocks, in order, as Parquet."""
-    trim_blocks(blocks, plans, key).sortWithinPartitions(key, "first_sample").write.parquet(path)
+def write_cut(blocks: DataFrame, plans: DataFrame, path: str, key: str = "capture_id", size: int | None = 65536) -> None:
+    """Write the planned cuts of decoded blocks of ``size`` samples, in order, as
+    Parquet; for audio files see ``writer``."""
+    trim_blocks(blocks, plans, key, size).sortWithinPartitions(key, "first_sample").write.parquet(path)
 
 
 def tool_available(tool: str = "sox") -> bool:

@@ -59,9 +59,10 @@ class _AudioWriter(DataSourceWriter):
                     temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
                     out = store.open_output_stream(temporary)
                     done.append((temporary, path))
-                    out.write(row["head"])
                 if row["first_sample"] != follow:
                     raise ValueError(f"{path} has no samples from {follow} to {row['first_sample']}")
+                if row["head"] is not None:
+                    out.write(row["head"])
                 out.write(row["data"])
                 follow += row["n"]
             if out is not None:

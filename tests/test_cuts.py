@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from capturelake.operators import frames as frame_op
-from capturelake.operators import ranges
-from capturelake.sources import companions, flac, seek, writer
-from capturelake.sources import frames as audio
+from capturelake.operators import ranges, trim
 from capturelake.shared import materialised
+from capturelake.sources import companions, flac, seek, sink, writer
+from capturelake.sources import frames as audio
 
 
 def crc16_brute(data):
@@ -197,6 +197,22 @@ def test_two_batches_reserve_different_names(spark, tmp_path):
     assert gone.output is None
 
 
+@pytest.mark.parametrize("exact", [1, 64])
+def test_blocks_of_each_plan_alone_are_read(spark, tmp_path, monkeypatch, exact):
+    """Cuts by the number of a block equal those by comparison, and a filter for each plan reaches the scan."""
+    monkeypatch.setattr(trim, "EXACT", exact)
+    rows = spark.range(20).selectExpr("id AS capture_id", "explode(sequence(0L, 199L)) AS pos").withColumn("value", F.col("capture_id") * 1000 + F.col("pos"))
+    trim.to_blocks(rows, 16).write.parquet(str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    plans = spark.createDataFrame([(1, 0, 5), (19, 190, 50), (7, 15, 1), (7, 16, 33), (3, 10, 0), (4, None, 5), (30, 0, 5)], "capture_id bigint, start_samples bigint, length_samples bigint")
+    want = sorted(map(str, trim.trim_blocks(blocks, plans.where("length_samples > 0")).collect()))
+    found = trim.trim_blocks(blocks, plans, size=16)
+    assert sorted(map(str, found.collect())) == want and len(want) > 5
+    assert ("Or(" in found._jdf.queryExecution().executedPlan().toString()) == (exact > 1)
+    sink.write_cut(blocks, plans, str(tmp_path / "cut"), size=16)
+    assert spark.read.parquet(str(tmp_path / "cut")).count() == len(want)
+
+
 def test_marks_reserve_where_creation_is_not_exclusive(tmp_path, monkeypatch):
     """A store that is not a local folder: a mark of another's keeps the name from both."""
     from pyarrow import fs

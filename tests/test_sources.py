@@ -281,3 +281,33 @@ def test_filters_leave_out_ranges(spark, tmp_path):
         assert rows.rdd.getNumPartitions() == 3
     finally:
         spark.conf.set(flac.PUSHDOWN, before)
+
+
+def test_a_late_companion_changes_its_capture_once(spark, tmp_path):
+    """Files that arrive in three batches: each capture's last row is that of a batch probe, and no row repeats the one before."""
+    from capturelake.streaming.probing import probe_changes, watch
+
+    (tmp_path / "in" / "d").mkdir(parents=True)
+    put = lambda name, data: (tmp_path / "in" / "d" / name).write_bytes(data)
+    writer = probe_changes(watch(spark, str(tmp_path / "in")), str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+    stamp = "2001.02.03_04.05.06"
+    steps = [
+        [("plain.flac", header(total=200000000) + bytes(50)), (f"T_{stamp}_rf.flac", header() + bytes(50)), ("scan.flac", header() + fixed(0) + bytes(9) + fixed(1) + bytes(9)), ("bad.flac", b"nothing")],
+        [(f"T_{stamp}_a.log", b"stopped: duration=734.125s"), ("other.txt", b"x")],
+        [(f"T_{stamp}_b.log", b"stopped: duration=1s"), ("plain.log", b"duration=5s"), ("scan_x.log", b"duration=2s"), ("new.flac", header(total=7) + bytes(50))],
+    ]
+    for files in steps:
+        for name, data in files:
+            put(name, data)
+        q = writer.start()
+        q.processAllAvailable()
+        q.stop()
+    rows = spark.read.parquet(str(tmp_path / "out" / "changes")).collect()
+    changes = {}
+    for r in sorted(rows, key=lambda r: r.batch):
+        changes.setdefault(r.path.rsplit("/", 1)[1], []).append((r.provenance, r.total_samples))
+    assert changes[f"T_{stamp}_rf.flac"] == [("header", None), ("companion-file", 14682500000)]
+    assert changes["scan.flac"] == [("scanned-from-frames", 384), ("companion-file", 40000000)]
+    assert changes["plain.flac"] == [("header", 200000000)] and changes["new.flac"] == [("header", 7)] and changes["bad.flac"] == [(None, None)]
+    batch = {r.path.rsplit("/", 1)[1]: (r.provenance, r.total_samples) for r in api.probe(spark, [str(p) for p in (tmp_path / "in" / "d").glob("*.flac")]).collect()}
+    assert {k: v[-1] for k, v in changes.items()} == batch
