@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import Bloom, shared_path, text_column, written
+from capturelake.llm.common import Bloom, bounded, release, shared_path, text_column, written
 
 # Fixed values of the formats.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -32,6 +32,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 
 #: Plain bytes after which a frame ends, compressed bytes after which a bundle does.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 16 << 20
+#: Bundles that a task reads.
+BUNDLES = 8
 #: A payload on more than one in so many of the repeated pages is hot.
 HOT = 1000
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_start long, frame_bytes long, record_start long, record_bytes long"
@@ -205,31 +207,33 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         if bundle.entries:
             yield flush(bundle)
 
-    spark = pages.sparkSession
+    spark = bounded(pages).sparkSession
     roles(pages, page_id, url, html, min_bytes).mapInArrow(run, INDEX).write.parquet(f"{path}/index")
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archive at ``path``, as rows of RECORD, frame by frame."""
+    """All records of the archive at ``path``, as rows of RECORD, frame by frame.
+
+    The bundles that the index names are dealt to tasks by name, BUNDLES each,
+    and read there: no content is moved, and no other file is opened."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{folder}/bundles/{name}") as f:
+                    data = f.read()
                 for start, packed, plain in seek_table(data):
                     frame = zstandard.ZstdDecompressor().decompress(data[start : start + packed], plain)
                     rows = list(parse(frame))
                     if rows:
                         yield _rows(rows, _RECORD)
+        release()
 
-    index = spark.read.schema(INDEX).parquet(f"{path}/index")
-    named = index.select("bundle").distinct()
-    if index.isEmpty():
-        return spark.createDataFrame([], RECORD)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(f"{path}/bundles")
-    files = files.withColumn("bundle", F.element_at(F.split("path", "/"), -1))
-    # the names of the bundles are few beside their bytes: they go to the files
-    return files.join(F.broadcast(named) if named.count() <= 100_000 else named, "bundle", "left_semi").select("content").mapInArrow(run, RECORD)
+    named = spark.read.schema(INDEX).parquet(f"{path}/index").select("bundle").distinct()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-named.count() // BUNDLES))
+    return named.repartition(tasks).mapInArrow(run, RECORD)
 
 
 def lookup(wanted: DataFrame, path: str) -> DataFrame:
