@@ -87,8 +87,8 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialised(rows.mapInPandas(run, "k bigint, kind string, folder string, path string"), "written")
 
 
-def _captures(spark: SparkSession, sf_dir: str) -> list[str]:
-    return [r[0] for r in _written(spark, sf_dir).where("kind in ('flac', 'gone')").select("path").collect()]
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir).where("kind in ('flac', 'gone')").select("path")
 
 
 @query
@@ -102,7 +102,8 @@ def file_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flac.read_headers(spark, _captures(spark, sf_dir)).where("error is null or error not like 'open failed%'")
+    """Also of files that are no captures, or are not there."""
+    rows = flac.read_headers(spark, _captures(spark, sf_dir))
     return rows.select(path_name(c("path")).alias("name"), "ok", "header_sample_rate", "declared_total_samples", "channels", "bits_per_sample", "file_size", "audio_offset")
 
 
@@ -125,7 +126,8 @@ def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_frames(spark, _captures(spark, sf_dir), 64).where("error is null").select(path_name(c("path")).alias("name"), "off", "block_size", "hlen", "number", "variable")
+    rows = flac.read_frames(spark, [r[0] for r in _captures(spark, sf_dir).collect()], 64).where("error is null")
+    return rows.select(path_name(c("path")).alias("name"), "off", "block_size", "hlen", "number", "variable")
 
 
 @query
@@ -164,13 +166,13 @@ def file_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def file_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads of logs, of 64 KiB at most."""
-    paths = [r[0] for r in _written(spark, sf_dir).where("kind = 'log'").select("path").collect()]
+    paths = _written(spark, sf_dir).where("kind = 'log'").select("path")
     return companions.read_logs(spark, paths).select(path_name(c("path")).alias("name"), F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
 @query
 def file_wavs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = [r[0] for r in _written(spark, sf_dir).where("kind = 'wav'").select("path").collect()]
+    paths = _written(spark, sf_dir).where("kind = 'wav'").select("path")
     return companions.read_wavs(spark, paths).select(path_name(c("path")).alias("name"), "duration_s")
 
 
@@ -210,7 +212,8 @@ m AS (SELECT *, (floor(total_samples / real_rate_hz) * 1000 + round((total_sampl
 SELECT name, ok, header_sample_rate, real_rate_hz, is_rf, total_samples, provenance, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS duration, '' AS warnings FROM m""",
     "file_headers": _ROWS
     + """SELECT stem || '.flac' AS name, NOT bad AS ok, CASE WHEN NOT bad THEN rate END::BIGINT AS header_sample_rate, CASE WHEN NOT bad THEN declared END::BIGINT AS declared_total_samples,
-  CASE WHEN NOT bad THEN 1 END AS channels, CASE WHEN NOT bad THEN 8 END AS bits_per_sample, size::BIGINT AS file_size, CASE WHEN NOT bad THEN audio END::BIGINT AS audio_offset FROM sizes""",
+  CASE WHEN NOT bad THEN 1 END AS channels, CASE WHEN NOT bad THEN 8 END AS bits_per_sample, size::BIGINT AS file_size, CASE WHEN NOT bad THEN audio END::BIGINT AS audio_offset FROM sizes
+UNION ALL SELECT 'gone_' || k || '.flac', false, NULL, NULL, NULL, NULL, NULL, NULL FROM sizes WHERE k % 9 = 0""",
     "file_frames": _ROWS + "SELECT name, (16 * i)::BIGINT AS off, 192 AS block_size, 6 AS hlen, i::BIGINT AS number, false AS variable FROM found",
     "file_frame_table": _ROWS
     + """SELECT name, (16 * i)::BIGINT AS off, i::BIGINT AS number, false AS failed FROM found

@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from capturelake.functions.text import LOG_BYTES, log_duration, path_dir, path_ext, path_name, path_stem
 from capturelake.schema import LOG, WAV
-from capturelake.sources.flac import FILES, open_file
+from capturelake.sources.flac import listed, located, open_file
 
 #: Chunks of a WAV file that are walked at most.
 CHUNKS = 256
@@ -101,24 +101,19 @@ def _log_row(path: str) -> tuple:
         return path, None
 
 
-class _Part(InputPartition):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
-
-
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], kind: str) -> None:
-        self.paths, self.kind = paths, kind
+    def __init__(self, options: Any, kind: str) -> None:
+        self.parts, self.kind = listed(options), kind
 
-    def partitions(self) -> list[_Part]:
-        return [_Part(self.paths[i : i + FILES]) for i in range(0, max(1, len(self.paths)), FILES)]
+    def partitions(self) -> list[InputPartition]:
+        return self.parts
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        yield from map(_wav_row if self.kind == "wav" else _log_row, partition.paths)
+    def read(self, partition: Any) -> Iterator[tuple]:
+        yield from map(_wav_row if self.kind == "wav" else _log_row, partition.all())
 
 
 class WavHeaders(DataSource):
-    """``format("wav_headers")``: rows of WAV for the paths in option ``paths``."""
+    """``format("wav_headers")``: rows of WAV for the paths in option ``paths`` or a ``table``."""
 
     @classmethod
     def name(cls) -> str:
@@ -128,7 +123,7 @@ class WavHeaders(DataSource):
         return WAV
 
     def reader(self, schema: Any) -> DataSourceReader:
-        return _Reader([p for p in self.options.get("paths", "").split("\n") if p], "wav")
+        return _Reader(self.options, "wav")
 
 
 class LogHeads(DataSource):
@@ -142,17 +137,17 @@ class LogHeads(DataSource):
         return LOG
 
     def reader(self, schema: Any) -> DataSourceReader:
-        return _Reader([p for p in self.options.get("paths", "").split("\n") if p], "log")
+        return _Reader(self.options, "log")
 
 
-def read_wavs(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_wavs(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     spark.dataSource.register(WavHeaders)
-    return spark.read.format("wav_headers").option("paths", "\n".join(paths)).load()
+    return located(spark, "wav_headers", paths).load()
 
 
-def read_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_logs(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     spark.dataSource.register(LogHeads)
-    return spark.read.format("log_heads").option("paths", "\n".join(paths)).load()
+    return located(spark, "log_heads", paths).load()
 
 
 def durations(files: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from capturelake.schema import FRAMES, HEADER
+from capturelake.shared import shared_path
 
 # Block types and the parts of a frame header.
 STREAMINFO, VORBIS_COMMENT = 0, 4
@@ -183,10 +184,11 @@ def candidates(data: bytes, base: int, limit: int) -> Iterator[tuple[int, int, i
             yield (base + at, *found)
 
 
-def scan_range(path: str, start: int, end: int) -> Iterator[tuple]:
+def scan_range(path: str, start: int, end: int | None) -> Iterator[tuple]:
     """(offset from the audio's start, block_size, header bytes, number,
     variable) of the frame headers that begin in a range of a file's bytes."""
     f, size = open_file(path)
+    end = size if end is None else end
     try:
         audio = read_header(f)[1]
         for at in range(max(start, audio), end, STEP):
@@ -198,16 +200,52 @@ def scan_range(path: str, start: int, end: int) -> Iterator[tuple]:
 
 
 class _Part(InputPartition):
-    def __init__(self, paths: list[str], start: int = 0, end: int = 0) -> None:
-        self.paths, self.start, self.end = paths, start, end
+    """Paths, or the file of a table of them, and a range of their bytes."""
+
+    def __init__(self, paths: list[str], start: int = 0, end: int | None = 0, table: str | None = None) -> None:
+        self.paths, self.start, self.end, self.table = paths, start, end, table
+
+    def all(self) -> list[str]:
+        if self.table is None:
+            return self.paths
+        import pyarrow.parquet as pq
+
+        f, _ = open_file(self.table)
+        return [p for p in pq.read_table(f, columns=["path"]).column(0).to_pylist() if p is not None]
+
+
+def located(spark: SparkSession, kind: str, paths: list[str] | DataFrame) -> Any:
+    """A reader of a source of this module or of ``companions``: with the driver's own
+    list of paths, or a table of any number, of which tasks read parts."""
+    reader = spark.read.format(kind).option("pushdown", _pushdown(spark))
+    if isinstance(paths, DataFrame):
+        folder = shared_path(spark, "paths")
+        paths.select("path").where("path is not null").distinct().write.option("maxRecordsPerFile", FILES).parquet(folder)
+        return reader.option("table", folder)
+    return reader.option("paths", "\n".join(paths))
+
+
+def listed(options: Any) -> list[_Part]:
+    """The parts that a source's options name: FILES paths each."""
+    if folder := options.get("table"):
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        head = folder[: len(folder) - len(inner)] if folder.endswith(inner) else ""
+        return [_Part([], 0, None, head + i.path) for i in store.get_file_info(fs.FileSelector(inner)) if i.path.endswith(".parquet")] or [_Part([])]
+    paths = [p for p in options.get("paths", "").split("\n") if p]
+    return [_Part(paths[i : i + FILES]) for i in range(0, max(1, len(paths)), FILES)]
 
 
 class _Paths(DataSourceReader):
     """A reader of files, of frames from offset ``first`` to ``last``."""
 
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
-        self.first, self.last = 0, None
+    def __init__(self, options: Any) -> None:
+        self.parts = listed(options)
+        self.first, self.last, self.only = 0, None, None
+
+    def own(self, partition: _Part) -> list[str]:
+        return [p for p in partition.all() if self.only is None or p in self.only]
 
 
 class _Pushed:
@@ -219,7 +257,7 @@ class _Pushed:
             name = getattr(f, "attribute", None)
             if name == ("path",) and isinstance(f, EqualTo | EqualNullSafe | In):
                 wanted = set(f.value if isinstance(f, In) else [f.value])
-                self.paths = [p for p in self.paths if p in wanted]
+                self.only = wanted if self.only is None else self.only & wanted
             elif name == ("off",):
                 if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
                     self.first = max(self.first, f.value)
@@ -230,10 +268,10 @@ class _Pushed:
 
 class _HeaderReader(_Paths):
     def partitions(self) -> list[_Part]:
-        return [_Part(self.paths[i : i + FILES]) for i in range(0, max(1, len(self.paths)), FILES)]
+        return [x for x in self.parts if x.table or self.own(x)] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        yield from map(header_row, partition.paths)
+        yield from map(header_row, self.own(partition))
 
 
 class _PushedHeaderReader(_Pushed, _HeaderReader):
@@ -242,7 +280,8 @@ class _PushedHeaderReader(_Pushed, _HeaderReader):
 
 class FlacHeaders(DataSource):
     """``format("flac_headers")``: one row of HEADER for each of the paths in
-    option ``paths``, one a line; reads metadata blocks only."""
+    option ``paths``, one a line, or in the column ``path`` of the Parquet table in
+    option ``table``; reads metadata blocks only."""
 
     @classmethod
     def name(cls) -> str:
@@ -253,24 +292,27 @@ class FlacHeaders(DataSource):
 
     def reader(self, schema: Any) -> DataSourceReader:
         kind = _PushedHeaderReader if self.options.get("pushdown") == "true" else _HeaderReader
-        return kind([p for p in self.options.get("paths", "").split("\n") if p])
+        return kind(self.options)
 
 
 class _FrameReader(_Paths):
-    def __init__(self, paths: list[str], size: int) -> None:
-        super().__init__(paths)
-        self.size = size
+    def __init__(self, options: Any) -> None:
+        super().__init__(options)
+        self.size = int(options.get("range", RANGE))
 
     def partitions(self) -> list[_Part]:
+        if any(x.table for x in self.parts):
+            return self.parts
         # sizes alone, all asked for at once: tasks find where the audio begins
-        out = [_Part([p], a, min(a + self.size, n)) for p, n in _sizes(self.paths) for a in range(0, n, self.size) if a + self.size > self.first]
-        if self.last is not None and len(self.paths) <= FILES:  # few enough to ask where their audio begins
-            ends = {p: _audio(p) for p in self.paths}
+        paths = [p for x in self.parts for p in self.own(x)]
+        out = [_Part([p], a, min(a + self.size, n)) for p, n in _sizes(paths) for a in range(0, n, self.size) if a + self.size > self.first]
+        if self.last is not None and len(paths) <= FILES:  # few enough to ask where their audio begins
+            ends = {p: _audio(p) for p in paths}
             out = [x for x in out if ends[x.paths[0]] is None or x.start <= ends[x.paths[0]] + self.last]
         return out or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for p in partition.paths:
+        for p in self.own(partition):
             try:
                 yield from ((p, *x, None) for x in scan_range(p, partition.start, partition.end))
             except Exception as e:  # noqa: BLE001  a file that fails does not fail the others
@@ -308,7 +350,7 @@ def _sizes(paths: list[str]) -> list[tuple[str, int]]:
 
 class FlacFrames(DataSource):
     """``format("flac_frames")``: the valid frame headers of the paths in option
-    ``paths``, with offsets from the audio's start; a task reads ``range`` bytes
+    ``paths`` or of a table (then a task scans whole files: see ``frame_table``), with offsets from the audio's start; a task reads ``range`` bytes
     and a few more, so that one file is scanned by many.  What cannot be read is
     a row of its own, with an error and without an offset; filters on path and
     off leave out whole ranges."""
@@ -322,16 +364,16 @@ class FlacFrames(DataSource):
 
     def reader(self, schema: Any) -> DataSourceReader:
         kind = _PushedFrameReader if self.options.get("pushdown") == "true" else _FrameReader
-        return kind([p for p in self.options.get("paths", "").split("\n") if p], int(self.options.get("range", RANGE)))
+        return kind(self.options)
 
 
 def _pushdown(spark: SparkSession) -> str:
     return str(spark.conf.get(PUSHDOWN, "false")).lower()
 
 
-def read_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_headers(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     spark.dataSource.register(FlacHeaders)
-    return spark.read.format("flac_headers").option("paths", "\n".join(paths)).option("pushdown", _pushdown(spark)).load()
+    return located(spark, "flac_headers", paths).load()
 
 
 def header_table(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -400,12 +442,12 @@ def frame_table(paths: DataFrame, path: str = "path", size: int = RANGE) -> Data
     return found.unionByName(failed.select("path", "error"), allowMissingColumns=True)
 
 
-def read_frames(spark: SparkSession, paths: list[str], size: int = RANGE) -> DataFrame:
+def read_frames(spark: SparkSession, paths: list[str] | DataFrame, size: int = RANGE) -> DataFrame:
     spark.dataSource.register(FlacFrames)
-    return spark.read.format("flac_frames").option("paths", "\n".join(paths)).option("range", str(size)).option("pushdown", _pushdown(spark)).load()
+    return located(spark, "flac_frames", paths).option("range", str(size)).load()
 
 
-def read_tags(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_tags(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     """(path, total_samples, sample_rate, duration_seconds) of each file's RF
     tags; all null where anything fails."""
     from capturelake.functions.text import parse_f64, parse_u64, tag

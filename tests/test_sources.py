@@ -267,7 +267,7 @@ def test_filters_leave_out_ranges(spark, tmp_path):
     paths = [str(tmp_path / f"{k}.flac") for k in "abc"]
 
     def parts(*filters):
-        reader = flac._PushedFrameReader(paths, 10_000)
+        reader = flac._PushedFrameReader({"paths": "\n".join(paths), "range": "10000"})
         assert list(reader.pushFilters(list(filters))) == list(filters)
         return [(p.paths[0][-6], p.start) for p in reader.partitions() if p.paths]
 
