@@ -41,28 +41,41 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def _ranked(rows: DataFrame, by: str) -> DataFrame:
+    """``rows``, written, with ``rank``: 1, 2, 3 ... in the order of a column, null last.
+    They are sorted by ranges; what comes before a range is a sum over one row each."""
+    order = F.col(by).asc_nulls_last()
+    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "ranked").withColumn("_p", F.shiftright("_at", 33))
+    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    counts = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(counts, "_p").withColumn("rank", place).drop("_p", "_at", "_before")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
     The weights share the sum of all sizes; a target stops at ``most`` times
     its source's size, and the excess goes to the others by weight until none
     is above: the targets are least(most * size, level * weight) for the one
-    level at which they add up.  A row a source, ordered as a whole.
+    level at which they add up.  It is found from below: the sources that a
+    level fills are set aside and the others share the rest, until no more
+    are filled; each step is two sums over all sources.
     """
-    everything = Window.partitionBy()
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
-    by = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    rows = sizes.withColumn("w", w).withColumn("cap", F.col("source_size") * most)
-    rows = rows.withColumn("total", F.sum("source_size").over(everything))
-    rows = rows.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("rest", F.sum("w").over(after))
-    rows = rows.withColumn("full", F.col("cap") / F.col("w") <= F.col("left") / F.col("rest"))
-    # a source after one that is not full is not full either
-    rows = rows.withColumn("full", F.min("full").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spare = F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(everything), F.lit(0))
-    share = F.sum(F.when(~F.col("full"), F.col("w"))).over(everything)
-    rows = rows.withColumn("level", spare / share)
-    return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
+    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    rows = written(_ranked(sizes, "source").withColumn("w", w).withColumn("cap", F.col("source_size") * most).drop("rank"), "caps")
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    full, spare, share = None, total, rows.agg(F.sum("w")).first()[0] or 0
+    while share:
+        filled = F.col("cap").cast("double") * F.lit(float(share)) <= F.col("w") * F.lit(float(spare))
+        n, caps, rest = rows.agg(F.count_if(filled), F.sum(F.when(filled, F.col("cap"))), F.sum(F.when(~filled, F.col("w")))).first()
+        if n == full:
+            break
+        full, spare, share = n, total - (caps or 0), rest or 0
+    level = F.lit(float(spare)) / F.lit(float(share)) if share else F.lit(None).cast("double")
+    filled = F.lit(True) if not share else F.col("cap").cast("double") * F.lit(float(share)) <= F.col("w") * F.lit(float(spare))
+    return rows.select("source", "source_size", F.when(filled, F.col("cap").cast("double")).otherwise(level * F.col("w")).alias("target"))
 
 
 def by_length(text: str = "text") -> Column:
