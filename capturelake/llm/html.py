@@ -81,8 +81,9 @@ def label(tag: str, attributes: str) -> str:
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names = " ".join(x for x in (found.get("class", ""), found.get("id", "")) if x)
     drop = tag in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or (names and HINT.search(names) and tag not in ARTICLE | {"body", "html"})
-    # numbers in names are a page's own (post-12), and not those of another kind of element
-    return tag + ("!" if drop else "") + ("." + re.sub(r"[0-9]+", "#", re.sub(r"[\s/]+", ".", names.strip())) if names else "")
+    # numbers in an id, and long ones in a class, are a page's own (post-12): they do not make another kind of element
+    own = " ".join(x for x in (re.sub(r"[0-9]{3,}", "#", found.get("class", "")), re.sub(r"[0-9]+", "#", found.get("id", ""))) if x)
+    return tag + ("!" if drop else "") + ("." + re.sub(r"[\s/]+", ".", own.strip()) if own else "")
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, int]], Counter]:
