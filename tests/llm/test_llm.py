@@ -732,7 +732,7 @@ def same(a, b):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
-    names, want = run_sql({t: f"{DATA}/{t}.parquet" for t in ("documents", "pages", "embeddings")}, queries.ORACLE_SQL[name])
+    names, want = run_sql({t: f"{DATA}/{t}.parquet" for t in ("documents", "pages", "embeddings", "benchmark", "clicks")}, queries.ORACLE_SQL[name])
     rows = queries.QUERIES[name](spark, DATA)
     assert sorted(names) == sorted(rows.columns)
     assert same(rows.select(*names).collect(), want)
