@@ -25,8 +25,13 @@ from capturelake.llm.linear import sigmoid
 SAMPLE = 6000
 #: Of the labelled texts one in this many calibrates the thresholds.
 CALIBRATION = 5
-BUCKETS, DIM, WIDTHS, FILTERS, PREFIX = 1 << 16, 8, (1, 2, 3), 8, 5
-EPOCHS, BATCH = 12, 32
+BUCKETS, DIM, WIDTHS, FILTERS, PREFIX = 1 << 16, 8, (1, 2, 3), 16, 5
+#: Readings of the sample in training, or as many as make STEPS steps of BATCH texts.
+EPOCHS, STEPS, BATCH = 20, 600, 32
+#: The share of words that a step does not see, and what pulls embeddings to zero.
+DROP, SHRINK = 0.5, 1e-3
+#: Words that training and scoring read at once.
+RUN = 1 << 15
 #: What a false alarm weighs beside a toxic text that is missed.
 FALSE_ALARM = 3.0
 
@@ -67,36 +72,33 @@ class Languages:
         return self.names[int(self.log[ids[0]].sum(axis=0, dtype=np.float64).argmax())]
 
 
+def _runs(n: int) -> list[tuple[int, int]]:
+    """Where ``n`` words are cut: runs that overlap by the filters' width."""
+    overlap = max(WIDTHS) - 1
+    return [(a, min(n, a + RUN)) for a in range(0, max(min(n, 1), n - overlap), RUN - overlap)]
+
+
 class Model:
+    """Embeddings begin close to zero and filters do not, a fourth of them with
+    a negative weight in the logistic layer; training does the rest."""
+
     def __init__(self, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
-        self.embedding = rng.normal(0, 0.05, (2 * BUCKETS, DIM)).astype(np.float32)
-        self.filters = [rng.normal(0, 0.2, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-        self.bias = [np.full(FILTERS, -0.1, np.float32) for _ in WIDTHS]
-        self.out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
+        self.embedding = rng.normal(0, 0.01, (2 * BUCKETS, DIM)).astype(np.float32)
+        self.filters = [rng.normal(0, 0.5 / np.sqrt(w), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+        self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
+        self.out = np.where(np.arange(len(WIDTHS) * FILTERS) % 4 == 3, -0.1, 0.1).astype(np.float32)
         self.constant = np.float32(0)
         self.languages = Languages([], [])
         self.thresholds: dict[str, float] = {}
 
-    def warm_start(self, texts: list[np.ndarray], y: np.ndarray) -> None:
-        """Let the first dimension say how much more often toxic texts have a
-        bucket, and the first filter of each width read it."""
-        have = np.zeros((2, 2 * BUCKETS), np.float32)
-        for ids, label in zip(texts, y, strict=True):
-            have[int(label), np.unique(np.concatenate([ids[0], ids[1].astype(np.int64) + BUCKETS]))] += 1
-        n1, n0 = max(1, (y > 0).sum()), max(1, (y == 0).sum())
-        odds = np.log((have[1] + 6.0) / (have[0] * n1 / n0 + 6.0))
-        self.embedding[:, 0] = np.clip(odds, -0.5, 4)
-        for k, f in enumerate(self.filters):
-            f[:, 0, 0] = 1.0 / len(f)
-            self.bias[k][0] = -1.0
-            self.out[k * FILTERS] = 1.0 if k == 0 else 0.3
-        self.constant = np.float32(-1.0)
-
-    def forward(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pooled responses, where they are greatest, and the embedded words."""
-        e = self.embedding[ids[0]] + self.embedding[ids[1].astype(np.int64) + BUCKETS]
-        pooled, places = np.zeros(len(self.out), np.float32), np.full(len(self.out), -1)
+    def embed(self, ids: np.ndarray) -> np.ndarray:
+        return self.embedding[ids[0]] + self.embedding[ids[1].astype(np.int64) + BUCKETS]
+
+    def forward(self, ids: np.ndarray) -> np.ndarray:
+        """The pooled responses to a text."""
+        e = self.embed(ids)
+        pooled = np.zeros(len(self.out), np.float32)
         for k, (f, b) in enumerate(zip(self.filters, self.bias, strict=True)):
             n = len(e) - len(f) + 1
             if n <= 0:
@@ -104,45 +106,83 @@ class Model:
             r = e[:n] @ f[0]
             for j in range(1, len(f)):
                 r += e[j : j + n] @ f[j]
-            at = r.argmax(axis=0)
-            top = r[at, np.arange(FILTERS)] + b
-            pooled[k * FILTERS : (k + 1) * FILTERS] = np.maximum(top, 0)
-            places[k * FILTERS : (k + 1) * FILTERS] = np.where(top > 0, at, -1)
-        return pooled, places, e
+            pooled[k * FILTERS : (k + 1) * FILTERS] = np.maximum(r.max(axis=0) + b, 0)
+        return pooled
 
     def logit(self, ids: np.ndarray) -> float:
         """A long text is read in runs that overlap by the filters' width; the
         greatest response of any run counts."""
-        run, overlap = 1 << 15, max(WIDTHS) - 1
-        pooled = self.forward(ids[:, :run])[0]
-        for i in range(run - overlap, ids.shape[1] - overlap, run - overlap):
-            pooled = np.maximum(pooled, self.forward(ids[:, i : i + run])[0])
+        pooled = np.zeros(len(self.out), np.float32)
+        for a, b in _runs(ids.shape[1]):
+            pooled = np.maximum(pooled, self.forward(ids[:, a:b]))
         return float(pooled @ self.out + self.constant)
 
+    def search(self, texts: list[np.ndarray], keep: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text, of whose words those with a zero in ``keep`` are blank,
+        the pooled responses and where they are, -1 for those that are zero."""
+        best, at = np.full((len(texts), len(self.out)), -np.inf, np.float32), np.zeros((len(texts), len(self.out)), np.int64)
+        group: list[tuple[int, int, int]] = []
+        for i, t in enumerate(texts):
+            for a, b in _runs(t.shape[1]):
+                if group and sum(y - x for _, x, y in group) + b - a > RUN:
+                    self._search(texts, keep, group, best, at)
+                    group = []
+                group.append((i, a, b))
+        if group:
+            self._search(texts, keep, group, best, at)
+        top = best + np.concatenate(self.bias)
+        return np.maximum(top, 0), np.where(top > 0, at, -1)
+
+    def _search(self, texts: list[np.ndarray], keep: list[np.ndarray], group: list[tuple[int, int, int]], best: np.ndarray, at: np.ndarray) -> None:
+        e = self.embed(np.concatenate([texts[i][:, a:b] for i, a, b in group], axis=1)) * np.concatenate([keep[i][a:b] for i, a, b in group])[:, None]
+        length = np.array([b - a for _, a, b in group])
+        first, part = np.cumsum(length) - length, np.repeat(np.arange(len(group)), length)
+        place = np.arange(len(part)) - first[part]
+        for k, f in enumerate(self.filters):
+            r, n = np.full((len(e), FILTERS), -np.inf, np.float32), len(e) - len(f) + 1
+            if n > 0:
+                r[:n] = sum(e[j : j + n] @ f[j] for j in range(len(f)))
+            r[place + len(f) > length[part]] = -np.inf
+            top = np.maximum.reduceat(r, first, axis=0)
+            row, c = np.nonzero(r == top[part])
+            where = np.zeros(top.shape, np.int64)
+            where[part[row[::-1]], c[::-1]] = place[row[::-1]]  # the first of equal ones
+            q = slice(k * FILTERS, (k + 1) * FILTERS)
+            for g, (i, a, _) in enumerate(group):
+                more = top[g] > best[i, q]
+                best[i, q], at[i, q] = np.where(more, top[g], best[i, q]), np.where(more, a + where[g], at[i, q])
+
     def fit(self, texts: list[np.ndarray], y: np.ndarray, seed: int = 2) -> None:
-        """Adagrad on the logistic loss, classes weighted to the same total."""
-        rng, rate, decay = np.random.default_rng(seed), 0.05, 1e-5
+        """Adagrad on the logistic loss, classes weighted to the same total.  Each
+        step leaves out other words, so that no single one has to be there."""
+        rng, rate, decay = np.random.default_rng(seed), 0.1, 1e-5
         weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y == 0).sum())))
         dense = [*self.filters, *self.bias, self.out]
         seen = [np.full_like(p, 0.1) for p in dense]
         seen_e, seen_c = np.full(len(self.embedding), 0.1, np.float32), 0.1
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS // max(1, -(-len(y) // BATCH))))):
             order = rng.permutation(len(y))
             for start in range(0, len(y), BATCH):
-                grads, rows, steps, grad_c = [np.zeros_like(p) for p in dense], [], [], 0.0
-                for i in order[start : start + BATCH]:
-                    ids = texts[i]
-                    pooled, places, e = self.forward(ids)
-                    g = np.float32(weight[i] * (sigmoid(float(pooled @ self.out + self.constant)) - y[i]) / BATCH)
-                    grads[-1] += g * pooled
-                    grad_c += float(g)
-                    for q in np.flatnonzero(places >= 0):
-                        k, c, at = q // FILTERS, q % FILTERS, places[q]
-                        f, up = self.filters[k], g * self.out[q]
-                        grads[k][:, :, c] += up * e[at : at + len(f)]
-                        grads[len(WIDTHS) + k][c] += up
-                        rows += [ids[0, at : at + len(f)], ids[1, at : at + len(f)].astype(np.int64) + BUCKETS]
-                        steps += [up * f[:, :, c]] * 2
+                use = order[start : start + BATCH]
+                batch = [texts[i] for i in use]
+                keep = [(rng.random(t.shape[1], np.float32) >= DROP).astype(np.float32) for t in batch]
+                pooled, at = self.search(batch, keep)
+                words_, kept = np.concatenate(batch, axis=1), np.concatenate(keep)
+                first = np.cumsum([0, *(len(v) for v in keep[:-1])])
+                g = (weight[use] * (sigmoid((pooled @ self.out + self.constant).astype(float)) - y[use]) / BATCH).astype(np.float32)
+                grads, rows, steps, grad_c = [np.zeros_like(p) for p in dense], [], [], float(g.sum())
+                grads[-1] += g @ pooled
+                for k, f in enumerate(self.filters):
+                    i, c = np.nonzero(at[:, k * FILTERS : (k + 1) * FILTERS] >= 0)
+                    if not len(i):
+                        continue
+                    places, up = first[i] + at[i, k * FILTERS + c], g[i] * self.out[k * FILTERS + c]
+                    np.add.at(grads[len(WIDTHS) + k], c, up)
+                    for j in range(len(f)):
+                        ids, own = words_[:, places + j], up * kept[places + j]
+                        np.add.at(grads[k][j].T, c, own[:, None] * self.embed(ids))
+                        rows += [ids[0].astype(np.int64), ids[1].astype(np.int64) + BUCKETS]
+                        steps += [own[:, None] * f[j][:, c].T] * 2
                 for p, s, d in zip(dense, seen, grads, strict=True):
                     d = d + decay * p
                     s += d * d
@@ -150,10 +190,9 @@ class Model:
                 seen_c += grad_c * grad_c
                 self.constant = np.float32(self.constant - rate * grad_c / np.sqrt(seen_c))
                 if rows:
-                    at, d = np.concatenate(rows), np.concatenate(steps)
-                    unique, inverse = np.unique(at, return_inverse=True)
-                    total = np.zeros((len(unique), DIM), np.float32)
-                    np.add.at(total, inverse, d)
+                    unique, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+                    total = SHRINK * self.embedding[unique]
+                    np.add.at(total, inverse, np.concatenate(steps))
                     seen_e[unique] += (total * total).mean(axis=1)
                     self.embedding[unique] -= np.float32(rate) * total / np.sqrt(seen_e[unique])[:, None]
 
@@ -183,13 +222,12 @@ class Model:
         return float(sigmoid(self.logit(ids) - self.thresholds.get(self.languages.guess(ids), self.thresholds.get(ALL, 0.0))))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", lang: str = "lang", allowed: Column | None = None, sample: int = SAMPLE, warm: bool = True) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", lang: str = "lang", allowed: Column | None = None, sample: int = SAMPLE) -> Model:
     """Fit on at most about ``sample`` labelled rows, chosen by a hash of the id.
     Their column ``lang``, if there is one, teaches which language a text is in.
 
     ``labels`` has an id and a label, 0 or 1; rows with a null in either are
-    not labels, and of several labels of an id the greatest counts.  ``warm``
-    begins with the words' log odds (see Model.warm_start).  Only
+    not labels, and of several labels of an id the greatest counts.  Only
     hashed words of the sample reach the driver.
     """
     known = labels.where(F.col(toxic).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("_id")).agg(F.max(toxic).cast("int").alias("_toxic"))
@@ -215,8 +253,6 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if 0 < y.sum() < len(y):
         use = np.flatnonzero(~part)
         model.languages = Languages([texts[i] for i in use], [got[i][2] for i in use])
-        if warm:
-            model.warm_start([texts[i] for i in use], y[use])
         model.fit([texts[i] for i in use], y[use])
         rest = np.flatnonzero(part)
         model.calibrate([texts[i] for i in rest], y[rest])

@@ -351,7 +351,7 @@ def test_toxicity_network_matches_brute_force():
 
     assert m.logit(ids) == pytest.approx(slow(ids), abs=1e-3)
     long = np.tile(rng.integers(0, 500, (2, 1000)), 40).astype(np.uint32)
-    assert m.logit(long) == pytest.approx(float(m.forward(long)[0] @ m.out + m.constant), abs=1e-3)
+    assert m.logit(long) == pytest.approx(float(m.forward(long) @ m.out + m.constant), abs=1e-3)
     assert m.logit(ids[:, :0]) == float(m.constant)
     texts, y = [ids, ids[:, :30][:, ::-1]], np.array([1.0, 0.0])
     before = [m.logit(t) for t in texts]
@@ -359,6 +359,52 @@ def test_toxicity_network_matches_brute_force():
     assert m.logit(texts[0]) - m.logit(texts[1]) > before[0] - before[1]
 
 
+def test_toxicity_search_matches_forward():
+    """Responses to many texts at once, in runs, and the places that give them."""
+    rng = np.random.default_rng(11)
+    m = toxicity.Model(4)
+    m.embedding = rng.normal(0, 1, m.embedding.shape).astype(np.float32)
+    m.bias = [rng.normal(0, 1, b.shape).astype(np.float32) for b in m.bias]
+    sizes = [0, 1, 2, 3, 50, toxicity.RUN, toxicity.RUN + 1, 2 * toxicity.RUN + 5, 7]
+    texts = [rng.integers(0, 3000, (2, n)).astype(np.uint16) for n in sizes]
+    pooled, at = m.search(texts, [np.ones(n, np.float32) for n in sizes])
+    for i, t in enumerate(texts):
+        assert np.allclose(pooled[i], m.forward(t), atol=1e-3)
+        for k, (f, b) in enumerate(zip(m.filters, m.bias, strict=True)):
+            for c in range(toxicity.FILTERS):
+                place = at[i, k * toxicity.FILTERS + c]
+                if place < 0:
+                    assert pooled[i, k * toxicity.FILTERS + c] == 0
+                    continue
+                assert place + len(f) <= sizes[i]
+                assert (m.embed(t[:, place : place + len(f)]) * f[:, :, c]).sum() + b[c] == pytest.approx(pooled[i, k * toxicity.FILTERS + c], abs=1e-3)
+    blank = m.search(texts, [np.zeros(n, np.float32) for n in sizes])[0]
+    assert np.allclose(blank[4:], np.maximum(np.concatenate(m.bias), 0)) and not blank[0].any()
+
+
+def test_toxicity_thresholds_match_brute_force():
+    """No cut has less of the share missed plus the weighted share of false alarms."""
+    rng = np.random.default_rng(5)
+    m = toxicity.Model(6)
+    m.embedding = rng.normal(0, 1, m.embedding.shape).astype(np.float32)
+    texts = [rng.integers(0, 500, (2, int(n))).astype(np.uint16) for n in rng.integers(5, 60, 400)]
+    y = rng.integers(0, 2, 400).astype(float)
+    m.languages = toxicity.Languages(texts[:200], [["a", "b"][i % 2] for i in range(200)])
+    m.calibrate(texts, y)
+    z, langs = np.array([m.logit(t) for t in texts]), np.array([m.languages.guess(t) for t in texts])
+    assert set(m.thresholds) == {toxicity.ALL, "a", "b"}
+
+    def cost(use, cut):
+        return (z[use & (y == 1)] < cut).mean() + toxicity.FALSE_ALARM * (z[use & (y == 0)] >= cut).mean()
+
+    for lang, cut in m.thresholds.items():
+        use = np.ones(400, bool) if lang == toxicity.ALL else langs == lang
+        assert cost(use, cut) == pytest.approx(min(cost(use, c) for c in [*z[use], z.max() + 1]), abs=1e-9)
+    few = toxicity.Model(6)
+    few.calibrate(texts[:4], np.array([1.0, 0, 0, 0]))
+    assert few.thresholds == {}
+
+
 def test_toxicity_odd_rows(spark, docs, odd, none):
     labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (5, None), (6, 0), (7, 5)], "doc_id bigint, toxic int")
     found = toxicity.detect(odd, labels).collect()
