@@ -49,3 +49,10 @@ def materialised(rows: DataFrame, name: str) -> DataFrame:
     path = shared_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` to several tasks for each core.  For rows that
+    name work (a file to write or to read): a table of them is small, so that
+    Spark reads it as one partition, or makes one of what a shuffle leaves."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
