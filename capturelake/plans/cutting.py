@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from capturelake.functions.text import path_name
 from capturelake.operators import ranges
 from capturelake.plans import derived
-from capturelake.shared import materialised, shared_path
+from capturelake.shared import materialised, shared_path, spread
 from capturelake.sources import companions, seek, writer
 from capturelake.sources import frames as audio
 
@@ -71,7 +71,7 @@ def _captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
                 out.append((k, f"{root}/cap_{k:08d}.flac"))
             yield pd.DataFrame(out, columns=["k", "path"])
 
-    rows = derived.table(spark, sf_dir, "supplier").select("s_suppkey")
+    rows = spread(derived.table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
     return materialised(rows.mapInPandas(run, "k bigint, path string"), "captures"), root
 
 

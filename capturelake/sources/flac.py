@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from capturelake.schema import FRAMES, HEADER
-from capturelake.shared import shared_path
+from capturelake.shared import shared_path, spread
 
 # Block types and the parts of a frame header.
 STREAMINFO, VORBIS_COMMENT = 0, 4
@@ -25,6 +25,8 @@ STREAMINFO, VORBIS_COMMENT = 0, 4
 LOOK, RANGE, STEP = 17, 64 << 20, 4 << 20
 #: Files whose headers a task reads.
 FILES = 64
+#: Bytes of ranges that one task scans where many files are small, and what opening one counts.
+BIN, OPEN = 64 << 20, 256 << 10
 #: The setting that lets filters reach the sources.
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 #: How a frame header begins: its sync bits, then codes of the block size, the
@@ -200,10 +202,11 @@ def scan_range(path: str, start: int, end: int | None) -> Iterator[tuple]:
 
 
 class _Part(InputPartition):
-    """Paths, or the file of a table of them, and a range of their bytes."""
+    """Paths, or the file of a table of them, and a range of their bytes; or
+    ``ranges`` (path, start, end) of several files."""
 
-    def __init__(self, paths: list[str], start: int = 0, end: int | None = 0, table: str | None = None) -> None:
-        self.paths, self.start, self.end, self.table = paths, start, end, table
+    def __init__(self, paths: list[str], start: int = 0, end: int | None = 0, table: str | None = None, ranges: list[tuple[str, int, int | None]] | None = None) -> None:
+        self.paths, self.start, self.end, self.table, self.ranges = paths, start, end, table, ranges
 
     def all(self) -> list[str]:
         if self.table is None:
@@ -213,6 +216,28 @@ class _Part(InputPartition):
         f, _ = open_file(self.table)
         return [p for p in pq.read_table(f, columns=["path"]).column(0).to_pylist() if p is not None]
 
+    def all_ranges(self) -> list[tuple[str, int, int | None]]:
+        if self.table is None:
+            return self.ranges or [(p, self.start, self.end) for p in self.paths]
+        import pyarrow.parquet as pq
+
+        f, _ = open_file(self.table)
+        return [x for row in pq.read_table(f).to_pylist() for x in zip(row["path"], row["start"], row["end"], strict=True)]
+
+
+def _bins(ranges: Iterable[tuple[str, int, int | None]]) -> Iterator[list[tuple[str, int, int | None]]]:
+    """Ranges in runs that are worth a task each."""
+    out, cost = [], 0
+    for path, start, end in ranges:
+        here = OPEN + (end - start if end is not None else 0)
+        if out and cost + here > BIN:
+            yield out
+            out, cost = [], 0
+        out.append((path, start, end))
+        cost += here
+    if out:
+        yield out
+
 
 def located(spark: SparkSession, kind: str, paths: list[str] | DataFrame) -> Any:
     """A reader of a source of this module or of ``companions``: with the driver's own
@@ -305,16 +330,21 @@ class _FrameReader(_Paths):
             return self.parts
         # sizes alone, all asked for at once: tasks find where the audio begins
         paths = [p for x in self.parts for p in self.own(x)]
-        out = [_Part([p], a, min(a + self.size, n)) for p, n in _sizes(paths) for a in range(0, n, self.size) if a + self.size > self.first]
-        if self.last is not None and len(paths) <= FILES:  # few enough to ask where their audio begins
+        ranges = ((p, a, min(a + self.size, n)) for p, n in _sizes(paths) for a in range(0, n, self.size) if a + self.size > self.first)
+        if len(paths) > FILES:
+            return [_Part([], ranges=x) for x in _bins(ranges)] or [_Part([])]
+        out = [_Part([p], a, b) for p, a, b in ranges]
+        if self.last is not None:  # few enough to ask where their audio begins
             ends = {p: _audio(p) for p in paths}
             out = [x for x in out if ends[x.paths[0]] is None or x.start <= ends[x.paths[0]] + self.last]
         return out or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for p in self.own(partition):
+        for p, start, end in partition.all_ranges():
+            if (self.only is not None and p not in self.only) or (end is not None and end <= self.first):
+                continue
             try:
-                yield from ((p, *x, None) for x in scan_range(p, partition.start, partition.end))
+                yield from ((p, *x, None) for x in scan_range(p, start, end))
             except Exception as e:  # noqa: BLE001  a file that fails does not fail the others
                 yield (p, None, None, None, None, None, str(e))
 
@@ -350,8 +380,8 @@ def _sizes(paths: list[str]) -> list[tuple[str, int]]:
 
 class FlacFrames(DataSource):
     """``format("flac_frames")``: the valid frame headers of the paths in option
-    ``paths`` or of a table (then a task scans whole files: see ``frame_table``), with offsets from the audio's start; a task reads ``range`` bytes
-    and a few more, so that one file is scanned by many.  What cannot be read is
+    ``paths`` or of a table of ranges (see ``read_frames``), with offsets from the audio's start; a task reads ``range`` bytes
+    and a few more, so that one file is scanned by many, or ranges of many small files.  What cannot be read is
     a row of its own, with an error and without an offset; filters on path and
     off leave out whole ranges."""
 
@@ -389,7 +419,7 @@ def header_table(paths: DataFrame, path: str = "path") -> DataFrame:
             out["tags"] = [None if t is None else [{"k": k, "v": v} for k, v in t] for t in out["tags"]]
             yield out
 
-    return paths.select(path).mapInPandas(run, HEADER)
+    return spread(paths.select(path), path).mapInPandas(run, HEADER)
 
 
 def frame_table(paths: DataFrame, path: str = "path", size: int = RANGE) -> DataFrame:
@@ -400,6 +430,34 @@ def frame_table(paths: DataFrame, path: str = "path", size: int = RANGE) -> Data
     driver, and a file that fails does not fail the others.
     """
 
+    def scan(batches: Iterator[Any]) -> Iterator[Any]:
+        import pandas as pd
+
+        names = ["path", "off", "block_size", "hlen", "number", "variable", "error"]
+        out = []  # of many files: most have few frames
+        for batch in batches:
+            for p, start, end, error in batch.itertuples(index=False):
+                if error is None:
+                    try:
+                        for x in scan_range(p, int(start), int(end)):
+                            out.append((p, *x, None))
+                            if len(out) >= 50_000:
+                                yield pd.DataFrame(out, columns=names, dtype=object)
+                                out = []
+                    except Exception as e:  # noqa: BLE001
+                        error = str(e)
+                if error is not None:
+                    out.append((p, None, None, None, None, None, error))
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return _ranges(paths, path, size).mapInPandas(scan, FRAMES + ", error string")
+
+
+def _ranges(paths: DataFrame, path: str, size: int) -> DataFrame:
+    """(path, start, end, error): ranges of ``size`` bytes of the files of a
+    table, dealt to tasks; a file that cannot be opened has one, from 0 to 0."""
+
     def sized(batches: Iterator[Any]) -> Iterator[Any]:
         import pandas as pd
 
@@ -411,40 +469,36 @@ def frame_table(paths: DataFrame, path: str = "path", size: int = RANGE) -> Data
                     f.close()
                     out.append((p, n, None))
                 except Exception as e:  # noqa: BLE001  any store's error is the row's
-                    out.append((p, None, str(e)))
+                    out.append((p, 0, str(e)))
             yield pd.DataFrame(out, columns=["path", "n", "error"], dtype=object)
 
-    def scan(batches: Iterator[Any]) -> Iterator[Any]:
-        import pandas as pd
-
-        names = ["path", "off", "block_size", "hlen", "number", "variable", "error"]
-        for batch in batches:
-            for p, start, n in batch.itertuples(index=False):
-                out, error = [], None
-                try:
-                    for x in scan_range(p, int(start), min(int(start) + size, int(n))):
-                        out.append((p, *x, None))
-                        if len(out) >= 50_000:
-                            yield pd.DataFrame(out, columns=names, dtype=object)
-                            out = []
-                except Exception as e:  # noqa: BLE001
-                    error = str(e)
-                if error is not None:
-                    out.append((p, None, None, None, None, None, error))
-                if out:
-                    yield pd.DataFrame(out, columns=names, dtype=object)
-
-    own = paths.select(F.col(path).alias("path")).where("path is not null").distinct()
+    own = spread(paths.select(F.col(path).alias("path")).where("path is not null"), "path").distinct()
     files = own.mapInPandas(sized, "path string, n bigint, error string")
-    starts = files.where("n is not null").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("n", F.lit(1)) - 1, F.lit(size).cast("bigint"))).alias("start"), "n")
-    found = starts.repartition("path", "start").select("path", "start", "n").mapInPandas(scan, FRAMES + ", error string")
-    failed = files.where("error is not null")
-    return found.unionByName(failed.select("path", "error"), allowMissingColumns=True)
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("n", F.lit(1)) - 1, F.lit(size).cast("bigint")))
+    starts = files.select("path", start.alias("start"), "n", "error")
+    return spread(starts, "path", "start").select("path", "start", F.least(F.col("start") + size, "n").alias("end"), "error")
 
 
 def read_frames(spark: SparkSession, paths: list[str] | DataFrame, size: int = RANGE) -> DataFrame:
+    """The frame headers of files by the source ``flac_frames``, of the driver's
+    own list of paths or of a table: its ranges are found by tasks and written
+    to the shared folder, a file for each task of the scan."""
     spark.dataSource.register(FlacFrames)
-    return located(spark, "flac_frames", paths).option("range", str(size)).load()
+    if not isinstance(paths, DataFrame):
+        return located(spark, "flac_frames", paths).option("range", str(size)).load()
+
+    def packed(batches: Iterator[Any]) -> Iterator[Any]:
+        import pandas as pd
+
+        rows = ((p, int(a), None if e is not None else int(b)) for batch in batches for p, a, b, e in batch.itertuples(index=False))
+        for x in _bins(rows):
+            yield pd.DataFrame([tuple(map(list, zip(*x, strict=True)))], columns=["path", "start", "end"], dtype=object)
+
+    folder = shared_path(spark, "ranges")
+    bins = _ranges(paths, "path", size).mapInPandas(packed, "path array<string>, start array<bigint>, end array<bigint>")
+    bins.write.option("maxRecordsPerFile", 1).parquet(folder)
+    reader = spark.read.format("flac_frames").option("pushdown", _pushdown(spark))
+    return reader.option("table", folder).option("range", str(size)).load()
 
 
 def read_tags(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturelake.operators import ranges
-from capturelake.shared import materialised
+from capturelake.shared import materialised, spread
 from capturelake.sources import flac
 from capturelake.sources.frames import crc16_of, decode_frame, encode_frame, renumbered
 
@@ -179,19 +179,19 @@ def _mapped(parts: DataFrame, run: Any, names: list[str], schema: str, rows: int
     def mapped(batches: Iterator[Any]) -> Iterator[Any]:
         import pandas as pd
 
+        out = []
         for batch in batches:
             for part in batch.itertuples(index=False):
-                out = []
                 for x in run(part):
                     out.append(x)
                     if len(out) >= rows:
                         yield pd.DataFrame(out, columns=names, dtype=object)
                         out = []
-                if out:
-                    yield pd.DataFrame(out, columns=names, dtype=object)
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     # parts differ in what they cost and not in size
-    return parts.repartition("in_path", "cell", "out_path").mapInPandas(mapped, schema)
+    return spread(parts, "in_path", "cell", "out_path").mapInPandas(mapped, schema)
 
 
 def pcm(samples: Column, bps: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from capturelake.shared import materialised, spread
 from capturelake.sources.frames import stream_header
 from capturelake.sources.seek import pcm
 
 #: Bytes of samples in a WAV file at most (its sizes have 32 bits), and names that are tried.
 WAV_BYTES, MOST = 1 << 30, 10_000
+#: Files that get their names at once.
+MOVES = 16
 
 
 def _store(path: str) -> tuple[Any, str]:
@@ -77,9 +81,13 @@ class _AudioWriter(DataSourceWriter):
         return Written(done)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        for temporary, path in (x for m in messages if m is not None for x in m.files):
-            store, inner = _store(path)
-            store.move(temporary, inner)
+        def named(file: tuple[str, str]) -> None:
+            store, inner = _store(file[1])
+            store.move(file[0], inner)
+
+        with ThreadPoolExecutor(MOVES) as pool:  # a store's answers are waited for together
+            for _ in pool.map(named, (x for m in messages if m is not None for x in m.files)):
+                pass
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         for temporary, path in (x for m in messages if m is not None for x in m.files):
@@ -103,7 +111,7 @@ class AudioFiles(DataSource):
 
 def _save(rows: DataFrame) -> None:
     rows.sparkSession.dataSource.register(AudioFiles)
-    rows = rows.repartition("path").sortWithinPartitions("path", "first_sample")
+    rows = spread(rows, "path").sortWithinPartitions("path", "first_sample")
     rows.write.format("audio_files").mode("append").save()
 
 
@@ -212,6 +220,4 @@ def reserve(inputs: DataFrame, path: str = "path", most: int = MOST) -> DataFram
                 out.append((name, made))
             yield pd.DataFrame(out, columns=["path", "output"], dtype=object)
 
-    from capturelake.shared import materialised
-
-    return materialised(parts.mapInPandas(run, "path string, output string"), "reserved")
+    return materialised(spread(parts, "path").mapInPandas(run, "path string, output string"), "reserved")

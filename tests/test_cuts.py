@@ -224,3 +224,38 @@ def test_marks_reserve_where_creation_is_not_exclusive(tmp_path, monkeypatch):
     (tmp_path / "d" / "y.claim-other").write_text("")
     assert not writer.claim("d/y") and not (tmp_path / "d" / "y").exists()
     assert sorted(p.name for p in (tmp_path / "d").iterdir()) == ["x", "y.claim-other"]
+
+
+def tasks_of(rows):
+    """How many tasks wrote a table."""
+    return rows.select(F.input_file_name()).distinct().count()
+
+
+def test_captures_and_cuts_are_dealt_to_tasks(spark, tmp_path):
+    """Tables that name files are small: one partition of them, or of their cuts, would be one task's work."""
+    from capturelake.plans import cutting
+
+    spark.range(1, 41).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    captures, root = cutting._captures(spark, str(tmp_path))
+    assert captures.count() == 40 and tasks_of(captures) > 4
+    one = materialised(captures.coalesce(1), "one")
+    index = cutting._index(one.select("path"))
+    assert tasks_of(materialised(seek.read(cutting._plans(one, root, ".flac"), index, cutting.GRID), "blocks")) > 4
+    assert tasks_of(materialised(seek.read_flac(cutting._plans(one, root, ".flac"), index, cutting.GRID), "frames")) > 4
+    assert tasks_of(writer.reserve(one.select("path"))) > 4
+
+
+def test_chains_of_many_small_files(spark):
+    """A file costs its candidates, not frames and groups of its own: 20,000 of two ranges, of which some are looked up again."""
+    import time
+
+    rows = spark.range(20_000).selectExpr("id AS path", "explode(array(0, 1, 2, 3)) AS i").selectExpr("path", "CAST(10 * i AS BIGINT) AS off", "100 AS block_size", "6 AS hlen", "CAST(CASE WHEN path % 7 = 0 AND i = 2 THEN 50 WHEN path % 7 = 0 AND i = 3 THEN 2 ELSE i END AS BIGINT) AS number", "false AS variable")
+    start = time.time()
+    found = ranges.chain_in_ranges(rows, size=20).groupBy("counted", "n_frames").count().collect()
+    assert {(r[0], r[1]): r[2] for r in found} == {(400, 4): 17_142, (300, 3): 2858}
+    assert time.time() - start < 90
+
+
+def test_checksums_are_one_on_both_sides_of_short():
+    data = np.random.default_rng(1).integers(0, 256, audio.SHORT + 1, np.uint8).tobytes()
+    assert audio.crc16_of(data[:-1]) == crc16_brute(data[:-1]) and audio.crc16_of(data) == crc16_brute(data)
