@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from capturelake import api, sql
 from capturelake.functions.text import path_name
 from capturelake.plans.derived import table
-from capturelake.shared import materialised, shared_path
+from capturelake.shared import materialised, shared_path, spread
 from capturelake.sources import companions, flac
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,11 +64,14 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
         from pyarrow import fs
 
         store, inner = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
         for batch in batches:
             out = []
             for k in map(int, batch.iloc[:, 0]):
                 folder = f"d{k % 5}"
-                store.create_dir(f"{inner}/{folder}", recursive=True)
+                if folder not in made:
+                    store.create_dir(f"{inner}/{folder}", recursive=True)
+                    made.add(folder)
                 files = [("flac", _capture(k))]
                 if k % 6 == 1:
                     files.append(("log", _log(k)))
@@ -83,7 +86,7 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
                     out.append((k, "gone", f"{root}/{folder}", f"{root}/{folder}/gone_{k}.flac"))
             yield pd.DataFrame(out, columns=["k", "kind", "folder", "path"], dtype=object)
 
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey")
+    rows = spread(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
     return materialised(rows.mapInPandas(run, "k bigint, kind string, folder string, path string"), "written")
 
 
@@ -126,7 +129,7 @@ def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flac.read_frames(spark, [r[0] for r in _captures(spark, sf_dir).collect()], 64).where("error is null")
+    rows = flac.read_frames(spark, _captures(spark, sf_dir), 64).where("error is null")
     return rows.select(path_name(c("path")).alias("name"), "off", "block_size", "hlen", "number", "variable")
 
 

@@ -311,3 +311,50 @@ def test_a_late_companion_changes_its_capture_once(spark, tmp_path):
     assert changes["plain.flac"] == [("header", 200000000)] and changes["new.flac"] == [("header", 7)] and changes["bad.flac"] == [(None, None)]
     batch = {r.path.rsplit("/", 1)[1]: (r.provenance, r.total_samples) for r in api.probe(spark, [str(p) for p in (tmp_path / "in" / "d").glob("*.flac")]).collect()}
     assert {k: v[-1] for k, v in changes.items()} == batch
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    """Frames of 300 files, in ranges, by a list and by a table of paths: a few tasks, not one for each range."""
+    for k in range(300):
+        (tmp_path / f"{k}.flac").write_bytes(header() + b"".join(fixed(i) + bytes(50) for i in range(3)))
+    paths = [str(tmp_path / f"{k}.flac") for k in range(300)]
+    table = spark.createDataFrame([(p,) for p in [*paths, str(tmp_path / "gone.flac"), None]], "path string")
+    by_list, by_table = flac.read_frames(spark, paths, 64), flac.read_frames(spark, table, 64)
+    assert by_list.rdd.getNumPartitions() < 20 and by_table.rdd.getNumPartitions() < 100
+    want = sorted(map(tuple, by_list.collect()))
+    assert len(want) == 900 and sorted(map(tuple, by_table.where("error is null").collect())) == want
+    assert [r.path for r in by_table.where("error is not null").collect()] == [str(tmp_path / "gone.flac")]
+
+
+def test_ranges_that_share_a_task_are_left_out_one_by_one(tmp_path):
+    """A filter on paths and offsets reaches the ranges in a bin."""
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
+
+    for k in range(100):
+        (tmp_path / f"{k}.flac").write_bytes(header() + b"".join(fixed(i) + bytes(94) for i in range(5)))
+    reader = flac._PushedFrameReader({"paths": "\n".join(str(tmp_path / f"{k}.flac") for k in range(100)), "range": "100"})
+    reader.pushFilters([EqualTo(("path",), str(tmp_path / "7.flac")), GreaterThanOrEqual(("off",), 200)])
+    rows = [x for p in reader.partitions() for x in reader.read(p)]
+    assert {x[0] for x in rows} == {str(tmp_path / "7.flac")} and {x[1] for x in rows} >= {200, 300, 400} and 0 not in {x[1] for x in rows}
+
+
+def test_heads_of_logs_are_given_on_in_parts(spark, tmp_path, monkeypatch):
+    """No task holds the heads of a whole batch of logs."""
+    for k in range(40):
+        (tmp_path / f"{k}.log").write_text("x" * 60_000 + f" duration={k + 1}s")
+    seen = {}
+
+    def reading(self, run, schema):
+        import pandas as pd
+
+        if schema.startswith("_path string, _text"):
+            batch = pd.DataFrame([(str(tmp_path / f"{k}.log"), "log") for k in range(40)])
+            seen["parts"] = [p["_text"].str.len().sum() for p in run(iter([batch]))]
+        return mapped(self, run, schema)
+
+    mapped = type(spark.range(1)).mapInPandas
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", reading)
+    monkeypatch.setattr(companions, "TEXT", 200_000)
+    files = spark.createDataFrame([(str(tmp_path / f"{k}.log"), "log") for k in range(40)], "path string, ext string")
+    assert companions.durations(files).agg(F.sum("duration_s")).first()[0] == 820
+    assert len(seen["parts"]) == 10 and max(seen["parts"]) < 300_000
