@@ -11,10 +11,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from capturelake.functions.text import LOG_BYTES, log_duration, path_dir, path_ext, path_name, path_stem
 from capturelake.schema import LOG, WAV
+from capturelake.shared import spread
 from capturelake.sources.flac import listed, located, open_file
 
-#: Chunks of a WAV file that are walked at most.
-CHUNKS = 256
+#: Chunks of a WAV file that are walked at most; rows, and characters of logs, that a task gives on at once.
+CHUNKS, ROWS, TEXT = 256, 10_000, 4 << 20
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -43,7 +44,8 @@ def list_folders(folders: DataFrame, folder: str = "folder") -> DataFrame:
                     rows = [(name, head + i.path, i.size) for i in store.get_file_info(fs.FileSelector(inner)) if i.type == fs.FileType.File]
                 except Exception:  # noqa: BLE001, S110  as if it were empty
                     pass
-                yield pd.DataFrame(rows, columns=["folder", "path", "file_size"], dtype=object)
+                for i in range(0, len(rows), ROWS):
+                    yield pd.DataFrame(rows[i : i + ROWS], columns=["folder", "path", "file_size"], dtype=object)
 
     own = folders.select(F.col(folder).alias("folder")).where("folder is not null").distinct()
     p = F.col("path")
@@ -159,10 +161,18 @@ def durations(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pandas as pd
 
+        names, rows, held = ["_path", "_text", "_wav"], [], 0
         for batch in batches:
-            rows = [(p, _log_row(p)[1] if k == "log" else None, _wav_row(p)[1] if k == "wav" else None) for p, k in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True)]
-            yield pd.DataFrame(rows, columns=["_path", "_text", "_wav"])
-
-    read = kept.select("path", kind).distinct().mapInPandas(run, "_path string, _text string, _wav double")
+            for p, k in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
+                text = _log_row(p)[1] if k == "log" else None
+                rows.append((p, text, _wav_row(p)[1] if k == "wav" else None))
+                held += len(text or "")
+                if held >= TEXT or len(rows) >= ROWS:  # not the heads of a whole batch of logs
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    read = spread(kept.select("path", kind.alias("_kind")), "path").distinct().mapInPandas(run, "_path string, _text string, _wav double")
     told = read.select("_path", F.coalesce(log_duration(F.col("_text")), "_wav").alias("duration_s"))
     return kept.join(told, kept["path"] == told["_path"]).drop("_path")
