@@ -34,15 +34,21 @@ PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 _BEGIN = re.compile(rb"\xff[\xf8\xf9](?=[\x10-\xff][\x00-\xaf])")
 
 
-def open_file(path: str) -> tuple[Any, int]:
-    """A random-access file and its size."""
+def located_file(path: str) -> tuple[Any, str, int]:
+    """A file's store, its path there and its size, without opening it; a folder has size 0."""
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     info = store.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(f"no such file: {path}")
-    return store.open_input_file(inner), info.size
+    return store, inner, info.size or 0
+
+
+def open_file(path: str) -> tuple[Any, int]:
+    """A random-access file and its size."""
+    store, inner, size = located_file(path)
+    return store.open_input_file(inner), size
 
 
 def read_header(f: Any) -> tuple[dict[str, Any], int]:
@@ -186,15 +192,16 @@ def candidates(data: bytes, base: int, limit: int) -> Iterator[tuple[int, int, i
             yield (base + at, *found)
 
 
-def scan_range(path: str, start: int, end: int | None) -> Iterator[tuple]:
+def scan_range(path: str, start: int, end: int | None, step: int = STEP) -> Iterator[tuple]:
     """(offset from the audio's start, block_size, header bytes, number,
-    variable) of the frame headers that begin in a range of a file's bytes."""
+    variable) of the frame headers that begin in a range of a file's bytes,
+    of which ``step`` are read at once."""
     f, size = open_file(path)
     end = size if end is None else end
     try:
         audio = read_header(f)[1]
-        for at in range(max(start, audio), end, STEP):
-            stop = min(at + STEP, end)
+        for at in range(max(start, audio), end, step):
+            stop = min(at + step, end)
             data = f.read_at(min(stop - at + LOOK, size - at), at)
             yield from candidates(data, at - audio, stop - at)
     finally:
@@ -344,7 +351,7 @@ class _FrameReader(_Paths):
             if (self.only is not None and p not in self.only) or (end is not None and end <= self.first):
                 continue
             try:
-                yield from ((p, *x, None) for x in scan_range(p, start, end))
+                yield from ((p, *x, None) for x in scan_range(p, max(start, self.first), end, min(self.size, STEP)))
             except Exception as e:  # noqa: BLE001  a file that fails does not fail the others
                 yield (p, None, None, None, None, None, str(e))
 
@@ -426,7 +433,8 @@ def frame_table(paths: DataFrame, path: str = "path", size: int = RANGE) -> Data
     """The frame headers of a table of paths, as rows of FRAMES with ``error``:
     a row of its own, without an offset, for what could not be read.
 
-    Ranges of ``size`` bytes are dealt to tasks; nothing is opened on the
+    Ranges of ``size`` bytes are dealt to tasks, those of OPEN bytes of a file
+    together, so that a small file is opened once; nothing is opened on the
     driver, and a file that fails does not fail the others.
     """
 
@@ -439,7 +447,7 @@ def frame_table(paths: DataFrame, path: str = "path", size: int = RANGE) -> Data
             for p, start, end, error in batch.itertuples(index=False):
                 if error is None:
                     try:
-                        for x in scan_range(p, int(start), int(end)):
+                        for x in scan_range(p, int(start), int(end), min(size, STEP)):
                             out.append((p, *x, None))
                             if len(out) >= 50_000:
                                 yield pd.DataFrame(out, columns=names, dtype=object)
@@ -455,8 +463,10 @@ def frame_table(paths: DataFrame, path: str = "path", size: int = RANGE) -> Data
 
 
 def _ranges(paths: DataFrame, path: str, size: int) -> DataFrame:
-    """(path, start, end, error): ranges of ``size`` bytes of the files of a
-    table, dealt to tasks; a file that cannot be opened has one, from 0 to 0."""
+    """(path, start, end, error): runs of ranges of ``size`` bytes of the files of a
+    table, dealt to tasks.  A run is one range, or several small ones that cost
+    less to read than the file to open; a file that is not there has one, from 0 to 0."""
+    run = max(size, OPEN // size * size)
 
     def sized(batches: Iterator[Any]) -> Iterator[Any]:
         import pandas as pd
@@ -465,8 +475,9 @@ def _ranges(paths: DataFrame, path: str, size: int) -> DataFrame:
             out = []
             for p in batch.iloc[:, 0]:
                 try:
-                    f, n = open_file(p)
-                    f.close()
+                    n = located_file(p)[2]
+                    if n > run:  # it fails here once, not in each of its runs
+                        open_file(p)[0].close()
                     out.append((p, n, None))
                 except Exception as e:  # noqa: BLE001  any store's error is the row's
                     out.append((p, 0, str(e)))
@@ -474,9 +485,9 @@ def _ranges(paths: DataFrame, path: str, size: int) -> DataFrame:
 
     own = spread(paths.select(F.col(path).alias("path")).where("path is not null"), "path").distinct()
     files = own.mapInPandas(sized, "path string, n bigint, error string")
-    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("n", F.lit(1)) - 1, F.lit(size).cast("bigint")))
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("n", F.lit(1)) - 1, F.lit(run).cast("bigint")))
     starts = files.select("path", start.alias("start"), "n", "error")
-    return spread(starts, "path", "start").select("path", "start", F.least(F.col("start") + size, "n").alias("end"), "error")
+    return spread(starts, "path", "start").select("path", "start", F.least(F.col("start") + run, "n").alias("end"), "error")
 
 
 def read_frames(spark: SparkSession, paths: list[str] | DataFrame, size: int = RANGE) -> DataFrame:

@@ -358,3 +358,53 @@ def test_heads_of_logs_are_given_on_in_parts(spark, tmp_path, monkeypatch):
     files = spark.createDataFrame([(str(tmp_path / f"{k}.log"), "log") for k in range(40)], "path string, ext string")
     assert companions.durations(files).agg(F.sum("duration_s")).first()[0] == 820
     assert len(seen["parts"]) == 10 and max(seen["parts"]) < 300_000
+
+
+def test_ranges_of_a_small_file_are_read_at_one_opening(spark, tmp_path, monkeypatch):
+    """Files of many ranges, one that is no stream, one that is not there: each is
+    opened once, and what cannot be read is one row."""
+    for k in range(200):
+        (tmp_path / f"{k}.flac").write_bytes(header() + b"".join(fixed(i) + bytes(50) for i in range(20)))
+    bad, gone, folder = (str(tmp_path / x) for x in ("bad.flac", "gone.flac", "folder"))
+    (tmp_path / "bad.flac").write_bytes(b"no stream at all" * 50)
+    (tmp_path / "folder").mkdir()
+    paths = [str(tmp_path / f"{k}.flac") for k in range(200)]
+    (tmp_path / "opened").mkdir()
+    real, opened = flac.open_file, str(tmp_path / "opened")
+
+    def counted(path):
+        import os
+
+        with open(f"{opened}/{os.getpid()}", "a") as f:
+            f.write(f"{path}\n")
+        return real(path)
+
+    monkeypatch.setattr(flac, "open_file", counted)
+    table = spark.createDataFrame([(p,) for p in [*paths, bad, gone, folder, None]], "path string")
+    rows = flac.frame_table(table, size=64).collect()
+    names = sorted(x for p in (tmp_path / "opened").iterdir() for x in p.read_text().split())
+    assert sorted((r.path, r.off, r.number) for r in rows if r.error is None) == sorted((p, 56 * i, i) for p in paths for i in range(20))
+    assert sorted(r.path for r in rows if r.error is not None) == sorted([bad, gone, folder])
+    assert names == sorted([*paths, bad, folder])
+
+
+def test_many_files_are_written_and_scanned_by_all_cores(spark, tmp_path):
+    """The query file_frame_table deals a small table's keys and files to more tasks than there are cores."""
+    from capturelake.plans import files
+
+    spark.range(600).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    assert len(files._written(spark, str(tmp_path)).inputFiles()) > cores
+    tasks = files.file_frame_table(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > cores and max(r[1] for r in tasks) < sum(r[1] for r in tasks) / 4
+
+
+def test_large_files_are_still_dealt_in_ranges(spark, tmp_path):
+    """A file of several times OPEN is scanned by several tasks, whatever the ranges, with the same frames."""
+    data = b"".join(fixed(i % 128) + bytes(94) for i in range(12_000))
+    (tmp_path / "a.flac").write_bytes(header() + data)
+    table = spark.createDataFrame([(str(tmp_path / "a.flac"),)], "path string")
+    for size in (7_000, flac.OPEN, 1 << 20, flac.RANGE):
+        rows = flac.frame_table(table, size=size).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.off, r.number, r.error) for r in rows) == [(100 * i, i % 128, None) for i in range(12_000)]
+        assert (len({r.task for r in rows}) > 1) == (size < len(data))
