@@ -42,6 +42,17 @@ def forget(table: DataFrame) -> None:
     remove(table.sparkSession, table._written_to)
 
 
+#: Rows of a table that is broadcast (of a few numbers each: 10 MB at most).
+BROADCAST_ROWS = 100_000
+
+
+def joined_to(table: DataFrame, n: int) -> DataFrame:
+    """``table``, of at most ``n`` rows, for a join: broadcast if these are few, else
+    joined by sorting.  Spark's own choice goes by sizes that it may guess far too
+    low: of what ``explode`` makes, or of files by what they take compressed."""
+    return F.broadcast(table) if n <= BROADCAST_ROWS else table.hint("shuffle_merge")
+
+
 #: Bytes of rows that go to a worker at once, unless the session says.
 BATCH_BYTES, _BATCH = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 

@@ -9,6 +9,9 @@ entries finds all candidates, and the join's condition verifies them.
 
 Only distinct fingerprints are indexed, so copies cost nothing; entries shared
 by more than ``HEAVY`` fingerprints are refined (see :func:`links`).
+
+What grows with the input is joined by sorting; only tables that are counted
+and few are broadcast (see :func:`~capturelake.llm.common.joined_to`).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import Bloom, map_batches, pieces, text_column, written
+from capturelake.llm.common import Bloom, joined_to, map_batches, pieces, text_column, written
 from capturelake.llm.components import stars
 
 #: Words in a shingle, most differing bits of a link.
@@ -90,7 +93,7 @@ def _pairs(index: DataFrame, keys: list[str], more: Column | None = None) -> Dat
     on = (F.col("u") < F.col("v")) & _near("u", "v", DISTANCE)
     for k in keys:
         on = on & (left[k] == right[k])
-    return left.join(right, on & (_first(left["key"]) if more is None else more)).select("u", "v")
+    return left.join(right.hint("shuffle_merge"), on & (_first(left["key"]) if more is None else more)).select("u", "v")
 
 
 def links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -108,8 +111,10 @@ def links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
     parts = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // EXPLODED))
     index = distinct.select("fp").repartition(parts).select("fp", F.explode(_wildcards(F.col("fp"), SEGMENTS)).alias("key"))
     large = written(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where(F.col("n") > heavy).drop("n"), "entries")
-    if large.isEmpty():
+    n = large.count()
+    if not n:
         return _pairs(index, ["key"]).distinct()
+    large = joined_to(large, n)
     light = index.join(large, "key", "left_anti")
     rows = index.join(large, "key").withColumn("tight", _near("fp", "hub", DISTANCE // 2))
     rows = written(rows, "heavy")
@@ -131,7 +136,7 @@ def links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
 def _roots(distinct: DataFrame) -> DataFrame:
     """``distinct`` with ``root``, one fingerprint of its component for all."""
     roots = stars(links(distinct)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return distinct.join(roots.hint("shuffle_merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -147,8 +152,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     rooted = _roots(distinct)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = rooted.select("fp", "root").join(least.hint("shuffle_merge"), "root").select("fp", "component_id")
+    return rows.join(of.hint("shuffle_merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from capturelake.llm import components, html, kneser_ney, language, mixing, quality, queries, sentencepiece, simhash, topk, toxicity, warc
+from capturelake.llm import common, components, html, kneser_ney, language, mixing, quality, queries, sentencepiece, simhash, topk, toxicity, warc
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -141,6 +141,40 @@ def test_simhash_links_of_crowded_entries(spark, heavy):
     assert len({*zip(mine, want, strict=True)}) == len(set(want)) == len(set(mine))
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all that near-duplicates and components write."""
+    found = []
+
+    def noted(df, name, written=simhash.written):
+        found.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(components, "written", noted)
+    return found
+
+
+def test_simhash_broadcasts_nothing_that_grows(spark, docs, plans, monkeypatch):
+    """Spark sizes exploded entries as the rows before them, and written tables by their files."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)  # any table is large
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    plans.append(simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_simhash_broadcasts_few_crowded_entries(spark, plans, monkeypatch, most):
+    """Entries to refine and edges are broadcast only if they are few; the links are the same."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    fps = [0, *(1 << a | 1 << b for a in range(64) for b in range(a + 1))]
+    found = simhash.links(spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp bigint"), 64)
+    stars = {r.u: r.v for r in components.stars(found).collect()}
+    assert len(stars) == len(fps) - 1 and len(set(stars.values())) == 1
+    assert any("Broadcast" in p for p in plans) == (most > 0)
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(20)] + [(40, 30), (30, 50), (7, 7), (50, 40)]
     stars = {r.u: r.v for r in components.stars(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
