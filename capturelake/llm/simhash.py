@@ -172,7 +172,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = _roots(distinct).groupBy("root").agg(F.min(F.struct("least.none", "least.doc_id", "fp")).alias("first"))
     first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp"), F.lit(True).alias("_kept"))
     found = rows.groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
-    found = found.join(first, found["doc_id"].eqNullSafe(first["_id"]) & (found["fp"] == first["_fp"]), "left")
+    found = found.join(first.hint("shuffle_merge"), found["doc_id"].eqNullSafe(first["_id"]) & (found["fp"] == first["_fp"]), "left")
     kept = F.coalesce("_kept", F.lit(False))
     doubtful = written(found.where(~kept | (F.col("n") > 1)).select("doc_id", "fp", kept.alias("kept")), "doubtful")
     near = Bloom(doubtful.where("doc_id is not null").select("doc_id"), "doc_id")

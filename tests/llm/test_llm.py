@@ -164,6 +164,14 @@ def test_simhash_broadcasts_nothing_that_grows(spark, docs, plans, monkeypatch):
     assert not [p for p in plans if "Broadcast" in p]
 
 
+def test_representatives_broadcast_nothing_that_grows(spark, docs, plans, monkeypatch):
+    """Nor does the pipeline's stage, whose own joins are also of one row for each document."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    plans.append(simhash.representatives(docs)._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 @pytest.mark.parametrize("most", [0, 100_000])
 def test_simhash_broadcasts_few_crowded_entries(spark, plans, monkeypatch, most):
     """Entries to refine and edges are broadcast only if they are few; the links are the same."""
