@@ -21,24 +21,25 @@ cut_files, tool_available = sink.cut_files, sink.tool_available
 _LARGEST = (1 << 63) - 1
 
 
-def probe(spark: SparkSession, paths: list[str], scan: bool = True) -> DataFrame:
+def probe(spark: SparkSession, paths: list[str], scan: bool = True, whole_logs: bool = True) -> DataFrame:
     """A row of ``schema.PROBE``, with provenance and exactness, for each path.
 
     A file that cannot be read has ``ok`` false and its error.  Companions are
     looked for in the files' folders; frames are scanned, if ``scan``, only of
-    files that nothing else resolves.  The list of paths is the driver's own;
+    files that nothing else resolves.  Logs are read to their end, or without
+    ``whole_logs`` their first 64 KiB.  The list of paths is the driver's own;
     for a table of paths see :func:`probe_table`.
     """
-    return probe_headers(flac.read_headers(spark, paths), scan)
+    return probe_headers(flac.read_headers(spark, paths), scan, whole_logs)
 
 
-def probe_table(paths: DataFrame, path: str = "path", scan: bool = True) -> DataFrame:
+def probe_table(paths: DataFrame, path: str = "path", scan: bool = True, whole_logs: bool = True) -> DataFrame:
     """The same for a table of paths, of any number: no path reaches the driver.
     A null path has a row with that error."""
-    return probe_headers(flac.header_table(paths, path), scan)
+    return probe_headers(flac.header_table(paths, path), scan, whole_logs)
 
 
-def probe_headers(headers: DataFrame, scan: bool = True) -> DataFrame:
+def probe_headers(headers: DataFrame, scan: bool = True, whole_logs: bool = True) -> DataFrame:
     """The same from rows of ``schema.HEADER``, which are written to the shared
     folder, so that no file is opened again for its header."""
     spark = headers.sparkSession
@@ -48,7 +49,7 @@ def probe_headers(headers: DataFrame, scan: bool = True) -> DataFrame:
     def told(open_: DataFrame) -> DataFrame:
         own = open_.select("path", path_dir(F.col("path")).alias("dir"), path_stem(F.col("path")).alias("stem"))
         files = companion_files.list_folders(own.select(F.col("dir").alias("folder"))).withColumn("dir", F.col("folder"))
-        return companions.first_duration(own, companion_files.durations(files)).select("path", "duration_s")
+        return companions.first_duration(own, companion_files.durations(files, whole_logs)).select("path", "duration_s")
 
     def counted(left: DataFrame) -> DataFrame:
         if not scan:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -9,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from capturelake.functions.text import LOG_BYTES, log_duration, path_dir, path_ext, path_name, path_stem
+from capturelake.functions.text import LOG_BYTES, LOG_DURATION, log_duration, path_dir, path_ext, path_name, path_stem
 from capturelake.schema import LOG, WAV
 from capturelake.shared import spread
 from capturelake.sources.flac import listed, located, open_file
 
 #: Chunks of a WAV file that are walked at most; rows, and characters of logs, that a task gives on at once.
 CHUNKS, ROWS, TEXT = 256, 10_000, 4 << 20
+#: Bytes of a log that are read at once.
+PIECE = 1 << 20
+#: A log's duration, and what the end of a piece has of one that may go on: a part of the word, or the word and more.
+_TIMED = re.compile(LOG_DURATION.encode())
+_OPEN = re.compile(rb"(?i)(duration)[:= \t\n\f\r]*([0-9.]*)\Z|" + b"|".join(b"duration"[:n] + rb"\Z" for n in range(7, 0, -1)))
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -103,6 +109,36 @@ def _log_row(path: str) -> tuple:
         return path, None
 
 
+def whole_log_duration(f: Any, size: int) -> float | None:
+    """What :func:`log_duration` gives for all of a log, of any size, which is read
+    in pieces; only a number is held whole."""
+    held = b""
+    for at in range(0, size, PIECE):
+        data, last, end = held + f.read_at(min(PIECE, size - at), at), at + PIECE >= size, 0
+        for found in _TIMED.finditer(data):
+            if found.end() == len(data) and not last:  # the number may go on
+                break
+            end = found.end()
+            try:
+                return float(found[1])
+            except ValueError:
+                pass
+        left = _OPEN.search(data, end)
+        held = b"" if left is None else left[1] + left[2] if left[1] else left[0]
+    return None
+
+
+def _log_seconds(path: str) -> float | None:
+    try:
+        f, size = open_file(path)
+        try:
+            return whole_log_duration(f, size)
+        finally:
+            f.close()
+    except Exception:  # noqa: BLE001
+        return None
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: Any, kind: str) -> None:
         self.parts, self.kind = listed(options), kind
@@ -152,9 +188,9 @@ def read_logs(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     return located(spark, "log_heads", paths).load()
 
 
-def durations(files: DataFrame) -> DataFrame:
+def durations(files: DataFrame, whole: bool = False) -> DataFrame:
     """``files`` (path, ext and more) with ``duration_s`` of logs and WAV files,
-    read where the rows are."""
+    read where the rows are: of logs the first LOG_BYTES, or the ``whole``."""
     kept = files.where(F.lower("ext").isin("log", "wav"))
     kind = F.lower("ext")
 
@@ -173,6 +209,17 @@ def durations(files: DataFrame) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    read = spread(kept.select("path", kind.alias("_kind")), "path").distinct().mapInPandas(run, "_path string, _text string, _wav double")
-    told = read.select("_path", F.coalesce(log_duration(F.col("_text")), "_wav").alias("duration_s"))
+    def run_whole(batches: Iterator[Any]) -> Iterator[Any]:
+        import pandas as pd
+
+        for batch in batches:
+            found = [_log_seconds(p) if k == "log" else _wav_row(p)[1] for p, k in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True)]
+            yield pd.DataFrame({"_path": batch.iloc[:, 0], "duration_s": pd.Series(found, dtype=object)})
+
+    read = spread(kept.select("path", kind.alias("_kind")), "path").distinct()
+    if whole:
+        told = read.mapInPandas(run_whole, "_path string, duration_s double")
+    else:
+        read = read.mapInPandas(run, "_path string, _text string, _wav double")
+        told = read.select("_path", F.coalesce(log_duration(F.col("_text")), "_wav").alias("duration_s"))
     return kept.join(told, kept["path"] == told["_path"]).drop("_path")

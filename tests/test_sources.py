@@ -169,6 +169,28 @@ def test_log_beyond_its_head(spark, tmp_path):
     assert {r.name: r.duration_s for r in companions.durations(files).collect()} == {"a.log": None, "b.LOG": 5.0}
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 8, 9, 64, 1 << 20])
+def test_whole_logs_are_read_in_pieces(spark, monkeypatch, piece):
+    """What the whole text has, wherever it is cut."""
+    from capturelake.functions.text import log_duration
+
+    logs = [b"", b"duration", b"nothing here", b"durdurationduration=. DURATION :\t= 4", b"duration=1.2.3duration=2.5duration=9", b"x" * 200 + b" duration=5s", b"duration" + b" " * 300 + b"12.25", b"\xe2Duration:7.\xff8", b"duration = \xc3 4", b"duratio duration=.", b"d" * 99 + b"uration=00.50", b"duration=3\x0b1 duration=6"]
+    texts = spark.createDataFrame([(i, x.decode("utf-8", "replace")) for i, x in enumerate(logs)], "i int, v string")
+    want = [r.x for r in texts.select("i", log_duration(F.col("v")).alias("x")).orderBy("i").collect()]
+    monkeypatch.setattr(companions, "PIECE", piece)
+    assert [companions.whole_log_duration(flac.Memory(x), len(x)) for x in logs] == want
+    assert want[4:7] == [2.5, 5.0, 12.25]
+
+
+def test_probe_reads_logs_to_their_end(spark, tmp_path):
+    (tmp_path / "cap_1.flac").write_bytes(header())
+    (tmp_path / "cap_1_side.log").write_bytes(b"x" * (3 << 20) + b" duration=5s")
+    paths = spark.createDataFrame([(str(tmp_path / "cap_1.flac"),)], "path string")
+    (whole,), (head,) = (api.probe_table(paths, whole_logs=x).collect() for x in (True, False))
+    assert (whole.provenance, head.provenance) == ("companion-file", "header")
+    assert whole.total_samples == 5 * whole.real_rate_hz and head.total_samples is None
+
+
 def test_blocks_are_pruned(spark, tmp_path):
     """The bounds of the plans reach the scan of written blocks."""
     from capturelake.operators import trim
